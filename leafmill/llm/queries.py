@@ -6,21 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import mixing
+from leafmill.llm import chat, mixing
 from leafmill.llm.common import table
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(table(spark, sf_dir, "conversations"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat": op1_chat,
         "op5_mixing": op5_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_chat": chat.chat_sql(),
         "op5_mixing": mixing.mix_sql(),
     }
