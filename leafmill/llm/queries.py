@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, mixing
+from leafmill.llm import chat, mixing, warc
 from leafmill.llm.common import table
 
 
@@ -18,10 +18,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
         "op5_mixing": op5_mixing,
+        "op8_warc": op8_warc,
     }
 
 
@@ -29,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat": chat.chat_sql(),
         "op5_mixing": mixing.mix_sql(),
+        "op8_warc": warc.warc_sql(),
     }
