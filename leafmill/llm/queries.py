@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, mixing, warc
+from leafmill.llm import chat, license, mixing, warc
 from leafmill.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -26,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
         "op5_mixing": op5_mixing,
+        "op7_license": op7_license,
         "op8_warc": op8_warc,
     }
 
@@ -34,5 +39,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat": chat.chat_sql(),
         "op5_mixing": mixing.mix_sql(),
+        "op7_license": license.scan_sql(),
         "op8_warc": warc.warc_sql(),
     }
