@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, license, mixing, warc
+from leafmill.llm import chat, decontam, license, mixing, warc
 from leafmill.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(table(spark, sf_dir, "conversations"))
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
+        "op3_decontam": op3_decontam,
         "op5_mixing": op5_mixing,
         "op7_license": op7_license,
         "op8_warc": op8_warc,
@@ -38,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat": chat.chat_sql(),
+        "op3_decontam": decontam.overlaps_sql(),
         "op5_mixing": mixing.mix_sql(),
         "op7_license": license.scan_sql(),
         "op8_warc": warc.warc_sql(),
