@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, decontam, license, mixing, warc
+from leafmill.llm import chat, decontam, langid, license, mixing, warc
 from leafmill.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
 def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat": op1_chat,
         "op3_decontam": op3_decontam,
         "op5_mixing": op5_mixing,
+        "op6_langid": op6_langid,
         "op7_license": op7_license,
         "op8_warc": op8_warc,
     }
