@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import pick, stored
+from leafmill.llm.common import pick, stored, union
 
 _BODY = r"(/?s>|/?INST\]|<SYS>>|</SYS>>)"
 _ESCAPE = rf"([<\[])(\\*){_BODY}"
@@ -60,21 +60,20 @@ def jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         .select("id", F.col("known").alias("up"), F.col("id").alias("top"), F.lit(1).alias("depth"), F.col("score").alias("total"))
     )
     state = stored(state, "chat-jumps")
-    levels = [state.select("id", "up").where("up is not null")]
-    for _ in range(MAX_ROUNDS):
-        if levels[-1].isEmpty():
+    done, active = [state.where("up is null")], state.where("up is not null")
+    levels = [active.select("id", "up")]
+    for _ in range(MAX_ROUNDS):  # messages that have reached their root leave the rounds
+        if active.isEmpty():
             break
-        far = state.select(F.col("id").alias("f_id"), F.col("up").alias("f_up"), F.col("top").alias("f_top"), F.col("depth").alias("f_depth"), F.col("total").alias("f_total"))
-        state = state.join(far, state["up"] == far["f_id"], "left").select(
-            "id",
-            F.col("f_up").alias("up"),
-            F.coalesce("f_top", "top").alias("top"),
-            (F.col("depth") + F.coalesce("f_depth", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("f_total", F.lit(0.0))).alias("total"),
+        far = union([*done, active]).select(F.col("id").alias("f_id"), F.col("up").alias("f_up"), F.col("top").alias("f_top"), F.col("depth").alias("f_depth"), F.col("total").alias("f_total"))
+        state = active.join(far, active["up"] == far["f_id"]).select(
+            "id", F.col("f_up").alias("up"), F.col("f_top").alias("top"), (F.col("depth") + F.col("f_depth")).alias("depth"), (F.col("total") + F.col("f_total")).alias("total")
         )
         state = stored(state, "chat-jumps")
-        levels.append(state.select("id", "up").where("up is not null"))
-    return levels, state.where("up is null").select("id", F.col("top").alias("root"), "depth", "total")
+        done.append(state.where("up is null"))
+        active = state.where("up is not null")
+        levels.append(active.select("id", "up"))
+    return levels, union(done).select("id", F.col("top").alias("root"), "depth", "total")
 
 
 def ranked_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
