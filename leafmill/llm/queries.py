@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, decontam, langid, license, mixing, warc
+from leafmill.llm import chat, decontam, langid, license, mixing, quality, warc
 from leafmill.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_langid": op6_langid,
         "op7_license": op7_license,
         "op8_warc": op8_warc,
+        "op10_quality": op10_quality,
     }
 
 
