@@ -250,7 +250,7 @@ def read_packages(packages: DataFrame, folder: str) -> DataFrame:
                     rows = [described(*x) for x in read_records(reader)]
                 yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
-    return packages.select("path").repartition(F.col("path")).mapInArrow(read, RECORDS)
+    return packages.select("path").repartition(max(1, packages.count())).mapInArrow(read, RECORDS)
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
