@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, decontam, langid, license, mixing, quality, warc
+from leafmill.llm import ann, chat, decontam, langid, license, lines, mixing, quality, warc
 from leafmill.llm.common import table
 
 
@@ -14,10 +14,18 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(table(spark, sf_dir, "conversations"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.every_fiftieth(table(spark, sf_dir, "embeddings"))
+
+
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -41,7 +49,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
+        "op2_ann": op2_ann,
         "op3_decontam": op3_decontam,
+        "op4_lines": op4_lines,
         "op5_mixing": op5_mixing,
         "op6_langid": op6_langid,
         "op7_license": op7_license,
@@ -53,7 +63,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat": chat.chat_sql(),
+        "op2_ann": ann.nearest_sql(),
         "op3_decontam": decontam.overlaps_sql(),
+        "op4_lines": lines.counts_sql(),
         "op5_mixing": mixing.mix_sql(),
         "op7_license": license.scan_sql(),
         "op8_warc": warc.warc_sql(),
