@@ -43,13 +43,20 @@ def seeds(rows: DataFrame, words: str, at: str) -> DataFrame:
     return placed.withColumn("seed", F.explode(F.array(*chosen))).where("seed is not null")
 
 
-def _matched(words: Column, item_words: Column, i: Column, j: Column) -> tuple[Column, Column]:
+def _around(i: Column) -> tuple[Column, Column]:
+    """The words that a window around a hit at i may reach, and the place of the first of them: rows after the join hold these and not the whole text."""
+    reach = WINDOW - min(map(len, MASKS))
+    first = F.greatest(i - reach, F.lit(0))
+    return F.slice("words", first + 1, reach + WINDOW + BEFORE), first
+
+
+def _matched(around: Column, first: Column, item_words: Column, i: Column, j: Column) -> tuple[Column, Column]:
     """Equal words in the window around a hit, and the window's width."""
     size = F.size(item_words)
     start = F.greatest(F.least(j - BEFORE, size - WINDOW), F.lit(0))
     width = F.least(size, F.lit(WINDOW))
     places = F.sequence(start, start + width - 1)
-    same = F.filter(places, lambda p: F.get(words, F.when(p + i - j >= 0, p + i - j)) == F.get(item_words, p))
+    same = F.filter(places, lambda p: F.get(around, F.when(p + i - j >= first, p + i - j - first)) == F.get(item_words, p))
     return F.size(same), width
 
 
@@ -61,8 +68,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROAD
     )
     wanted = seeds(items, "item_words", "j").select(F.col("seed").alias("b_seed"), "item_id", "j", "item_words")
     texts = pick(docs, doc_id="doc_id", text="text").select("doc_id", hashes(F.col("text")).alias("words"))
+    around, first = _around(F.col("i"))
     if wanted.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
-        placed = seeds(texts, "words", "i")
+        placed = seeds(texts, "words", "i").select("doc_id", "i", "seed", around.alias("around"))
         hits = placed.join(F.broadcast(wanted), placed["seed"] == wanted["b_seed"])
     else:
         texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "decontam-words")
@@ -70,8 +78,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROAD
         found = placed.join(wanted.drop("item_words"), placed["seed"] == wanted["b_seed"]).select("row", "i", "item_id", "j").distinct()
         some = found.join(texts.withColumnRenamed("row", "t_row"), found["row"] == F.col("t_row"))
         again = items.withColumnRenamed("item_id", "w_id")
-        hits = some.join(again, some["item_id"].eqNullSafe(again["w_id"])).select("doc_id", "words", "i", "item_id", "j", "item_words")
-    matched, width = _matched(F.col("words"), F.col("item_words"), F.col("i"), F.col("j"))
+        hits = some.join(again, some["item_id"].eqNullSafe(again["w_id"])).select("doc_id", around.alias("around"), "i", "item_id", "j", "item_words")
+    matched, width = _matched(F.col("around"), first, F.col("item_words"), F.col("i"), F.col("j"))
     return (
         hits.select("doc_id", "item_id", "i", matched.alias("matched"), width.alias("width"))
         .where(F.col("matched") >= F.ceil(F.col("width") * SHARE))
