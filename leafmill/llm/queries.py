@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import ann, chat, decontam, langid, license, lines, mixing, quality, warc
+from leafmill.llm import ann, chat, decontam, jaccard, langid, license, lines, mixing, quality, warc
 from leafmill.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_langid": op6_langid,
         "op7_license": op7_license,
         "op8_warc": op8_warc,
+        "op9_jaccard": op9_jaccard,
         "op10_quality": op10_quality,
     }
 
