@@ -235,26 +235,36 @@ def fetched(rows: DataFrame, shard: int, shards: int) -> dict[str, dict[int, tup
     own = F.lit(True)
     if shards > 1:
         own = F.col("level").isin(0, 1) | (_shard_column(above, shards) == shard)
-    found = rows.where(own).select(F.coalesce("lang", F.lit("")).alias("lang"), "level", "key", "p").toPandas()
+    found = rows.where(own).select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("level").cast("tinyint").alias("level"), "key", "p").toArrow()
+    langs = found.column("lang").combine_chunks().dictionary_encode()
+    names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
+    level, key, p = (found.column(c).to_numpy() for c in ("level", "key", "p"))
     out: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-    for (lang, level), part in found.groupby(["lang", "level"]):
-        part = part.sort_values("key")
-        out.setdefault(lang, {})[int(level)] = (part["key"].to_numpy(np.int64), part["p"].to_numpy(np.float64))
+    for i, lang in enumerate(names):
+        for k in np.unique(level[code == i]):
+            part = np.flatnonzero((code == i) & (level == k))
+            part = part[np.argsort(key[part])]
+            out.setdefault(lang, {})[int(k)] = key[part], p[part]
     return out
 
 
-
 def scored(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs (doc_id, lang, text and further columns but text) with n_chars and loss: the summed negative logarithm of their characters' probabilities; null without a model of the language."""
+    """Stored: docs (doc_id, lang, text and further columns but text) with n_chars and loss: the summed negative logarithm of their characters' probabilities; null without a model of the language."""
     spark = docs.sparkSession
     shards = shards_of(rows)
     names = [c for c in docs.columns if c != "text"]
-    out = docs.withColumns({"n_chars": F.lit(0).cast("bigint"), "loss": F.lit(0.0)})
+    out, all_sent = docs.withColumns({"n_chars": F.lit(0).cast("bigint"), "loss": F.lit(0.0)}), []
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"), "n_chars bigint", "loss double"])
     for shard in range(shards):
         sent = spark.sparkContext.broadcast(fetched(rows, shard, shards))  # at most SHARD_ROWS and single characters
+        all_sent.append(sent)
         keeps_text = shard < shards - 1
         out = out.mapInArrow(_scorer(sent, out.columns, names, shard, shards, keeps_text), kinds + (", text string" if keeps_text else ""))
+        if keeps_text:
+            out = stored(out, "quality-part")
+            sent.destroy()
+    out = stored(out, "quality-scores")
+    all_sent[-1].destroy()
     return out
 
 
@@ -312,7 +322,7 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -
     rows = pick(docs, doc_id="doc_id", lang="lang", text="text").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.col("lang").isNull().alias("no_lang"), "text")
     known = rows.join(trusted, rows["doc_id"] == trusted["l_id"]).where(F.length("text") > 0)
     learned = stored(model(known.where("not held_out")), "quality-model")
-    every = stored(scored(rows.select("doc_id", "no_lang", "lang", "text"), learned), "quality-scores")
+    every = scored(rows.select("doc_id", "no_lang", "lang", "text"), learned)
     logp = F.col("loss") / F.col("n_chars")
     every = every.withColumn("logp", F.when(F.col("n_chars") > 0, logp))
     of = every.select("doc_id", "lang", "logp").where("logp is not null").join(trusted, F.col("doc_id") == F.col("l_id"))
