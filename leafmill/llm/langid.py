@@ -78,15 +78,20 @@ class Model:
         return [self.langs[i] for i in best], np.clip(margin / CERTAIN, 0, 1).astype(float)
 
 
-def fit(bits: np.ndarray, langs: list[str]) -> Model:
-    """Nyström features of the landmarks (taken from each language in turn), then ridge regressions of -1 and 1."""
+def fit(packed: list[bytes], langs: list[str]) -> Model:
+    """Nyström features of the landmarks (taken from each language in turn), then ridge regressions of -1 and 1. packed: presence bits, a row of bytes for each text."""
+
+    def scaled(rows) -> np.ndarray:
+        bits = np.stack([np.unpackbits(np.frombuffer(packed[i], np.uint8)) for i in rows]).astype(np.float32)
+        return bits / np.sqrt(np.maximum(bits.sum(1, keepdims=True), 1))
+
     names = sorted(set(langs))
     which = np.array([names.index(x) for x in langs])
     turn = np.array([np.sum(which[:i] == c) for i, c in enumerate(which)])
     chosen = np.lexsort((which, turn))[:LANDMARKS]
-    scaled = bits / np.sqrt(np.maximum(bits.sum(1, keepdims=True), 1))
-    marks = scaled[chosen]
-    k = (scaled @ marks.T).astype(np.float64)
+    marks = scaled(chosen)
+    every = range(len(packed))
+    k = np.concatenate([scaled(every[i : i + BLOCK]) @ marks.T for i in range(0, len(packed), BLOCK)]).astype(np.float64)
     values, vectors = np.linalg.eigh(k[chosen])
     kept = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, kept] / np.sqrt(values[kept])
@@ -96,7 +101,7 @@ def fit(bits: np.ndarray, langs: list[str]) -> Model:
     targets = np.where(which[:, None] == np.arange(len(names)), 1.0, -1.0)
     gram = features.T @ (features * weight) + RIDGE * len(which) * np.eye(features.shape[1]) / 100
     solved = np.linalg.solve(gram, features.T @ (targets * weight))
-    return Model(names, marks.astype(np.float32), (root @ solved).astype(np.float32))
+    return Model(names, marks, (root @ solved).astype(np.float32))
 
 
 def sample(docs: DataFrame) -> DataFrame:
@@ -124,8 +129,7 @@ def trained(docs: DataFrame) -> Model | None:
     rows = sorted((r["lang"], str(r["doc_id"]), bytes(r["bits"])) for r in sample(docs).mapInArrow(bits, f"lang string, doc_id {kind}, bits binary").collect())
     if not rows:
         return None
-    wide = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for _, _, b in rows]).astype(np.float32)
-    return fit(wide, [lang for lang, _, _ in rows])
+    return fit([b for _, _, b in rows], [lang for lang, _, _ in rows])
 
 
 def identified(docs: DataFrame) -> DataFrame:
