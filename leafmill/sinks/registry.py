@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from functools import partial
 
-from leafmill.sinks import markup, xml
+from leafmill.sinks import markup, packages, tex, xml
 
 
 def to_json(doc: dict) -> str:
@@ -17,7 +17,24 @@ def to_json(doc: dict) -> str:
 WRITERS: dict[str, Callable[[dict], str | bytes]] = {name: partial(markup.render, name=name) for name in markup.FORMATS}
 WRITERS |= {name: partial(xml.render, name=name) for name in xml.VOCABULARIES}
 WRITERS |= {"json": to_json, "html": xml.to_html, "html5": xml.to_html, "html4": xml.to_html4, "xml": xml.to_xml, "opml": xml.to_opml}
-BINARY: set[str] = set()
+WRITERS |= {
+    "latex": tex.to_latex,
+    "beamer": tex.to_beamer,
+    "context": tex.to_context,
+    "texinfo": tex.to_texinfo,
+    "man": tex.to_man,
+    "ms": tex.to_ms,
+    "rtf": tex.to_rtf,
+    "native": tex.to_native,
+    "ipynb": tex.to_ipynb,
+    "csljson": tex.to_csljson,
+    "bibtex": tex.to_bibtex,
+    "biblatex": partial(tex.to_bibtex, biblatex=True),
+    **{kind: partial(tex.slide_html, kind=kind) for kind in ("revealjs", "dzslides", "s5", "slidy", "slideous")},
+}
+_PACKAGES = {"epub": packages.to_epub, "epub3": packages.to_epub, "epub2": packages.to_epub2, "chunkedhtml": packages.to_chunked_html, "odt": packages.to_odt, "docx": packages.to_docx, "pptx": packages.to_pptx}
+WRITERS |= _PACKAGES
+BINARY = set(_PACKAGES)
 
 
 def writer(name: str) -> Callable[[dict], str | bytes]:
