@@ -8,7 +8,8 @@ is what links reach. No pair is enumerated that can't change a component:
    member's answers are derived from its leader's: distances are a metric, so what is too far from the leader is too far from the member.
 3. An index of shingles holds, for each class, the shingles of its prefix (a quarter of its set, frequent shingles last): linked sets
    share one. Each shingle lists groups, not members, with bounds of their sizes and positions. Lists are
-   cut into blocks by size; blocks, then pairs, whose positions leave too few shingles to share are skipped.
+   cut into blocks by size; blocks, then pairs, whose positions leave too few shingles to share are skipped, and
+   then pairs of which too few indexed shingles are shared.
 4. The leaders of candidate groups are compared exactly. Where the radius of the groups leaves it open whether members link,
    and the groups are not connected yet, the members that can link are compared, too.
 
@@ -120,8 +121,9 @@ DISTANCE = "case when na + nb > 0 then 1 - shared / cast(na + nb - shared as dou
 
 def led(docs: DataFrame, heads: DataFrame, by: str) -> DataFrame:
     """a, b, far: heads (rep, n, m1, m2) that link with the leader b of those that agree in `by`, and their distance."""
-    leaders = heads.groupBy(by).agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last").select(F.col(by).alias("key"), "b")
-    pairs = heads.join(leaders, heads[by] == leaders["key"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    leaders = heads.groupBy(by).agg(F.min(F.struct("rep", "n")).alias("first"), F.max("rep").alias("last")).where("first.rep < last")
+    leaders = leaders.select(F.col(by).alias("key"), F.col("first.rep").alias("b"), F.col("first.n").alias("nb"))
+    pairs = heads.join(leaders, heads[by] == leaders["key"]).where("rep <> b and 4 * n >= 3 * nb and 4 * nb >= 3 * n").select(F.col("rep").alias("a"), "b").distinct()
     found = compared(docs, stored(pairs, "jaccard-led"))
     return stored(found.where(LINKED).groupBy("a").agg(F.min("b").alias("b"), F.max(F.expr(DISTANCE)).alias("far")), "jaccard-links")
 
@@ -197,31 +199,43 @@ def candidates(index: DataFrame, buckets: int) -> DataFrame:
                 by_bucket.setdefault(row[0], []).append(row[1:])
         for key in sorted(by_bucket):
             parts = by_bucket.pop(key)
-            for pairs in _bucket_pairs(*[np.frombuffer(b"".join(p[k] for p in parts), kind) for k, kind in enumerate(_KINDS)]):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            for columns in _bucket_pairs(*[np.frombuffer(b"".join(p[k] for p in parts), kind) for k, kind in enumerate(_KINDS)]):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["a", "b", "c", "need"])
 
-    return index.repartition(buckets, "bucket").mapInArrow(join, "a long, b long").distinct()
+    found = index.repartition(buckets, "bucket").mapInArrow(join, "a long, b long, c long, need long")
+    return found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b")
 
 
-def _bucket_pairs(tok, gid, n_low, n_high, at_low, at_high) -> Iterator[np.ndarray]:
-    """Pairs (smaller, larger) of groups that share a shingle and may link, each once a bucket or nearly."""
+def _bucket_pairs(tok, gid, n_low, n_high, at_low, at_high) -> Iterator[tuple[np.ndarray, ...]]:
+    """a, b (smaller, larger): groups that may link, c: how many of the bucket's shingles both index, need: of how many in all they must.
+
+    Of a pair's shared shingles all are indexed by both but those behind the prefix that ends first, and of its set no
+    more than 3/4 lie behind it. So the shared ones that both index are no fewer than the overlap that a link takes, less 3/4 of the larger set.
+    """
+    order = np.lexsort((gid, tok))
+    tok, gid, n_low, n_high, at_low, at_high = (x[order] for x in (tok, gid, n_low, n_high, at_low, at_high))
+    new = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (gid[1:] != gid[:-1])])) if len(tok) else np.zeros(0, int)
+    if not len(new):
+        return
+    tok, gid = tok[new], gid[new]
+    n_low, n_high, at_low, at_high = (f.reduceat(x.astype(np.int64), new) for f, x in ((np.minimum, n_low), (np.maximum, n_high), (np.minimum, at_low), (np.maximum, at_high)))
     order = np.lexsort((n_low, tok))
     tok, gid, n_low, n_high, at_low, at_high = (x[order] for x in (tok, gid, n_low, n_high, at_low, at_high))
     edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1], [True]]))
     length = np.diff(edge)
-    rest = n_high.astype(np.int64) - 1 - at_low
-    found: list[np.ndarray] = []
-    waiting = 0
+    rest = n_high - 1 - at_low
+    most = (3 * n_high + 3) // 4
+    held: list[tuple[np.ndarray, ...]] = []
 
-    def possible(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        most = np.minimum(at_high[i], at_high[j]) + 1 + np.minimum(rest[i], rest[j])
-        sizes = (4 * n_high[i].astype(np.int64) >= 3 * n_low[j]) & (4 * n_high[j].astype(np.int64) >= 3 * n_low[i])
-        return (gid[i] != gid[j]) & sizes & (7 * most >= 3 * (n_low[i].astype(np.int64) + n_low[j]))
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        least = n_low[i] + n_low[j]
+        sizes = (4 * n_high[i] >= 3 * n_low[j]) & (4 * n_high[j] >= 3 * n_low[i])
+        ok = sizes & (gid[i] != gid[j]) & (7 * (np.minimum(at_high[i], at_high[j]) + 1 + np.minimum(rest[i], rest[j])) >= 3 * least)
+        i, j, least = i[ok], j[ok], least[ok]
+        held.append(_counted(np.minimum(gid[i], gid[j]), np.maximum(gid[i], gid[j]), np.ones(len(i), np.int64), (3 * least + 6) // 7 - np.maximum(most[i], most[j]) + 1))
 
-    def taken(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        ok = possible(i, j)
-        a, b = gid[i[ok]], gid[j[ok]]
-        return np.column_stack([np.minimum(a, b), np.maximum(a, b)])
+    def full() -> bool:
+        return sum(len(x[0]) for x in held) > 1_000_000
 
     for n in np.unique(length[length > 1]):
         runs = edge[:-1][length == n]
@@ -230,32 +244,41 @@ def _bucket_pairs(tok, gid, n_low, n_high, at_low, at_high) -> Iterator[np.ndarr
             step = max(1, 2_000_000 // len(left))
             for k in range(0, len(runs), step):
                 base = runs[k : k + step, None]
-                found.append(np.unique(taken((base + left).ravel(), (base + right).ravel()), axis=0))
-                waiting += len(found[-1])
-        else:
-            for run in runs:
-                cuts = [*range(run, run + n, BLOCK), run + n]
-                spans = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                bound = [(n_low[s].min(), n_high[s].max(), at_high[s].max(), rest[s].max(), np.unique(gid[s])) for s in spans]
-                for p, x in enumerate(spans):
-                    for q in range(p, len(spans)):
-                        (low, high, at, more, ids), (low2, _, at2, more2, ids2) = bound[p], bound[q]
-                        if 4 * int(high) < 3 * int(low2) and max(b[1] for b in bound[: p + 1]) * 4 < 3 * int(low2):
-                            break  # sizes only grow from here
-                        if 7 * (min(at, at2) + 1 + min(more, more2)) < 3 * (int(low) + int(low2)) or (len(ids) == len(ids2) == 1 and ids[0] == ids2[0]):
-                            continue
-                        i, j = np.meshgrid(np.arange(x.start, x.stop), np.arange(spans[q].start, spans[q].stop), indexing="ij")
-                        own = i < j
-                        found.append(np.unique(taken(i[own], j[own]), axis=0))
-                        waiting += len(found[-1])
-                        if waiting > 1_000_000:
-                            yield np.unique(np.concatenate(found), axis=0)
-                            found, waiting = [], 0
-        if waiting > 1_000_000:
-            yield np.unique(np.concatenate(found), axis=0)
-            found, waiting = [], 0
-    if found:
-        yield np.unique(np.concatenate(found), axis=0)
+                take((base + left).ravel(), (base + right).ravel())
+                if full():
+                    yield _counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held.clear()
+            continue
+        for run in runs:
+            cuts = [*range(run, run + n, BLOCK), run + n]
+            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+            bound = [(n_low[a], n_high[a:b].max(), at_high[a:b].max(), rest[a:b].max()) for a, b in spans]
+            for p, (a, b) in enumerate(spans):
+                low, high, at, more = bound[p]
+                for q in range(p, len(spans)):
+                    low2, _, at2, more2 = bound[q]
+                    if 4 * high < 3 * low2:
+                        break  # sizes only grow from here
+                    if 7 * (min(at, at2) + 1 + min(more, more2)) < 3 * (low + low2):
+                        continue
+                    i, j = np.meshgrid(np.arange(a, b), np.arange(*spans[q]), indexing="ij")
+                    own = i < j
+                    take(i[own], j[own])
+                    if full():
+                        yield _counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                        held.clear()
+    if held:
+        yield _counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _counted(a: np.ndarray, b: np.ndarray, c: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair once, with its counts summed and the least need."""
+    if not len(a):
+        return a, b, c, need
+    order = np.lexsort((b, a))
+    a, b, c, need = a[order], b[order], c[order], need[order]
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[new], b[new], np.add.reduceat(c, new), np.minimum.reduceat(need, new)
 
 
 def linked(docs: DataFrame) -> DataFrame:
