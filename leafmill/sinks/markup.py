@@ -271,7 +271,6 @@ FORMATS: dict[str, Format] = {
     "textile": Format(marks={"Emph": ("_", "_"), "Strong": ("*", "*"), "Underline": ("+", "+"), "Strikeout": ("-", "-"), "Superscript": ("^", "^"), "Subscript": ("~", "~")}, code=lambda s: f"@{s}@", link=lambda t, u, x: f'"{t}":{u}', image=lambda t, u, x: f"!{u}({t})!" if t else f"!{u}!", header=lambda level, text, a: f"h{level}. {text}", code_block=lambda text, c: f"bc. {text}", quote=lambda b: f"bq. {b}", rule="<hr />", bullet=lambda d: "*" * d + " ", number=lambda d, n, s: "#" * d + " ", hanging=False, table=_rows("|"), note=lambda n, b: (f"[{n}]", f"fn{n}. {b}")),
     "jira": Format(marks={"Emph": ("_", "_"), "Strong": ("*", "*"), "Underline": ("+", "+"), "Strikeout": ("-", "-"), "Superscript": ("^", "^"), "Subscript": ("~", "~")}, code=lambda s: f"{{{{{s}}}}}", link=lambda t, u, x: f"[{t}|{u}]" if t != u else f"[{u}]", image=lambda t, u, x: f"!{u}!", header=lambda level, text, a: f"h{level}. {text}", code_block=lambda text, c: f"{{code{':' + c[0] if c else ''}}}\n{text}\n{{code}}", quote=lambda b: f"{{quote}}\n{b}\n{{quote}}", rule="----", bullet=lambda d: "*" * d + " ", number=lambda d, n, s: "#" * d + " ", hanging=False, table=_rows("|", "||")),
     "asciidoc": Format(marks={"Emph": ("_", "_"), "Strong": ("*", "*"), "Underline": ("[.underline]#", "#"), "Strikeout": ("[line-through]*", "*"), "Superscript": ("^", "^"), "Subscript": ("~", "~")}, code=lambda s: f"`{s}`", link=lambda t, u, x: u if t == u else f"{u}[{t}]" if "://" in u else f"link:{u}[{t}]", image=lambda t, u, x: f"image:{u}[{t}]", header=lambda level, text, a: (f"[[{a[0]}]]\n" if a[0] else "") + "=" * (level + 1) + " " + text, code_block=lambda text, c: (f"[source,{c[0]}]\n" if c else "") + f"----\n{text}\n----", quote=lambda b: f"____\n{b}\n____", rule="'''''", line_break=" +\n", bullet=lambda d: "*" * d + " ", number=lambda d, n, s: "." * d + " ", hanging=False, math=("latexmath:[", "]"), display=("latexmath:[", "]"), table=_adoc_table, note=lambda n, b: (f"footnote:[{b}]", ""), term=lambda t: f"{t}::", definition=lambda b: indented(b, "  ")),
-    "creole": Format(marks={"Emph": ("//", "//"), "Strong": ("**", "**")}, header=lambda level, text, a: "=" * level + " " + text),
     "muse": Format(marks={"Emph": _tag("em"), "Strong": _tag("strong"), "Strikeout": _tag("del"), "Superscript": _tag("sup"), "Subscript": _tag("sub"), "Underline": ("_", "_")}, code=lambda s: f"<code>{s}</code>", link=lambda t, u, x: f"[[{u}][{t}]]", image=lambda t, u, x: f"[[{u}][{t}]]", header=lambda level, text, a: "*" * level + " " + text, code_block=lambda text, c: f"<example>\n{text}\n</example>", quote=lambda b: f"<quote>\n{b}\n</quote>", bullet=lambda d: " - ", table=_rows("|", "||"), term=lambda t: f" {t} ::"),
     "t2t": Format(marks={"Emph": ("//", "//"), "Strong": ("**", "**"), "Underline": ("__", "__"), "Strikeout": ("--", "--")}, code=lambda s: f"``{s}``", link=lambda t, u, x: f"[{t} {u}]", image=lambda t, u, x: f"[{u}]", header=lambda level, text, a: "=" * level + " " + text + " " + "=" * level, code_block=lambda text, c: f"```\n{text}\n```", quote=lambda b: indented(b, "\t"), number=lambda d, n, s: "+ ", table=_rows("|", "||")),
     "djot": Format(marks={"Emph": ("_", "_"), "Strong": ("*", "*"), "Underline": ("[", "]{.underline}"), "Strikeout": ("{-", "-}"), "Superscript": ("^", "^"), "Subscript": ("~", "~")}, **{k: v for k, v in _md.items() if k not in ("div",)}),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from leafmill.sources import html, markdown, structured
+from leafmill.sources import html, light, markdown, roff, structured, xml
 
 READERS: dict[str, Callable[..., dict]] = {
     **{name: partial(markdown.read_markdown, dialect=name) for name in markdown.EXTENSIONS},
@@ -20,6 +20,26 @@ READERS: dict[str, Callable[..., dict]] = {
     "biblatex": structured.read_bibtex,
     "ris": structured.read_ris,
     "endnotexml": structured.read_endnote,
+    **{name: partial(light.read, name=name) for name in light.LANGUAGES},
+    "rst": light.read_rst,
+    "org": light.read_org,
+    "mediawiki": light.read_mediawiki,
+    "docbook": xml.read_docbook,
+    "jats": xml.read_jats,
+    "bits": xml.read_jats,
+    "fb2": xml.read_fb2,
+    "tei": xml.read_tei,
+    "xml": xml.read_tree,
+    "latex": roff.read_latex,
+    "man": roff.read_man,
+    "mdoc": roff.read_man,
+    "rtf": roff.read_rtf,
+    "native": roff.read_native,
+    "docx": xml.read_docx,
+    "odt": xml.read_odt,
+    "pptx": xml.read_pptx,
+    "xlsx": xml.read_xlsx,
+    "epub": xml.read_epub,
 }
 
 #: File suffixes and the format that they stand for.
