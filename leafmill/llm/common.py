@@ -57,3 +57,26 @@ def replaced(df: DataFrame, new: dict[str, Column]) -> list[Column]:
 
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+#: Bits of a filter that is broadcast: at most FILTER_BITS / 64 rows, whatever it is made from.
+FILTER_BITS = 1 << 24
+_BITS = (f"pmod(`{{0}}`, {FILTER_BITS})", f"pmod(shiftrightunsigned(`{{0}}`, 32), {FILTER_BITS})")
+
+
+def filter_of(keys: DataFrame, key: str) -> DataFrame:
+    """slot, set: a Bloom filter of two bits for each key (a 64-bit hash)."""
+    bits = keys.select(F.explode(F.array(*[F.expr(b.format(key)) for b in _BITS])).alias("bit"))
+    one = F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("one")
+    return bits.select(F.expr("bit div 64").alias("slot"), one).groupBy("slot").agg(F.bit_or("one").alias("set"))
+
+
+def may_hold(rows: DataFrame, key: str, filter_: DataFrame) -> DataFrame:
+    """The rows whose key is in the filter: all that were put in, and a few others."""
+    columns = rows.columns
+    for b in _BITS:
+        asked = rows.withColumn("__bit", F.expr(b.format(key))).withColumn("__slot", F.expr("__bit div 64"))
+        slots = filter_.select(F.col("slot").alias("__s"), F.col("set").alias("__set"))
+        found = asked.join(F.broadcast(slots), F.col("__slot") == F.col("__s"))
+        rows = found.where(F.expr("shiftrightunsigned(__set, cast(__bit % 64 as int)) & 1L = 1L")).select(*columns)
+    return rows

@@ -8,8 +8,8 @@ substitution joins two variants with the same place deleted, an insertion joins
 Only the earliest line of each variant is kept as partner, so no group makes pairs of its members. The edit distance of the
 partners is verified on their words.
 
-Before that, lines that can't have a partner are set aside: one edit leaves the first or the last half of a line's words
-unchanged, so a line with neither half in common with a different line has no near duplicate. The hash of a sequence is the
+Before that, lines that can't have a partner are set aside: of a line's words in three parts, one edit leaves two
+unchanged, so a line that has no two parts in common with a different line has no near duplicate. The hash of a sequence is the
 exclusive or of the hashes of its words with their places, so all variants of a line come from running sums.
 
 Defined results: blank lines stay; lines of fewer than MIN_NEAR words are only compared for equality; null text stays null;
@@ -22,12 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import pick, replaced, stored
+from leafmill.llm.common import filter_of, may_hold, pick, replaced, stored
 
 MIN_NEAR = 5
-_SPACE = "[ \\t\\r\\f\\x0B]+"
-#: Half-line keys that are sent to the tasks as a filter of FILTER_BITS bits; more are joined by a shuffle.
-FILTER_KEYS, FILTER_BITS = 4_000_000, 1 << 24
+_SPACE = " \t\r\f\x0B"
+#: Keys that a filter of fixed size is made from before the exact join; with more, the join comes alone.
+FILTER_KEYS = 4_000_000
 
 
 def _place(doc_id: Column, line_no: Column) -> Column:
@@ -35,57 +35,65 @@ def _place(doc_id: Column, line_no: Column) -> Column:
     return (F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(-(2**63)).cast("decimal(20,0)")) * F.lit(2**32).cast("decimal(11,0)") + line_no.cast("decimal(11,0)")).cast("decimal(38,0)")
 
 
-def _halves(words: Column, n: Column) -> Column:
-    """Keys that a line shares with any line one edit away: its halves, and its halves as the longer of two lines."""
+def _parts(words: Column, n: Column) -> Column:
+    """Keys of which any line one edit away has one, too: two of the three parts of its words, and the same as the longer of two lines."""
 
-    def key(of: Column, side: int, part: Column) -> Column:
-        return F.xxhash64(of, F.lit(side), part)
+    def key(of: Column, side: int, *parts: Column) -> Column:
+        return F.xxhash64(of, F.lit(side), *parts)
 
-    short, less = F.floor(n / 2).cast("int"), n - 1
-    long = F.floor(less / 2).cast("int")
-    return F.array(
-        key(n, 0, F.slice(words, 1, short)),
-        key(n, 1, F.slice(words, short + 1, n - short)),
-        key(less, 0, F.slice(words, 1, long)),
-        key(less, 1, F.slice(words, n - (less - long) + 1, less - long)),
-    )
+    def keys(of: Column) -> list[Column]:
+        first = F.floor(of / 3).cast("int")
+        last = F.floor((of - first) / 2).cast("int")
+        end = lambda k: F.slice(words, n - k + 1, k)
+        return [key(of, 0, F.slice(words, 1, of - last)), key(of, 1, end(of - first)), key(of, 2, F.slice(words, 1, first), end(last))]
 
+    return F.array(*keys(n), *keys(n - 1))
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, words, n: the lines of docs that aren't blank."""
-    rows = pick(docs, doc_id="doc_id", text="text")
-    lines = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = lines.select("doc_id", "text_hash", "line_no", F.filter(F.split("line", _SPACE), lambda w: w != "").alias("words"))
-    return words.withColumn("n", F.size("words")).where("n > 0")
 
+def _words(line: Column) -> Column:
+    return F.filter(F.split(line, " "), lambda w: w != "")
 
-def keyed(lines: DataFrame) -> DataFrame:
-    """lines with k1, k2 (their words' hash of 128 bits), place and halves."""
-    return lines.select(
-        "*",
+
+def _raw_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, line_no, line, raw: the lines of docs, with spaces for other blanks, and their hash."""
+    rows = pick(docs, doc_id="doc_id", text="text").withColumn("text_hash", F.xxhash64("text"))
+    for blank in _SPACE[1:]:
+        rows = rows.withColumn("text", F.replace("text", F.lit(blank), F.lit(" ")))
+    lines = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.withColumn("raw", F.xxhash64("line"))
+
+
+def split_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, line_no, raw, n, k1, k2 (their words' hash of 128 bits), place and parts of the lines of docs that aren't blank."""
+    words = _raw_lines(docs).withColumn("words", _words(F.col("line"))).withColumn("n", F.size("words")).where("n > 0")
+    return words.select(
+        "doc_id",
+        "text_hash",
+        "line_no",
+        "raw",
+        "n",
         F.xxhash64("words").alias("k1"),
         F.xxhash64(F.lit(1), "words").alias("k2"),
         _place(F.col("doc_id"), F.col("line_no")).alias("place"),
-        F.when(F.col("n") >= MIN_NEAR - 1, _halves(F.col("words"), F.col("n"))).otherwise(F.array().cast("array<bigint>")).alias("halves"),
+        F.when(F.col("n") >= MIN_NEAR, _parts(F.col("words"), F.col("n"))).otherwise(F.array().cast("array<bigint>")).alias("parts"),
     )
 
 
 def _with_partner(docs: DataFrame, table: DataFrame, filter_keys: int) -> DataFrame:
     """k1, k2, line, place (of its first occurrence): different lines that may have a near duplicate."""
-    halves = table.where(F.col("n") >= MIN_NEAR).select(F.explode("halves").alias("half"), "k1")
-    common = stored(halves.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half"), "lines-halves")
-    lines = keyed(split_lines(docs)).where(F.col("n") >= MIN_NEAR)
-    columns = ["k1", "k2", F.array_join("words", " ").alias("line"), "place"]
-    if common.count() <= filter_keys:
-        bits = common.select(F.pmod("half", F.lit(FILTER_BITS)).alias("bit"))
-        slots = bits.select(F.floor(F.col("bit") / 64).alias("slot"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("one")).groupBy("slot").agg(F.bit_or("one").alias("set"))
-        asked = lines.withColumn("half", F.explode("halves")).withColumn("bit", F.pmod("half", F.lit(FILTER_BITS)))
-        kept = asked.join(F.broadcast(slots), F.floor(asked["bit"] / 64) == slots["slot"])  # FILTER_BITS / 64 rows at most
-        kept = kept.where(F.expr("shiftrightunsigned(`set`, cast(bit % 64 as int)) & 1L = 1L")).select(*columns)
-    else:
-        some = halves.join(common, "half").select(F.col("k1").alias("s1")).distinct()
-        kept = lines.join(some, lines["k1"] == some["s1"], "left_semi").select(*columns)
-    return stored(kept.groupBy("k1", "k2", "line").agg(F.min("place").alias("place")), "lines-candidates")
+    parts = table.where(F.col("n") >= MIN_NEAR).select("k1", "raw", F.explode("parts").alias("part"))
+    common = stored(parts.groupBy("part").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("part"), "lines-parts")
+    small = common.count() <= filter_keys
+    if small:
+        parts = may_hold(parts, "part", filter_of(common, "part"))
+    wanted = parts.join(common.withColumnRenamed("part", "p"), F.col("part") == F.col("p")).select(F.col("raw").alias("w")).distinct()
+    wanted = stored(wanted, "lines-wanted")
+    lines = _raw_lines(docs)
+    if small:
+        lines = may_hold(lines, "raw", filter_of(wanted, "w"))
+    kept = lines.join(wanted, lines["raw"] == wanted["w"], "left_semi").withColumn("words", _words(F.col("line")))
+    keyed = kept.select(F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), F.array_join("words", " ").alias("line"), _place(F.col("doc_id"), F.col("line_no")).alias("place"))
+    return stored(keyed.groupBy("k1", "k2", "line").agg(F.min("place").alias("place")), "lines-candidates")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -150,7 +158,7 @@ def near_duplicates(docs: DataFrame, table: DataFrame, filter_keys: int = FILTER
 
 def removed_lines(docs: DataFrame, filter_keys: int = FILTER_KEYS) -> DataFrame:
     """doc_id, text_hash, line_no, near: the lines that go; near, if no earlier line is equal."""
-    table = stored(keyed(split_lines(docs)).drop("words"), "lines")
+    table = stored(split_lines(docs), "lines")
     near = near_duplicates(docs, table, filter_keys).select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.lit(True).alias("near"))
     firsts = table.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     told = firsts.join(near, (firsts["k1"] == near["n1"]) & (firsts["k2"] == near["n2"]), "left")
