@@ -248,7 +248,7 @@ def image_type(content: Column) -> Column:
     head = F.hex(F.substring(content, 1, 12))
     out = None
     for start, kind in (("89504E47", "png"), ("474946", "gif"), ("FFD8FF", "jpeg"), ("25504446", "pdf"), ("25215053", "eps"), ("01000000", "emf"), ("49492A00", "tiff"), ("4D4D002A", "tiff"), ("3C737667", "svg"), ("3C3F786D6C", "svg")):
-        out = (out or F).when(F.startswith(head, F.lit(start)), kind)
+        out = (F if out is None else out).when(F.startswith(head, F.lit(start)), kind)
     return out.when(F.startswith(head, F.lit("52494646")) & F.endswith(head, F.lit("57454250")), "webp").when(F.substring(head, 9, 16) == "6674797061766966", "avif")
 
 

@@ -319,6 +319,14 @@ def to_xml(doc: dict) -> str:
             a = f' quote-type="{c[0]["t"]}"'
         elif t == "OrderedList":
             a = f' start="{c[0][0]}" number-style="{c[0][1]["t"]}" number-delim="{c[0][2]["t"]}"'
+        if t == "Table":
+            row = lambda r: f"<row{attrs(r[0])}>" + "".join(f'<cell alignment="{x[1]["t"]}" row-span="{x[2]}" col-span="{x[3]}"{attrs(x[0])}>{"".join(map(one, x[4]))}</cell>' for x in r[1]) + "</row>"
+            rows = lambda rs: "".join(map(row, rs))
+            specs = "".join(f'<colspec alignment="{s[0]["t"]}" width="{s[1].get("c", 0)}" />' for s in c[2])
+            bodies = "".join(f'<body row-head-columns="{b[1]}"{attrs(b[0])}><header>{rows(b[2])}</header>{rows(b[3])}</body>' for b in c[4])
+            return f"<Table{a}><Caption>{''.join(map(one, c[1][1]))}</Caption><colspecs>{specs}</colspecs><head{attrs(c[3][0])}>{rows(c[3][1])}</head>{bodies}<foot{attrs(c[5][0])}>{rows(c[5][1])}</foot></Table>"
+        if t == "Figure":
+            return f"<Figure{a}><Caption>{''.join(map(one, c[1][1]))}</Caption>{''.join(map(one, c[2]))}</Figure>"
         body = "".join("".join(map(one, xs)) if not role else f"<{role}>{''.join(map(one, xs))}</{role}>" for role, xs in parts(n))
         return f"<{t}{a}>{body}</{t}>"
 

@@ -369,7 +369,7 @@ LANGUAGES = {
     "haddock": Language(pairs=[("__", "__", "Strong"), ("/", "/", "Emph")], code=[("@", "@"), ("'", "'")], links=[(r"<(\w+:[^\s>]+)(?:\s+([^>]*))?>", _bar), (r"\[([^\]]+)\]\(([^)]+)\)", lambda m: (m[2], m[1])), _bare], images=[(r"<<([^\s>]+)(?:\s+([^>]*))?>>", lambda m: (m[1], m[2] or ""))], heading=_equals(), bullet=r"\s*([*-])\s+", number=r"\s*(\(\d+\)|\d+\.)\s+", fences=[(r"@\s*$", r"^@\s*$", 0)], term=r"\[(.*?)\]:?\s+(.*)$", word_bound=True),
     "asciidoc": Language(pairs=[("**", "**", "Strong"), ("*", "*", "Strong"), ("__", "__", "Emph"), ("_", "_", "Emph"), ("^", "^", "Superscript"), ("~", "~", "Subscript"), ("[.underline]#", "#", "Underline"), ("[line-through]#", "#", "Strikeout")], code=[("`+", "+`"), ("``", "``"), ("`", "`")], links=[(r"(?:link:)?((?:https?|ftp|mailto):[^\s\[\]<>]+)\[([^\]]*)\]", _bar), (r"link:([^\s\[\]]+)\[([^\]]*)\]", _bar), (r"<<([^,>]+)(?:,([^>]*))?>>", lambda m: ("#" + m[1], m[2] or m[1])), _bare], images=[(r"image::?([^\s\[\]]+)\[([^\]]*)\]", lambda m: (m[1], m[2]))], notes=[r"footnote:\[([^\]]*)\]"], heading=_adoc, bullet=r"\s*(\*+|-)\s+", number=r"\s*(\.+|\d+\.)\s+", flat=True, fences=[(r"----+\s*$", r"^----+\s*$", 0), (r"\.\.\.\.+\s*$", r"^\.\.\.\.+\s*$", 0)], quotes=[(r"____+\s*$", r"^____+\s*$")], rule=r"'{3,}\s*$", term=r"(.+?)::\s*(.*)$", comment=r"//|\[[\w,=\"\s-]*\]\s*$|:[\w-]+:", row="|", tables=[(r"\|===", r"\|===")], line_break=r" \+(?=\n|$)", word_bound=True),
     "djot": Language(pairs=[("*", "*", "Strong"), ("_", "_", "Emph"), ("{-", "-}", "Strikeout"), ("{+", "+}", "Underline"), ("^", "^", "Superscript"), ("~", "~", "Subscript"), ("{=", "=}", "Span_mark")], code=[("``", "``"), ("`", "`")], links=[(r"\[([^\]]+)\]\(([^)]*)\)", lambda m: (m[2], m[1])), (r"<((?:https?|mailto):[^>\s]+)>", lambda m: (m[1], m[1]))], images=[(r"!\[([^\]]*)\]\(([^)]*)\)", lambda m: (m[2], m[1]))], heading=_marks("#"), bullet=r"\s*([*+-])\s+", number=r"\s*(\d+[.)])\s+", fences=[(r"`{3,}\s*(\w*)\s*$", r"^`{3,}\s*$", 1), (r"~{3,}\s*(\w*)\s*$", r"^~{3,}\s*$", 1)], quote_line=r">\s?", row="|", rule=r"\s*([*-]\s*){3,}$", line_break=r"\\\n", word_bound=True),
-    "typst": Language(pairs=[("*", "*", "Strong"), ("_", "_", "Emph"), ("#emph[", "]", "Emph"), ("#strong[", "]", "Strong"), ("#underline[", "]", "Underline"), ("#strike[", "]", "Strikeout"), ("#super[", "]", "Superscript"), ("#sub[", "]", "Subscript"), ("#smallcaps[", "]", "SmallCaps")], code=[("`", "`")], links=[(r'#link\("([^"]*)"\)(?:\[([^\]]*)\])?', _bar), _bare], images=[(r'#image\("([^"]*)"[^)]*\)', lambda m: (m[1], ""))], notes=[r"#footnote\[([^\]]*)\]"], heading=_marks("="), bullet=r"\s*(-)\s+", number=r"\s*(\+|\d+\.)\s+", fences=[(r"```(\w*)\s*$", r"^```\s*$", 1)], quotes=[(r"#quote(?:\([^)]*\))?\[", r"\]\s*$")], term=r"/\s+(.*?):\s+(.*)$", comment=r"//|#(?:set|show|let|import)\b", line_break=r"\\(?=\n|$)", word_bound=True),
+    "typst": Language(pairs=[("*", "*", "Strong"), ("_", "_", "Emph"), ("#emph[", "]", "Emph"), ("#strong[", "]", "Strong"), ("#underline[", "]", "Underline"), ("#strike[", "]", "Strikeout"), ("#super[", "]", "Superscript"), ("#sub[", "]", "Subscript"), ("#smallcaps[", "]", "SmallCaps")], code=[("`", "`")], links=[(r'#link\("([^"]*)"\)(?:\[([^\]]*)\])?', _bar), _bare], images=[(r'#image\("([^"]*)"[^)]*\)', lambda m: (m[1], ""))], notes=[r"#footnote\[([^\]]*)\]"], heading=_marks("="), bullet=r"\s*(-)\s+", number=r"\s*(\+|\d+\.)\s+", fences=[(r"```(\w*)\s*$", r"^```\s*$", 1)], quotes=[(r"#quote(?:\([^)]*\))?\[", r"\]\s*$")], row="|", term=r"/\s+(.*?):\s+(.*)$", comment=r"//|#(?:set|show|let|import)\b", line_break=r"\\(?=\n|$)", word_bound=True),
     "org": Language(pairs=[("*", "*", "Strong"), ("/", "/", "Emph"), ("_", "_", "Underline"), ("+", "+", "Strikeout"), ("^{", "}", "Superscript"), ("_{", "}", "Subscript")], code=[("=", "="), ("~", "~")], links=[(r"\[\[(?!\S+\.(?:png|jpe?g|gif|svg)\]\])([^\]]+)\](?:\[([^\]]*)\])?\]", _bar), _bare], images=[(r"\[\[(?:file:)?([^\]]+\.(?:png|jpe?g|gif|svg))\]\]", lambda m: (m[1], ""))], notes=[r"\[fn:([\w-]+)\]", r"\[fn::([^\]]*)\]"], heading=_org, bullet=r"\s*([+-])\s+", number=r"\s*(\d+[.)])\s+", fences=[(r"\s*#\+(?:begin|BEGIN)_(?:src|SRC)(?:\s+(\w+))?.*$", r"^\s*#\+(?:end|END)_(?:src|SRC)", 1), (r"\s*#\+(?:begin|BEGIN)_(?:example|EXAMPLE).*$", r"^\s*#\+(?:end|END)_(?:example|EXAMPLE)", 0)], quotes=[(r"\s*#\+(?:begin|BEGIN)_(?:quote|QUOTE)\s*$", r"^\s*#\+(?:end|END)_(?:quote|QUOTE)")], raw_fences=[(r"\s*#\+(?:begin|BEGIN)_(?:export|EXPORT)\s+html", r"\s*#\+(?:end|END)_(?:export|EXPORT)", "html"), (r"\s*:PROPERTIES:", r"\s*:END:", "drawer")], row="|", comment=r"\s*#\+\w+:|# ", term=r"\s*[-+]\s+(.+?)\s+::\s+(.*)$", line_break=r"\\\\(?=\n|$)", rule=r"-{5,}\s*$", word_bound=True),
     "rst": Language(pairs=[("**", "**", "Strong"), ("*", "*", "Emph"), (":sup:`", "`", "Superscript"), (":sub:`", "`", "Subscript"), (":emphasis:`", "`", "Emph"), (":strong:`", "`", "Strong")], code=[("``", "``"), (":code:`", "`"), (":literal:`", "`")], links=[(r"`([^`<]*?)\s*<([^`>]+)>`__?", lambda m: (m[2], m[1] or m[2])), _bare], under="=-~^\"'`#*+:._", bullet=r"\s*([*+-])\s+", number=r"\s*(\d+[.)]|#\.|\(\d+\))\s+", fences=[], rule=r"-{4,}\s*$", quote_line=r"(?!)", word_bound=True),
     "pod": Language(heading=_pod, bullet=r"=item\s+(\*)\s*", number=r"=item\s+(\d+)\.?\s*", indent_code=True, comment=r"=(?:over|back|cut|pod|encoding|begin|end|for)\b", rule=""),
@@ -383,9 +383,22 @@ def read(text: str, name: str) -> dict:
 def _prepared(text: str, name: str) -> str:
     if name == "pod":
         text = re.sub(r"([BICFLS])<<? ?(.*?) ?>?>", lambda m: {"B": f"\x01b{m[2]}\x01B", "I": f"\x01i{m[2]}\x01I", "F": f"\x01i{m[2]}\x01I", "C": f"\x01c{m[2]}\x01C"}.get(m[1], m[2]), text)
+    if name == "typst":
+        text = re.sub(r"#table\(\s*columns:\s*(\d+|\([^)]*\)),?(.*?)\n\)", _typst_rows, text, flags=re.S)
     return text
 
 
+def _typst_rows(m: re.Match) -> str:
+    """A table call as lines of cells, a rule below its head."""
+    n = int(m[1]) if m[1].isdigit() else m[1].count(",") + 1
+    head = re.search(r"table\.header\((.*?)\)\s*,", m[2], re.S)
+    cells = lambda s: re.findall(r"\[((?:[^\[\]]|\[[^\]]*\])*)\]", s)
+    line = lambda r: "| " + " | ".join(r) + " |"
+    body = cells(m[2][head.end() :] if head else m[2])
+    out = [line(cells(head[1])), "|---|"] if head else []
+    return "\n".join(out + [line(body[i : i + n]) for i in range(0, len(body), n)])
+
+
 LANGUAGES["pod"].pairs = [("\x01b", "\x01B", "Strong"), ("\x01i", "\x01I", "Emph")]
 LANGUAGES["pod"].code = [("\x01c", "\x01C")]
 LANGUAGES["djot"].pairs = [p for p in LANGUAGES["djot"].pairs if p[2] != "Span_mark"]

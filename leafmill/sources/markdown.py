@@ -601,7 +601,7 @@ class _Reader:
             url = m[1] if m[1] is not None else m[2]
             target, at = [re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", html.unescape(url)), re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", m[3] or m[4] or m[5] or "")], m.end()
         else:
-            m = re.compile(r"[ ]?\[([^\]]*)\]").match(text, at)
+            m = re.compile(r"\[([^\]]*)\]").match(text, at)
             key = _key((m[1] or inner) if m else inner)
             target = self.links.get(key) or ([f"#{self.headers[key]}", ""] if key in self.headers and not image else None)
             if target:

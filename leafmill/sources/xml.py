@@ -307,7 +307,18 @@ def read_tree(text: str) -> dict:
                 elif pairs:
                     pairs[-1][1].append(kids(x, False))
             return node(t, pairs)
-        return node(t, kids(e, t not in ("BlockQuote", "Note", "Figure", "Table")))
+        if t == "Figure":
+            return node(t, a(e), [None, kids(e.find("Caption"), False)], [one(x) for x in e if x.tag != "Caption"])
+        if t == "Table":
+            known = ("alignment", "row-span", "col-span", "row-head-columns")
+            own = lambda x: attr(x.get("id", ""), x.get("class", "").split(), [[k, v] for k, v in x.attrib.items() if k not in ("id", "class", *known)])
+            cell = lambda x: [own(x), {"t": x.get("alignment")}, int(x.get("row-span")), int(x.get("col-span")), kids(x, False)]
+            rows = lambda x: [[own(r), [cell(y) for y in r]] for r in x.findall("row")]
+            specs = [[{"t": s.get("alignment")}, {"t": "ColWidth", "c": float(s.get("width"))} if float(s.get("width")) else {"t": "ColWidthDefault"}] for s in e.find("colspecs")]
+            head, foot = e.find("head"), e.find("foot")
+            bodies = [[own(b), int(b.get("row-head-columns")), rows(b.find("header")), rows(b)] for b in e.findall("body")]
+            return node(t, a(e), [None, kids(e.find("Caption"), False)], specs, [own(head), rows(head)], bodies, [own(foot), rows(foot)])
+        return node(t, kids(e, t not in ("BlockQuote", "Note")))
 
     meta = {x.get("key"): {"t": "MetaString", "c": x.text or ""} for x in root.iter("entry")}
     return {"meta": meta, "blocks": [one(e) for e in root.find("blocks")]}
