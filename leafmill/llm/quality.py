@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import pick, stored
+from leafmill.llm.common import filter_of, may_hold, pick, stored
 
 ORDER = 4
 QUANTILE = 0.995
@@ -320,7 +320,9 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -
         pick(labels, l_id="doc_id", quality="quality").groupBy("l_id").agg(F.min("quality").alias("q")).where("q = 1").select("l_id", (F.pmod(F.xxhash64("l_id"), F.lit(HELD_OUT)) == 0).alias("held_out"))
     )
     rows = pick(docs, doc_id="doc_id", lang="lang", text="text").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.col("lang").isNull().alias("no_lang"), "text")
-    known = rows.join(trusted, rows["doc_id"] == trusted["l_id"]).where(F.length("text") > 0)
+    # The filter keeps most other texts out of the join's shuffle.
+    near = may_hold(rows.withColumn("key", F.xxhash64("doc_id")), "key", filter_of(trusted.select(F.xxhash64("l_id").alias("key")), "key"))
+    known = near.join(trusted, near["doc_id"] == trusted["l_id"]).where(F.length("text") > 0)
     learned = stored(model(known.where("not held_out")), "quality-model")
     every = scored(rows.select("doc_id", "no_lang", "lang", "text"), learned)
     logp = F.col("loss") / F.col("n_chars")
