@@ -280,7 +280,8 @@ def _scorer(sent, columns: list[str], names: list[str], shard: int, shards: int,
             sizes, loss = np.zeros(len(texts), np.int64), np.array(column["loss"].to_pylist(), float)
             for lang in sorted(set(langs)):
                 if lang not in sent.value:
-                    loss[[i for i, x in enumerate(langs) if x == lang]] = np.nan
+                    some = [i for i, x in enumerate(langs) if x == lang]
+                    loss[some], sizes[some] = np.nan, [len(codes(texts[i])) if texts[i] else 0 for i in some]
                     continue
                 if lang not in tables:
                     tables[lang] = {k: Lookup(keys.view(np.uint64), p) for k in range(1 - ORDER, ORDER + 1) for keys, p in [sent.value[lang].get(k, empty)]}
