@@ -13,7 +13,7 @@ from leafmill.tree import BREAK, NO_ATTR, attr, node, plain, simple_table, trimm
 _COMMON = {"fenced_code", "autolink", "raw_html", "images", "start_numbers"}
 EXTENSIONS = {
     "commonmark": _COMMON,
-    "gfm": _COMMON | {"pipe_tables", "task_lists", "strikeout", "bare_uris", "footnotes", "emoji", "auto_ids"},
+    "gfm": _COMMON | {"pipe_tables", "task_lists", "strikeout", "bare_uris", "footnotes", "emoji", "auto_ids", "alerts", "math"},
     "commonmark_x": _COMMON | {"pipe_tables", "task_lists", "strikeout", "footnotes", "emoji", "auto_ids", "smart", "math", "super_sub", "attributes", "definition_lists", "fenced_divs", "yaml"},
     "markdown_strict": {"raw_html", "images"},
     "markdown_github": _COMMON | {"pipe_tables", "task_lists", "strikeout", "bare_uris", "hard_breaks"},
@@ -22,11 +22,28 @@ EXTENSIONS = {
     "markdown": _COMMON | {"pipe_tables", "grid_tables", "simple_tables", "task_lists", "strikeout", "footnotes", "inline_notes", "auto_ids", "smart", "math", "super_sub", "attributes", "definition_lists", "fenced_divs", "yaml", "citations", "example_lists", "line_blocks", "implicit_figures", "implicit_headers", "fancy_lists", "title_block", "bracketed_spans", "table_captions"},
 }
 
+#: The long names of extensions, and what they switch here.
+NAMES = {
+    "fenced_code_blocks": {"fenced_code"}, "backtick_code_blocks": {"fenced_code"}, "autolink_bare_uris": {"bare_uris"}, "hard_line_breaks": {"hard_breaks"}, "auto_identifiers": {"auto_ids"}, "gfm_auto_identifiers": {"auto_ids", "gfm_ids"}, "tex_math_dollars": {"math"}, "tex_math_gfm": {"math"}, "superscript": {"super_sub"}, "subscript": {"super_sub"},
+    "header_attributes": {"attributes"}, "link_attributes": {"attributes"}, "inline_code_attributes": {"attributes"}, "fenced_code_attributes": {"attributes"}, "yaml_metadata_block": {"yaml"}, "implicit_header_references": {"implicit_headers"}, "startnum": {"start_numbers"}, "multiline_tables": {"simple_tables"}, "smart_quotes": {"smart"}, "raw_attribute": {"fenced_code"},
+}
+OTHERS = {"mark", "old_dashes", "wikilinks_title_after_pipe", "wikilinks_title_before_pipe", "tex_math_single_backslash", "tex_math_double_backslash", "ignore_line_breaks", "east_asian_line_breaks", "alerts", "spaced_reference_links", "short_subsuperscripts", "escaped_line_breaks", "intraword_underscores", "lists_without_preceding_blankline", "ascii_identifiers", "gfm_ids"}
+KNOWN = set().union(*EXTENSIONS.values()) | set(NAMES) | OTHERS
+
+
+def switches(names: frozenset) -> set[str]:
+    """What extensions of these names switch; an unknown one is an error."""
+    unknown = sorted(names - KNOWN)
+    if unknown:
+        raise ValueError(f"unknown extension {', '.join(unknown)}")
+    return set().union(*[NAMES.get(n, {n}) for n in names])
+
+
 _ATTR = re.compile(r"\{([^{}]*)\}")
 _HTML_BLOCK = re.compile(r"<(/?(address|article|aside|blockquote|center|details|dialog|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|iframe|legend|li|link|main|menu|nav|ol|p|param|pre|script|section|style|summary|table|tbody|td|tfoot|th|thead|title|tr|ul)\b|!--|\?|!\[CDATA\[)", re.I)
 _BULLET = re.compile(r"( {0,3})([*+-])( {1,4}(?=\S)|\t| *$| +)")
 _ORDERED = re.compile(r"( {0,3})(\(?(?:[0-9]{1,9}|[a-zA-Z]|[ivxlcdm]+|[IVXLCDM]+|#|@[\w-]*)[.)])( {1,4}(?=\S)|\t| *$| +)")
-_SPECIAL = re.compile(r"[\\`*_~^!\[<&$@:\"'.\n-]| {2,}\n|(?<![a-zA-Z0-9])(?:https?|ftp)://")
+_SPECIAL = re.compile(r"[\\`*_~^!\[<&$@:=\"'.\n-]| {2,}\n|(?<![a-zA-Z0-9])(?:https?|ftp)://")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
 
@@ -156,7 +173,11 @@ class _Reader:
                 while i < len(lines) and lines[i].strip() and (re.match(r" {0,3}>", lines[i]) or (body and body[-1].strip())):
                     body.append(re.sub(r"^ {0,3}> ?", "", lines[i]))
                     i += 1
-                out.append(node("BlockQuote", self.blocks(body)))
+                if "alerts" in self.ext and body and (m := re.fullmatch(r"\[!(NOTE|TIP|IMPORTANT|WARNING|CAUTION)\]\s*", body[0])):
+                    title = node("Div", attr("", ["title"]), [node("Para", words(m[1].capitalize()))])
+                    out.append(node("Div", attr("", [m[1].lower()]), [title, *self.blocks(body[1:])]))
+                else:
+                    out.append(node("BlockQuote", self.blocks(body)))
                 continue
             if line.startswith("| ") and "line_blocks" in self.ext and not (i + 1 < len(lines) and re.match(r"\|?[ :|-]*-[ :|-]*$", lines[i + 1])):
                 flush()
@@ -428,7 +449,9 @@ class _Reader:
                 continue
             ch = text[i]
             found = None
-            if ch == "\\" and i + 1 < len(text):
+            if ch == "\\" and (m := re.compile(r"(\\{1,2})(?:\((.+?)\1\)|\[(.+?)\1\])", re.S).match(text, i)) and ("tex_math_single_backslash" if len(m[1]) == 1 else "tex_math_double_backslash") in self.ext:
+                found = [node("Math", {"t": "InlineMath" if m[2] else "DisplayMath"}, (m[2] or m[3]).strip())], m.end()
+            elif ch == "\\" and i + 1 < len(text):
                 if text[i + 1] == "\n":
                     found = [BREAK], i + 2
                 elif text[i + 1] in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
@@ -454,10 +477,14 @@ class _Reader:
                 found = [node("Subscript" if ch == "~" else "Superscript", self.inlines(m[2]))], m.end()
             elif ch == "^" and text.startswith("^[", i) and "inline_notes" in self.ext and (end := _closing(text, i + 1)) > 0:
                 found = [node("Note", [node("Para", self.inlines(text[i + 2 : end]))])], end + 1
+            elif ch == "=" and text.startswith("==", i) and "mark" in self.ext:
+                end = text.find("==", i + 2)
+                if end > i + 2 and not text[i + 2].isspace():
+                    found = [node("Span", attr("", ["mark"]), self.inlines(text[i + 2 : end]))], end + 2
             elif ch == "!" and text.startswith("![", i):
                 found = self.link(text, i + 1, image=True)
             elif ch == "[":
-                found = self.note(text, i) or self.citation(text, i) or self.link(text, i)
+                found = self.wikilink(text, i) or self.note(text, i) or self.citation(text, i) or self.link(text, i)
             elif ch == "<":
                 found = self.angle(text, i)
             elif ch == "&" and (m := re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|\w+);").match(text, i)) and html.unescape(m[0]) != m[0]:
@@ -476,7 +503,11 @@ class _Reader:
                     buffer += "’"
                     i += 1
                     continue
-            elif ch == "-" and "smart" in self.ext and (m := re.compile(r"---?").match(text, i)):
+            elif ch == "-" and "smart" in self.ext and "old_dashes" in self.ext and (m := re.compile(r"--|-(?=[0-9])").match(text, i)):
+                buffer += "—" if len(m[0]) == 2 else "–"
+                i = m.end()
+                continue
+            elif ch == "-" and "smart" in self.ext and "old_dashes" not in self.ext and (m := re.compile(r"---?").match(text, i)):
                 buffer += "—" if len(m[0]) == 3 else "–"
                 i = m.end()
                 continue
@@ -558,6 +589,13 @@ class _Reader:
             return [node("RawInline", "html", m[0])], m.end()
         return None
 
+    def wikilink(self, text: str, i: int):
+        after = "wikilinks_title_after_pipe" in self.ext
+        if not (after or "wikilinks_title_before_pipe" in self.ext) or not (m := re.compile(r"\[\[([^\]|\n]+)(?:\|([^\]\n]+))?\]\]").match(text, i)):
+            return None
+        url, title = (m[1], m[2] or m[1]) if after else (m[2] or m[1], m[1])
+        return [node("Link", attr("", ["wikilink"]), words(title), [url, ""])], m.end()
+
     def note(self, text: str, i: int):
         m = re.compile(r"\[\^([^\]\s]+)\]").match(text, i)
         if not m or "footnotes" not in self.ext or m[1] not in self.notes:
@@ -601,7 +639,7 @@ class _Reader:
             url = m[1] if m[1] is not None else m[2]
             target, at = [re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", html.unescape(url)), re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", m[3] or m[4] or m[5] or "")], m.end()
         else:
-            m = re.compile(r"\[([^\]]*)\]").match(text, at)
+            m = re.compile(r"[ ]?\[([^\]]*)\]" if "spaced_reference_links" in self.ext else r"\[([^\]]*)\]").match(text, at)
             key = _key((m[1] or inner) if m else inner)
             target = self.links.get(key) or ([f"#{self.headers[key]}", ""] if key in self.headers and not image else None)
             if target:
@@ -716,7 +754,7 @@ def _meta(v) -> dict:
 
 def read_markdown(text: str, dialect: str = "markdown", plus: frozenset = frozenset(), minus: frozenset = frozenset()) -> dict:
     """A document of a dialect, with extensions added or left out."""
-    ext = (EXTENSIONS[dialect] | plus) - minus
+    ext = (EXTENSIONS[dialect] | switches(plus)) - switches(minus)
     lines, meta = text.replace("\r\n", "\n").replace("\r", "\n").expandtabs(4).split("\n") if "\t" in text else text.replace("\r", "").split("\n"), {}
     if "yaml" in ext:
         meta, lines = _yaml(lines)
@@ -737,6 +775,27 @@ def read_markdown(text: str, dialect: str = "markdown", plus: frozenset = frozen
             if b["t"] == "Header":
                 r.headers.setdefault(_key(plain(b["c"][2])), b["c"][1][0])
     blocks = r.blocks(lines)
+    if "ignore_line_breaks" in ext or "east_asian_line_breaks" in ext:
+        blocks = _joined(blocks, "ignore_line_breaks" not in ext)
     return {"meta": meta, "blocks": unique_identifiers(blocks) if "auto_ids" in ext else blocks}
 
 
+def _joined(blocks: list[dict], wide_only: bool) -> list[dict]:
+    """Without soft breaks: all, or those between two wide characters."""
+    from unicodedata import east_asian_width
+
+    from leafmill.tree import mapped
+
+    def fix(xs: list[dict]) -> list[dict]:
+        out = []
+        for i, x in enumerate(xs):
+            if x["t"] == "SoftBreak":
+                a, b = plain(xs[i - 1 : i])[-1:], plain(xs[i + 1 : i + 2])[:1]
+                if not wide_only or (a and b and east_asian_width(a) in "WF" and east_asian_width(b) in "WF"):
+                    continue
+            out.append(mapped(x, fix))
+        return out
+
+    return fix(blocks)
+
+

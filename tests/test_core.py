@@ -61,6 +61,19 @@ def test_markdown_inlines():
     assert para("*not closed")[0]["t"] == "Str"
 
 
+def test_markdown_extensions():
+    para = lambda s, f: engine.reader(f)(s)["blocks"][0]
+    assert para("==m==", "markdown+mark")["c"][0]["c"][0][1] == ["mark"]
+    assert [x["t"] for x in para("a\nb", "markdown+hard_line_breaks")["c"]] == ["Str", "LineBreak", "Str"]
+    assert [x["t"] for x in para("a\nb", "markdown+ignore_line_breaks")["c"]] == ["Str", "Str"]
+    assert para("[[p|t]]", "markdown+wikilinks_title_after_pipe")["c"][0]["c"][2][0] == "p"
+    assert para("\\(x\\)", "markdown+tex_math_single_backslash")["c"][0]["t"] == "Math"
+    assert para("> [!NOTE]\n> x", "gfm")["t"] == "Div"
+    assert para("'a' -- b", "markdown-smart")["c"][0]["c"] == "'a'"
+    with pytest.raises(ValueError):
+        engine.reader("markdown+nothing")("x")
+
+
 def test_html_soup():
     d = read_html('<p>a<b>x<p>y<ul><li>1<li>2</ul><script>var t="</p>";</script><table><tr><th>h</th></tr><tr><td>v</td></tr></table>')
     assert types(d)[:3] == ["Para", "Para", "BulletList"] and types(d)[-1] == "Table"
