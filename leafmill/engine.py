@@ -36,6 +36,12 @@ def reader(name: str) -> Callable[[str | bytes], dict]:
     return partial(f, plus=plus, minus=minus) if plus or minus else f
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes from fewer files than there are cores: parsing takes longer than moving the text. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or len(df.inputFiles()) >= cores else df.repartition(2 * cores)
+
+
 def read_documents(df: DataFrame, format: str, id: str = "doc_id", content: str = "text") -> DataFrame:
     """DOCS: the documents of a table, one row each, as JSON trees; a document that can't be read has status `error` and what was wrong."""
     parse = reader(format)
@@ -50,7 +56,7 @@ def read_documents(df: DataFrame, format: str, id: str = "doc_id", content: str
                     out.append((i, None, "error", f"{type(e).__name__}: {e}"[:500]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], [], []), (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["doc_id", "ast", "status", "error"])
 
-    return df.select(F.col(id).cast("bigint"), F.col(content)).mapInArrow(convert, DOCS)
+    return spread(df.select(F.col(id).cast("bigint"), F.col(content))).mapInArrow(convert, DOCS)
 
 
 def _schema() -> pa.Schema:
@@ -76,7 +82,7 @@ def _node_batches(parse: Callable[[str], dict], schema: pa.Schema, batches: Iter
 def read_nodes(df: DataFrame, format: str, id: str = "doc_id", content: str = "text") -> DataFrame:
     """tree.NODES: all nodes of the documents of a table, read and flattened in one pass."""
     parse, schema = reader(format), _schema()
-    return df.select(F.col(id).cast("bigint"), F.col(content)).mapInArrow(lambda b: _node_batches(parse, schema, b), tree.NODES)
+    return spread(df.select(F.col(id).cast("bigint"), F.col(content))).mapInArrow(lambda b: _node_batches(parse, schema, b), tree.NODES)
 
 
 def nodes(docs: DataFrame) -> DataFrame:
