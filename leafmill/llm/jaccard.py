@@ -122,7 +122,8 @@ DISTANCE = "case when na + nb > 0 then 1 - shared / cast(na + nb - shared as dou
 def led(docs: DataFrame, heads: DataFrame, by: str) -> DataFrame:
     """a, b, far: heads (rep, n, m1, m2) that link with the leader b of those that agree in `by`, and their distance."""
     leaders = heads.groupBy(by).agg(F.min(F.struct("rep", "n")).alias("first"), F.max("rep").alias("last")).where("first.rep < last")
-    leaders = leaders.select(F.col(by).alias("key"), F.col("first.rep").alias("b"), F.col("first.n").alias("nb"))
+    # Stored, so that the join deals both sides itself and can split a key that many heads share.
+    leaders = stored(leaders.select(F.col(by).alias("key"), F.col("first.rep").alias("b"), F.col("first.n").alias("nb")), "jaccard-leaders")
     pairs = heads.join(leaders, heads[by] == leaders["key"]).where("rep <> b and 4 * n >= 3 * nb and 4 * nb >= 3 * n").select(F.col("rep").alias("a"), "b").distinct()
     found = compared(docs, stored(pairs, "jaccard-led"))
     return stored(found.where(LINKED).groupBy("a").agg(F.min("b").alias("b"), F.max(F.expr(DISTANCE)).alias("far")), "jaccard-links")
