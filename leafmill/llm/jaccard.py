@@ -4,7 +4,7 @@ Documents link when their sets of distinct 5-word shingles have a Jaccard simila
 is what links reach. No pair is enumerated that can't change a component:
 
 1. Equal sets are one class (one pass over the texts, fingerprints of 128 bits).
-2. Classes that agree in their smallest shingle under one of two hash orders are compared with one leader each. A
+2. Classes that agree in their smallest shingle under one of four hash orders are compared with one leader each. A
    member's answers are derived from its leader's: distances are a metric, so what is too far from the leader is too far from the member.
 3. An index of shingles holds, for each class, the shingles of its prefix (a quarter of its set, frequent shingles last): linked sets
    share one. Each shingle lists groups, not members, with bounds of their sizes and positions. Lists are
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import pick, stored
+from leafmill.llm.common import pick, stored, union
 from leafmill.llm.graph import components
 from leafmill.llm.shingles import common, mixed, sets, signed
 
@@ -44,7 +44,7 @@ FILTER_BITS = 1 << 24
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """kind 0: a document's id, n and its set's fingerprint (f1, f2) and smallest members (m1, m2); kind 1: a shingle (f1) and in how many (n) of a task's different sets it is."""
+    """kind 0: a document's id, n and its set's fingerprint (f1, f2) and smallest members (ORDERS); kind 1: a shingle (f1) and in how many (n) of a task's different sets it is."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -56,15 +56,16 @@ def profiles(docs: DataFrame) -> DataFrame:
             held.clear()
             seen.clear()
             zero = np.zeros(len(keys), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(zero), pa.array(n.astype(np.int64)), signed(keys), *[pa.array(zero)] * 3], _PROFILE)
+            return pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(zero), pa.array(n.astype(np.int64)), signed(keys), *[pa.array(zero)] * (1 + len(ORDERS))], _PROFILE)
 
         for batch in batches:
             own = sets(batch.column(1).to_pylist())
-            shape = np.zeros((5, len(own)), np.uint64)
+            shape = np.zeros((3 + len(ORDERS), len(own)), np.uint64)
             for i, s in enumerate(own):
                 if len(s):
-                    other = mixed(s + np.uint64(0x9E3779B97F4A7C15))
-                    shape[:, i] = len(s), np.sum(other, dtype=np.uint64), np.bitwise_xor.reduce(mixed(other)), s[0], other.min()
+                    other = mixed(s + _SALTS[0])
+                    shape[:3, i] = len(s), np.sum(other, dtype=np.uint64), np.bitwise_xor.reduce(mixed(other))
+                    shape[3:, i] = other.min(), *[mixed(s + salt).min() for salt in _SALTS[1:]]
                     key = (int(shape[1, i]), int(shape[2, i]))
                     if key not in seen:
                         seen.add(key)
@@ -77,7 +78,10 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(profile, ", ".join(f"{c} long" for c in _PROFILE))
 
 
-_PROFILE = ["kind", "doc_id", "n", "f1", "f2", "m1", "m2"]
+#: Hash orders by whose smallest shingle sets find a leader, one round each.
+ORDERS = ("m1", "m2", "m3", "m4")
+_SALTS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64) for k in range(len(ORDERS))]
+_PROFILE = ["kind", "doc_id", "n", "f1", "f2", *ORDERS]
 
 
 def filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -120,7 +124,7 @@ DISTANCE = "case when na + nb > 0 then 1 - shared / cast(na + nb - shared as dou
 
 
 def led(docs: DataFrame, heads: DataFrame, by: str) -> DataFrame:
-    """a, b, far: heads (rep, n, m1, m2) that link with the leader b of those that agree in `by`, and their distance."""
+    """a, b, far: heads (rep, n and ORDERS) that link with the leader b of those that agree in `by`, and their distance."""
     leaders = heads.groupBy(by).agg(F.min(F.struct("rep", "n")).alias("first"), F.max("rep").alias("last")).where("first.rep < last")
     # Stored, so that the join deals both sides itself and can split a key that many heads share.
     leaders = stored(leaders.select(F.col(by).alias("key"), F.col("first.rep").alias("b"), F.col("first.n").alias("nb")), "jaccard-leaders")
@@ -290,11 +294,11 @@ def linked(docs: DataFrame) -> DataFrame:
     rows = stored(profiles(docs), "jaccard-profiles")
     files = rows.where("kind = 0").drop("kind")
     hot = rows.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "f1").limit(HOT_SHINGLES)
-    classes = files.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("m1").alias("m1"), F.min("m2").alias("m2"))
+    classes = files.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), *[F.min(m).alias(m) for m in ORDERS])
     classes = stored(classes, "jaccard-classes")
     members = classes.select("rep", "n", F.col("rep").alias("gid"), F.lit(0.0).alias("far")).dropDuplicates(["rep", "n"])
     links, heads = [], classes
-    for by in ("m1", "m2"):
+    for by in ORDERS:
         found = led(docs, heads, by)
         links.append(found.select("a", "b"))
         new = found.select(F.col("a").alias("la"), F.col("b").alias("lb"), F.col("far").alias("lfar"))
@@ -309,8 +313,7 @@ def linked(docs: DataFrame) -> DataFrame:
     pairs = stored(candidates(postings(docs, groups, hot, buckets), buckets), "jaccard-candidates")
     checked = stored(compared(docs, pairs).groupBy("a", "b").agg(F.max(F.when(F.expr(LINKED), 1).otherwise(0)).alias("link"), F.min(F.expr(DISTANCE)).alias("far")), "jaccard-checked")
     links.append(checked.where("link = 1").select("a", "b"))
-    whole = links[0].unionByName(links[1]).unionByName(links[2])
-    parts = stored(components(whole), "jaccard-components")
+    parts = stored(components(union(links)), "jaccard-components")
     more = open_pairs(checked.where("link = 0").select("a", "b", "far"), members, parts)
     more = stored(more, "jaccard-open")
     if not more.isEmpty():
