@@ -39,6 +39,8 @@ COUNT_SHINGLES, TELL = 4_000_000, 4
 BUCKET, BUCKETS = 500_000, 64
 #: Entries of a block of an index list.
 BLOCK = 512
+#: Of the overlap that a link takes, one in so many shingles must be shared near the front of both sets.
+EARLY = 32
 #: Bits of the filter that keeps texts nobody compares out of a shuffle.
 FILTER_BITS = 1 << 24
 
@@ -212,10 +214,11 @@ def candidates(index: DataFrame, buckets: int) -> DataFrame:
 
 
 def _bucket_pairs(tok, gid, n_low, n_high, at_low, at_high) -> Iterator[tuple[np.ndarray, ...]]:
-    """a, b (smaller, larger): groups that may link, c: how many of the bucket's shingles both index, need: of how many in all they must.
+    """a, b (smaller, larger): groups that may link, c: how many of the bucket's shingles they share early enough, need: how many in all they must.
 
-    Of a pair's shared shingles all are indexed by both but those behind the prefix that ends first, and of its set no
-    more than 3/4 lie behind it. So the shared ones that both index are no fewer than the overlap that a link takes, less 3/4 of the larger set.
+    A link takes an overlap of `least` shared shingles (3/7 of both sizes). The k-th of them from the front has least - k behind it,
+    so it stands before place n - least + k in either set: with k = 1 + least / EARLY, at least k shared shingles stand before that place. k is
+    less where a set's indexed quarter ends before that place. For groups, sizes and places are taken at the end of their range that keeps more pairs.
     """
     order = np.lexsort((gid, tok))
     tok, gid, n_low, n_high, at_low, at_high = (x[order] for x in (tok, gid, n_low, n_high, at_low, at_high))
@@ -233,11 +236,14 @@ def _bucket_pairs(tok, gid, n_low, n_high, at_low, at_high) -> Iterator[tuple[np
     held: list[tuple[np.ndarray, ...]] = []
 
     def take(i: np.ndarray, j: np.ndarray) -> None:
-        least = n_low[i] + n_low[j]
+        least = (3 * (n_low[i] + n_low[j]) + 6) // 7
+        k = 1 + (3 * (n_high[i] + n_high[j]) + 6) // 7 // EARLY
+        early = (at_low[i] < n_high[i] - (3 * (n_high[i] + n_low[j]) + 6) // 7 + k) & (at_low[j] < n_high[j] - (3 * (n_high[j] + n_low[i]) + 6) // 7 + k)
         sizes = (4 * n_high[i] >= 3 * n_low[j]) & (4 * n_high[j] >= 3 * n_low[i])
-        ok = sizes & (gid[i] != gid[j]) & (7 * (np.minimum(at_high[i], at_high[j]) + 1 + np.minimum(rest[i], rest[j])) >= 3 * least)
+        ok = early & sizes & (gid[i] != gid[j]) & (np.minimum(at_high[i], at_high[j]) + 1 + np.minimum(rest[i], rest[j]) >= least)
         i, j, least = i[ok], j[ok], least[ok]
-        held.append(_counted(np.minimum(gid[i], gid[j]), np.maximum(gid[i], gid[j]), np.ones(len(i), np.int64), (3 * least + 6) // 7 - np.maximum(most[i], most[j]) + 1))
+        need = np.minimum(1 + least // EARLY, least - np.maximum(most[i], most[j]) + 1)
+        held.append(_counted(np.minimum(gid[i], gid[j]), np.maximum(gid[i], gid[j]), np.ones(len(i), np.int64), need))
 
     def full() -> bool:
         return sum(len(x[0]) for x in held) > 1_000_000
