@@ -133,6 +133,9 @@ def near_duplicates(docs: DataFrame, table: DataFrame, filter_keys: int = FILTER
     """k1, k2: different lines that have an earlier line within one edit."""
     lines = _with_partner(docs, table, filter_keys)
     entries = stored(_variants(lines), "lines-variants")
+    again = stored(entries.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "lines-repeated")
+    if again.count() <= filter_keys:  # most variants stand alone and go no further
+        entries = stored(may_hold(entries, "v", filter_of(again, "v")), "lines-variants")
     earliest = entries.groupBy("v", "gone").agg(F.min("place").alias("m"), F.count("*").alias("c"))
     by_hash = earliest.groupBy("v").agg(
         F.min(F.when(F.col("gone") < 0, F.col("m"))).alias("as_line"),
