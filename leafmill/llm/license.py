@@ -1,7 +1,7 @@
 """License scans by a positional rare-token index.
 
-Licence sentences (TEMPLATES) are indexed by their informative words: word -> (template, position). Of each file the
-licence words of the highest IDF (document frequencies over all files) are looked up; each occurrence votes for the
+Licence sentences (TEMPLATES) are indexed by their informative words: word -> (template, position). Every licence word
+of a file is looked up; each occurrence votes for the
 offset at which its template would begin, so postings intersect by relative position. An offset with enough of a template's words is
 verified: the template's mandatory phrase must stand at its place. Besides, BASE_PHRASES are found wherever their words
 stand consecutively; their labels always stay.
@@ -44,7 +44,7 @@ TEMPLATES = [
 ]
 #: Words that tell nothing and aren't indexed.
 COMMON = {"a", "all", "and", "any", "are", "as", "at", "by", "can", "for", "in", "is", "it", "not", "of", "or", "that", "the", "this", "to", "use", "with", "you", "0", "2", "3", "4", "v"}
-#: Highest-IDF licence words of a file that are looked up, and the share of a template's indexed words that must align.
+#: Highest-IDF licence words of a file that scan_sql looks up (scan looks up all), and the share of a template's indexed words that must align.
 RARE_WORDS, SHARE = 16, 0.6
 
 
@@ -99,14 +99,7 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     files = stored(scanned(docs), "license-scan")
     some = files.where(F.size("found") > 0)
-    # One row per word of the fixed vocabulary: the document frequencies of all files.
-    counts = some.select(F.explode(F.array_distinct(F.transform("found", lambda f: f["word"]))).alias("word")).groupBy("word").count()
-    df = {r["word"]: r["count"] for r in counts.collect()}
-    order = [w for w, _ in sorted(df.items(), key=lambda x: (x[1], x[0]))]  # highest IDF first, ties by word
-    ranked = F.array(*map(F.lit, order)) if order else F.array().cast("array<string>")
-    own = F.array_distinct(F.transform("found", lambda f: f["word"]))
-    rare = F.slice(F.filter(ranked, lambda w: F.array_contains(F.col("own"), w)), 1, RARE_WORDS)
-    looked = some.select("row", "found", own.alias("own")).select("row", F.explode(F.filter("found", lambda f: F.array_contains(rare, f["word"]))).alias("f"))
+    looked = some.select("row", F.explode("found").alias("f"))
     index = spark.createDataFrame(postings(), "word string, template int, place int")
     votes = (
         looked.select("row", F.col("f.at").alias("at"), F.col("f.word").alias("word"))
@@ -147,6 +140,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def scan_sql(docs: str = "documents") -> str:
+    """scan in SQL, but with the RARE_WORDS words of a file only: it agrees with scan where a file holds no more licence words."""
     quoted = lambda s: "'" + s + "'"
     rows = lambda xs: ", ".join("(" + ", ".join(quoted(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in xs)
     consecutive = lambda p: " and ".join(f"words[i + {k + 1}] = '{w}'" for k, w in enumerate(p.split()))

@@ -253,6 +253,16 @@ def test_license(spark, edge, empty):
     assert license.scan(empty).count() == 0 and license.scan(edge).count() == len(EDGE)
 
 
+def test_license_several_texts(spark):
+    texts = [". ".join(t for _, t, _ in license.TEMPLATES), ". ".join(t for label, t, _ in license.TEMPLATES if label in ("mit", "bsd"))]
+    texts += [f"{' '.join(license.VOCABULARY)}. {t}. {' '.join(reversed(license.VOCABULARY))}" for _, t, _ in license.TEMPLATES]
+    got = {r["doc_id"]: r for r in license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0]["labels"] == ",".join(sorted({label for label, _, _ in license.TEMPLATES}))
+    assert got[1]["labels"] == "bsd,mit"
+    for i, (label, _, _) in enumerate(license.TEMPLATES, 2):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0
+
+
 # --- WARC -------------------------------------------------------------------------------------------------------------
 
 
