@@ -2,8 +2,9 @@
 
 Fixed masks choose some of the words of a short span and ignore the others, so a substituted word at an ignored place
 leaves the seed equal. Seeds of training documents are joined with seeds of benchmark items on (mask, hash). Around
-each hit the two texts are aligned on its diagonal, and equal words are counted in a window of WINDOW words of the item
-(the whole item, if it is shorter): with SHARE of them equal, the document contains the passage.
+each hit the two texts are aligned on its diagonal, and equal words are counted in every window of WINDOW words of the item
+that holds the hit's first words, as many as the shortest mask has (in the whole item, if it is shorter): with SHARE of them
+equal in one of the windows, the document contains the passage.
 
 Words: lower-cased runs of digits, letters a-z and code points from U+0080. Items of fewer than MIN_WORDS words are no evidence.
 
@@ -21,7 +22,11 @@ from leafmill.llm.common import pick, stored
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MASKS = ("11101011", "110110011", "1101010011")
 MIN_WORDS = 8
-WINDOW, BEFORE, SHARE = 16, 4, 0.75
+WINDOW, SHARE = 16, 0.75
+#: Words before a hit at which overlaps_sql sets its only window; overlaps counts in all windows.
+BEFORE = 4
+#: Places by which a window may begin before a hit.
+REACH = WINDOW - min(map(len, MASKS))
 #: Benchmark seeds that are broadcast (with their item's word hashes, a few hundred bytes each); more are joined by a shuffle.
 BROADCAST_SEEDS = 200_000
 
@@ -45,19 +50,20 @@ def seeds(rows: DataFrame, words: str, at: str) -> DataFrame:
 
 def _around(i: Column) -> tuple[Column, Column]:
     """The words that a window around a hit at i may reach, and the place of the first of them: rows after the join hold these and not the whole text."""
-    reach = WINDOW - min(map(len, MASKS))
-    first = F.greatest(i - reach, F.lit(0))
-    return F.slice("words", first + 1, reach + WINDOW + BEFORE), first
+    first = F.greatest(i - REACH, F.lit(0))
+    return F.slice("words", first + 1, REACH + WINDOW), first
 
 
 def _matched(around: Column, first: Column, item_words: Column, i: Column, j: Column) -> tuple[Column, Column]:
-    """Equal words in the window around a hit, and the window's width."""
+    """The most equal words in a window around a hit, and the windows' width."""
     size = F.size(item_words)
-    start = F.greatest(F.least(j - BEFORE, size - WINDOW), F.lit(0))
+    clipped = lambda start: F.greatest(F.least(start, size - WINDOW), F.lit(0))
     width = F.least(size, F.lit(WINDOW))
-    places = F.sequence(start, start + width - 1)
-    same = F.filter(places, lambda p: F.get(around, F.when(p + i - j >= first, p + i - j - first)) == F.get(item_words, p))
-    return F.size(same), width
+    places = F.sequence(clipped(j - REACH), clipped(j) + width - 1)
+    equal = lambda p: F.get(around, F.when(p + i - j >= first, p + i - j - first)) == F.get(item_words, p)
+    # A bit for each place; the windows are the runs of WINDOW bits, and a run over the end counts less than the window at the end.
+    bits = F.aggregate(places, F.lit(0), lambda all_, p: all_ * 2 + F.when(equal(p), 1).otherwise(0))
+    return F.greatest(*[F.bit_count(F.shiftright(bits, k).bitwiseAND(F.lit((1 << WINDOW) - 1))) for k in range(REACH + 1)]), width
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -95,6 +101,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def overlaps_sql(docs: str = "documents", benchmark: str = "benchmark") -> str:
+    """overlaps in SQL, but with one window for each hit: what it reports, overlaps reports as well."""
     words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w != '')"
 
     def seeded(source: str, key: str, at: str) -> str:

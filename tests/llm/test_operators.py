@@ -1,6 +1,7 @@
 """The operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -141,6 +142,22 @@ def test_decontam_substitutions(spark):
     assert decontam.overlaps(d.where("false"), b).count() == 0 and decontam.overlaps(d, b.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("changed, seeded", [(3, 554), (4, 1672)])
+def test_decontam_every_window(spark, changed, seeded):
+    item = [f"b{i}" for i in range(40)]
+    docs, want = [], set()
+    for n, gone in enumerate(itertools.combinations(range(16), changed)):
+        docs.append((n, " ".join(["x"] * 20 + [f"s{i}" if i in gone else item[12 + i] for i in range(16)] + ["y"] * 20)))
+        if any(all(c == "0" or at + k not in gone for k, c in enumerate(m)) for m in decontam.MASKS for at in range(17 - len(m))):
+            want.add(n)
+    assert len(want) == seeded
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for limit in (decontam.BROADCAST_SEEDS, 0):
+        got = decontam.overlaps(d, b, limit).collect()
+        assert {r["doc_id"] for r in got} == want and {(r["matched"], r["width"]) for r in got} == {(16 - changed, 16)}
+
+
 # --- lines ------------------------------------------------------------------------------------------------------------
 
 
