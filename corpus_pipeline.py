@@ -28,9 +28,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents, the one with the smallest doc_id."""
-    kept = jaccard.linked(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+    """Of each component of linked rows, the one with the smallest doc_id; a null doc_id comes before any other, as in line_dedup. Rows without words are one if they share a doc_id."""
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "near-dedup-rows")
+    found = jaccard.linked(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__id"), "n_shingles", "component_id")
+    ids = rows.select("__row", F.col("doc_id").alias("__doc"))
+    told = ids.join(found, ids["__row"] == found["__id"])
+    own = F.when((F.col("n_shingles") == 0) & F.col("__doc").isNotNull(), F.col("__doc"))
+    kept = told.groupBy(own.alias("own"), F.when(own.isNull(), F.col("component_id")).alias("component")).agg(F.min(F.struct("__doc", "__row")).alias("first"))
+    kept = kept.select(F.col("first.__row").alias("__kept"))
+    return rows.join(kept, rows["__row"] == kept["__kept"], "left_semi").drop("__row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,32 @@ def test_stages(spark, sf):
     assert last.count() > 0 and last.where(F.col("copy_no") < 0).count() == 0
 
 
+def test_near_dedup_rows(spark):
+    long = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    near = long("a") + " end"
+    rows = [
+        (None, long("n"), "clean"),
+        (None, long("m"), "pair"),
+        (None, long("m") + " end", "pair"),
+        (None, "", "empty"),
+        (7, long("a"), "one"),
+        (7, long("a"), "one"),
+        (7, near, "one"),
+        (5, near, "least"),
+        (9, long("b"), "other"),
+        (9, long("c"), "other"),
+        (8, long("n") + " end", "late"),
+        (4, None, "wordless"),
+        (4, None, "wordless"),
+        (3, None, "wordless"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = P.near_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted((r["source"], str(r["doc_id"])) for r in out.collect())
+    assert got == [("clean", "None"), ("empty", "None"), ("least", "5"), ("other", "9"), ("other", "9"), ("pair", "None"), ("wordless", "3"), ("wordless", "4")]
+
+
 def test_run(spark, sf):
     out = P.run(spark, sf)
     assert {"doc_id", "text", "copy_no", "mix_key"} <= set(out.columns) and out.count() > 0
