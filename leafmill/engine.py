@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -17,6 +18,17 @@ from leafmill.sinks import registry as sinks
 from leafmill.sources import registry as sources
 
 DOCS = "doc_id bigint, ast string, status string, error string"
+#: Calls within each other that readers and writers may make: they recurse into nested elements, and Python's own limit ends at about a thousand.
+CALLS = 1_000_000
+
+
+def _deep() -> None:
+    """Lets a worker follow deeply nested documents; calls from Python to Python take no C stack."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), CALLS))
+
+
+def _told(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"[:500]
 
 
 def split_format(name: str) -> tuple[str, frozenset, frozenset]:
@@ -47,13 +59,14 @@ def read_documents(df: DataFrame, format: str, id: str = "doc_id", content: str
     parse = reader(format)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _deep()
         for batch in batches:
             out = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     out.append((i, json.dumps(parse(text if text is not None else ""), ensure_ascii=False), "ok", None))
                 except Exception as e:  # a bad document is a row with its error, not a failed job
-                    out.append((i, None, "error", f"{type(e).__name__}: {e}"[:500]))
+                    out.append((i, None, "error", _told(e)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], [], []), (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["doc_id", "ast", "status", "error"])
 
     return spread(df.select(F.col(id).cast("bigint"), F.col(content))).mapInArrow(convert, DOCS)
@@ -64,14 +77,17 @@ def _schema() -> pa.Schema:
 
 
 def _node_batches(parse: Callable[[str], dict], schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches: id, content, and as a third column, if there is one, what was wrong before."""
+    _deep()
     for batch in batches:
         held: list[dict] = []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        known = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+        for i, text, error in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), known, strict=True):
             try:
-                doc = parse(text if text is not None else "")
-            except Exception:
-                continue
-            held.extend(tree.rows(i, doc))
+                own = [tree.error_row(i, error)] if error is not None else list(tree.rows(i, parse(text if text is not None else "")))
+            except Exception as e:
+                own = [tree.error_row(i, _told(e))]
+            held.extend(own)
             if len(held) >= 50_000:
                 yield pa.RecordBatch.from_pylist(held, schema)
                 held = []
@@ -80,21 +96,23 @@ def _node_batches(parse: Callable[[str], dict], schema: pa.Schema, batches: Iter
 
 
 def read_nodes(df: DataFrame, format: str, id: str = "doc_id", content: str = "text") -> DataFrame:
-    """tree.NODES: all nodes of the documents of a table, read and flattened in one pass."""
+    """tree.NODES: all nodes of the documents of a table, read and flattened in one pass; a document that can't be read is one row of kind `error` with what was wrong."""
     parse, schema = reader(format), _schema()
     return spread(df.select(F.col(id).cast("bigint"), F.col(content))).mapInArrow(lambda b: _node_batches(parse, schema, b), tree.NODES)
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """tree.NODES of documents (DOCS)."""
+    """tree.NODES of documents (DOCS), with a row of kind `error` for each that couldn't be read."""
     schema = _schema()
-    return docs.where("status = 'ok'").select("doc_id", "ast").mapInArrow(lambda b: _node_batches(json.loads, schema, b), tree.NODES)
+    error = F.when(F.col("status") != "ok", F.coalesce("error", F.lit("")))
+    return docs.select("doc_id", "ast", error.alias("error")).mapInArrow(lambda b: _node_batches(json.loads, schema, b), tree.NODES)
 
 
 def transform(docs: DataFrame, f: Callable[[dict], dict]) -> DataFrame:
     """DOCS with f applied to every document."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _deep()
         for batch in batches:
             new = [json.dumps(f(json.loads(x)), ensure_ascii=False) if x is not None else None for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), batch.column(2), batch.column(3)], ["doc_id", "ast", "status", "error"])
@@ -103,19 +121,29 @@ def transform(docs: DataFrame, f: Callable[[dict], dict]) -> DataFrame:
 
 
 def render(docs: DataFrame, format: str) -> DataFrame:
-    """doc_id, output: documents (DOCS) in a format; binary for packages like epub."""
+    """doc_id, output, error: documents (DOCS) in a format; binary for packages like epub. A document that can't be read or written has a null output and what was wrong."""
     base, _, _ = split_format(format)
     write, binary = sinks.writer(base), base in sinks.BINARY
     kind = pa.binary() if binary else pa.string()
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _deep()
         for batch in batches:
-            out = [write(json.loads(x)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "output"])
+            out, errors = [], []
+            for ast, status, error in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                made = None
+                if status == "ok":
+                    try:
+                        made, error = write(json.loads(ast)), None
+                    except Exception as e:  # as in read_documents
+                        error = _told(e)
+                out.append(made)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind), pa.array(errors, pa.string())], ["doc_id", "output", "error"])
 
-    return docs.where("status = 'ok'").select("doc_id", "ast").mapInArrow(convert, f"doc_id bigint, output {'binary' if binary else 'string'}")
+    return docs.select("doc_id", "ast", "status", "error").mapInArrow(convert, f"doc_id bigint, output {'binary' if binary else 'string'}, error string")
 
 
 def convert(df: DataFrame, source: str, target: str, id: str = "doc_id", content: str = "text") -> DataFrame:
-    """doc_id, output: the documents of a table from one format to another."""
+    """doc_id, output, error: the documents of a table from one format to another."""
     return render(read_documents(df, source, id, content), target)

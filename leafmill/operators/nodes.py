@@ -43,6 +43,11 @@ def text_of(nodes: DataFrame, tops: DataFrame) -> DataFrame:
     return keys.join(text, (keys["k_doc"] == text["doc_id"]) & (keys["k_node"] == text["top"]), "left").select(F.col("k_doc").alias("doc_id"), F.col("k_node").alias("node_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def errors(nodes: DataFrame) -> DataFrame:
+    """doc_id, error of the documents that couldn't be read; what has no row per document leaves them out."""
+    return nodes.where("kind = 'error'").select("doc_id", F.col("text").alias("error"))
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """doc_id, node_id, url, title of links and images."""
     return of_type(nodes, "Link", "Image").select("doc_id", "node_id", "type", F.col("target.url").alias("url"), F.col("target.title").alias("title"))
@@ -60,9 +65,9 @@ def headings(nodes: DataFrame) -> DataFrame:
 
 
 def word_counts(nodes: DataFrame) -> DataFrame:
-    """doc_id, n_words: Str nodes with a letter or digit."""
+    """doc_id, n_words: Str nodes with a letter or digit; null for a document that couldn't be read."""
     word = (F.col("type") == "Str") & F.rlike("text", F.lit(r"[\p{L}\p{N}]"))
-    return nodes.groupBy("doc_id").agg(F.count_if(word).alias("n_words"))
+    return nodes.groupBy("doc_id").agg(F.when(~F.bool_or(F.col("kind") == "error"), F.count_if(word)).alias("n_words"))
 
 
 def type_counts(nodes: DataFrame) -> DataFrame:
@@ -219,13 +224,13 @@ def best_outputs(nodes: DataFrame, rank: Column) -> DataFrame:
 
 
 def slide_level(nodes: DataFrame) -> DataFrame:
-    """doc_id, slide_level: the least level of a heading with content right below it; 6 without one."""
+    """doc_id, slide_level: the least level of a heading with content right below it; 6 without one, null for a document that couldn't be read."""
     top = nodes.where("depth = 1")
     nxt = F.lead("type").over(Window.partitionBy("doc_id").orderBy("ord"))
     found = top.withColumn("nxt", nxt).where(F.col("type") == "Header").where(~F.coalesce(F.col("nxt"), F.lit("Header")).isin("Header", "HorizontalRule"))
     levels = found.groupBy("doc_id").agg(F.min("level").alias("l")).withColumnRenamed("doc_id", "l_doc")
-    docs = nodes.where("kind = 'doc'").select("doc_id")
-    return docs.join(levels, docs["doc_id"] == levels["l_doc"], "left").select("doc_id", F.coalesce("l", F.lit(6)).alias("slide_level"))
+    docs = nodes.where("kind in ('doc', 'error')").select("doc_id", "kind")
+    return docs.join(levels, docs["doc_id"] == levels["l_doc"], "left").select("doc_id", F.when(F.col("kind") == "doc", F.coalesce("l", F.lit(6))).alias("slide_level"))
 
 
 def table_shapes(nodes: DataFrame) -> DataFrame:

@@ -74,7 +74,16 @@ def _attr(e: _Element, drop: tuple = ()) -> list:
 
 
 def _text(e) -> str:
-    return e if isinstance(e, str) else "\n" if e.tag == "br" else "".join(map(_text, e.children))
+    out, left = [], [e]
+    while left:
+        x = left.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.tag == "br":
+            out.append("\n")
+        else:
+            left.extend(reversed(x.children))
+    return "".join(out)
 
 
 def _find(e: _Element, tag: str):

@@ -238,6 +238,11 @@ def rows(doc_id: int | None, doc: dict) -> Iterator[dict]:
     yield from out
 
 
+def error_row(doc_id: int | None, error: str) -> dict:
+    """In place of the nodes of a document that can't be read."""
+    return _row(doc_id, 0, None, 0, 0, "error", "Error") | {"text": error}
+
+
 def _row(doc_id, node_id, parent, place, depth, kind, t) -> dict:
     return {"doc_id": doc_id, "node_id": node_id, "parent_id": parent, "ord": place, "depth": depth, "last_id": node_id, "kind": kind, "type": t, "level": None, "text": None, "fmt": None, "attr": None, "target": None, "lst": None, "cell": None}
 

@@ -151,6 +151,27 @@ def test_bad_documents_are_rows(spark):
     assert got == {1: "error", 2: "ok"}
 
 
+def test_no_document_vanishes(spark):
+    deep = "<h1>top</h1>" + "<div>" * 1500 + '<p><a href="u">in</a> ' + "<b>" * 1500 + "x"
+    pages = spark.createDataFrame([(1, deep), (2, '<p><a href="u">y</a>')], "doc_id long, text string")
+    nodes = engine.read_nodes(pages, "html")
+    assert N.link_counts(nodes).collect() == [("u", 2)] and N.errors(nodes).count() == 0
+    assert {r["doc_id"]: r["n_words"] for r in N.word_counts(nodes).collect()} == {1: 3, 2: 1}
+    assert [r["text"] for r in N.headings(nodes).collect()] == ["top"]
+    less = pages.where("doc_id = 2").unionByName(spark.createDataFrame([(3, deep.replace("<div>" * 1000, "").replace("<b>" * 1000, ""))], "doc_id long, text string"))
+    for target in ("plain", "markdown", "html"):
+        assert {r["doc_id"]: (r["output"] is None, r["error"]) for r in engine.convert(less, "html", target).collect()} == {2: (False, None), 3: (False, None)}
+    assert {r["doc_id"]: (r["output"] is None) == (r["error"] is not None) for r in engine.convert(pages, "html", "html").collect()} == {1: True, 2: True}
+
+    bad = spark.createDataFrame([(1, "{"), (2, '{"blocks": [], "meta": {}}')], "doc_id long, text string")
+    for nodes in (engine.read_nodes(bad, "json"), engine.nodes(engine.read_documents(bad, "json"))):
+        assert [r["doc_id"] for r in N.errors(nodes).where("error <> ''").collect()] == [1]
+        assert {r["doc_id"]: r["n_words"] for r in N.word_counts(nodes).collect()} == {1: None, 2: 0}
+        assert {r["doc_id"]: r["slide_level"] for r in N.slide_level(nodes).collect()} == {1: None, 2: 6}
+    got = {r["doc_id"]: (r["output"] is None, r["error"] is None) for r in engine.convert(bad, "json", "plain").collect()}
+    assert got == {1: (True, False), 2: (False, True)}
+
+
 def test_text_functions(spark):
     one = spark.range(1)
     f = lambda c: one.select(c).first()[0]
