@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a broadcast side may have at most; a larger side is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests on one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset and all run on this machine (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.conf.get("leafmill.shared.dir", None)
         if not found:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="leafmill-")
             spark.conf.set("leafmill.shared.dir", found)
     return found.rstrip("/")
@@ -39,9 +41,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows allow it."""
-    return F.broadcast(df) if rows <= limit else df
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside hands at most so many rows at once to Python; afterwards the session is as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

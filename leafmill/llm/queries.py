@@ -74,4 +74,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": mixing.mix_sql(),
         "op7_license": license.scan_sql(),
         "op8_warc": warc.warc_sql(),
+        "op9_jaccard": jaccard.linked_sql(),
     }

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-#: Bytes of text that are hashed at once; a longer text is hashed alone.
-BLOCK_BYTES = 1 << 21
+#: Bytes of text that are hashed at once; numbers of several times as many bytes are held meanwhile. A longer text is hashed piece by piece.
+BLOCK_BYTES = 1 << 18
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
@@ -35,6 +35,25 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word (A-Z as a-z, cut at white space and where a text starts), and how many words come before each text."""
+    if len(data) <= 2 * BLOCK_BYTES:
+        return _piece_hashes(data, starts)
+    space = np.flatnonzero(_SPACE[data])
+    found, at, begin, words = [], np.zeros(len(starts), np.int64), 0, 0
+    while begin < len(data):
+        # A piece ends behind the first white space that makes it long enough.
+        k = np.searchsorted(space, begin + BLOCK_BYTES)
+        end = int(space[k]) + 1 if k < len(space) else len(data)
+        own = (starts >= begin) & (starts < end)
+        hashes, before = _piece_hashes(data[begin:end], starts[own] - begin)
+        at[own] = words + before
+        found.append(hashes)
+        words += len(hashes)
+        begin = end
+    at[starts >= len(data)] = words
+    return np.concatenate(found), at
+
+
+def _piece_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = ~_SPACE[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
