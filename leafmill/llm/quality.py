@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import filter_of, may_hold, pick, stored
+from leafmill.llm.common import arrow_rows, filter_of, may_hold, pick, stored
 
 ORDER = 4
 QUANTILE = 0.995
@@ -34,6 +34,8 @@ HELD_OUT = 5
 SHARD_ROWS = 1_500_000
 #: Width of a perplexity class (natural logarithm) in the exact quantile.
 BIN = 1e-4
+#: Rows of a batch that a task hands to Python.
+BATCH_ROWS = 1000
 #: Characters of a block of texts.
 BLOCK_CHARS = 1 << 20
 START = 2  # code of the text's begin; no text holds it after cleaning
@@ -197,13 +199,13 @@ class Lookup:
 
 
 def _in_shard(gram: np.ndarray, shard: int, shards: int) -> np.ndarray:
-    """Which n-grams a shard scores: by the last character but one, which every context but the empty one holds."""
-    last = (gram >> np.uint64(16)) & np.uint64(0xFFFF)
-    return ((last * np.uint64(2654435761)) >> np.uint64(8)) % np.uint64(shards) == np.uint64(shard)
+    """Which n-grams a shard scores: by the two characters before the last, which every context of two or more holds."""
+    last = (gram >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
+    return ((last * np.uint64(1000003)) >> np.uint64(12)) % np.uint64(shards) == np.uint64(shard)
 
 
 def _shard_column(last, shards: int):
-    return F.pmod(F.shiftright(last.cast("bigint") * 2654435761, 8), F.lit(shards))
+    return F.pmod(F.shiftright(last.cast("bigint") * 1000003, 12), F.lit(shards))
 
 
 def log_probabilities(gram: np.ndarray, tables: dict[int, Lookup]) -> np.ndarray:
@@ -229,12 +231,12 @@ def shards_of(rows: DataFrame) -> int:
 
 
 def fetched(rows: DataFrame, shard: int, shards: int) -> dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """One shard of a model, by language and level, as sorted arrays. Levels 1 and 0 (single characters) are in every shard."""
+    """One shard of a model, by language and level, as sorted arrays. Levels with a context of less than two characters are in every shard."""
     key = F.col("key")
-    above = F.when(F.col("level") > 0, F.shiftrightunsigned(key, 16)).otherwise(key).bitwiseAND(0xFFFF)
+    above = F.when(F.col("level") > 0, F.shiftrightunsigned(key, 16)).otherwise(key).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
     own = F.lit(True)
     if shards > 1:
-        own = F.col("level").isin(0, 1) | (_shard_column(above, shards) == shard)
+        own = F.col("level").isin(-1, 0, 1, 2) | (_shard_column(above, shards) == shard)
     found = rows.where(own).select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("level").cast("tinyint").alias("level"), "key", "p").toArrow()
     langs = found.column("lang").combine_chunks().dictionary_encode()
     names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
@@ -256,7 +258,7 @@ def scored(docs: DataFrame, rows: DataFrame) -> DataFrame:
     out, all_sent = docs.withColumns({"n_chars": F.lit(0).cast("bigint"), "loss": F.lit(0.0)}), []
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"), "n_chars bigint", "loss double"])
     for shard in range(shards):
-        sent = spark.sparkContext.broadcast(fetched(rows, shard, shards))  # at most SHARD_ROWS and single characters
+        sent = spark.sparkContext.broadcast(fetched(rows, shard, shards))  # about SHARD_ROWS, and the pairs of characters
         all_sent.append(sent)
         keeps_text = shard < shards - 1
         out = out.mapInArrow(_scorer(sent, out.columns, names, shard, shards, keeps_text), kinds + (", text string" if keeps_text else ""))
@@ -316,7 +318,6 @@ def thresholds(known: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, keep: one row per document."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     trusted = (
         pick(labels, l_id="doc_id", quality="quality").groupBy("l_id").agg(F.min("quality").alias("q")).where("q = 1").select("l_id", (F.pmod(F.xxhash64("l_id"), F.lit(HELD_OUT)) == 0).alias("held_out"))
     )
@@ -324,8 +325,9 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -
     # The filter keeps most other texts out of the join's shuffle.
     near = may_hold(rows.withColumn("key", F.xxhash64("doc_id")), "key", filter_of(trusted.select(F.xxhash64("l_id").alias("key")), "key"))
     known = near.join(trusted, near["doc_id"] == trusted["l_id"]).where(F.length("text") > 0)
-    learned = stored(model(known.where("not held_out")), "quality-model")
-    every = scored(rows.select("doc_id", "no_lang", "lang", "text"), learned)
+    with arrow_rows(spark, BATCH_ROWS):
+        learned = stored(model(known.where("not held_out")), "quality-model")
+        every = scored(rows.select("doc_id", "no_lang", "lang", "text"), learned)
     logp = F.col("loss") / F.col("n_chars")
     every = every.withColumn("logp", F.when(F.col("n_chars") > 0, logp))
     of = every.select("doc_id", "lang", "logp").where("logp is not null").join(trusted, F.col("doc_id") == F.col("l_id"))
