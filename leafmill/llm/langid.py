@@ -5,17 +5,18 @@ of two texts is the size of their sets' intersection over the root of the produc
 Nyström approximation of the kernel's feature space, in which a ridge regression for each language against the rest is fitted in
 closed form. Scoring a batch is two matrix products: presence bits by landmarks, then kernel values by weights.
 
-Training takes a bounded sample: of every language the TRAIN_PER_LANG documents with the smallest hashes of doc_id, of
-those whose crc32(doc_id as text) mod 4 is not 2 and whose lang is not null, at most TRAIN_ALL in all; LANDMARKS of them
-are landmarks. Every whole text is scored. lang, source and doc_id are no inputs of a prediction.
+Training takes a bounded sample: of every language the TRAIN_PER_LANG rows with the smallest hashes of doc_id, of
+those whose crc32(doc_id as text) mod 4 is not 2 and whose lang is not null, at most TRAIN_ALL in all (one of each language, if
+there are more languages); LANDMARKS of them are landmarks, at least one of each language. Every whole text is scored: one of more than
+PIECE characters in pieces of that length, whose values count by their characters. lang, source and doc_id are no inputs of a prediction.
 
 Defined results: null text or text without a letter is `und` with score 0; so is every text if nothing can be learned
-(an empty table, or only null lang); ties go to the language that sorts first; repeated rows get a row each.
+(an empty table, or only null lang); ties go to the language that sorts first; repeated rows get a row each, and count as rows of the
+sample; columns named lang_pred or lang_score are replaced, others are kept whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,13 +31,12 @@ ORDERS = (1, 2, 3, 4)
 #: Dimensions of an order's hashed n-grams.
 DIMS = 1 << 12
 TRAIN_PER_LANG, TRAIN_ALL, LANDMARKS, RIDGE = 256, 4096, 128, 0.01
-#: Languages that are told apart: those with most documents.
-MAX_LANGS = 256
+#: Characters of a text that are scored together; hashed n-grams of far more would fill all dimensions.
+PIECE = 1 << 14
 #: Rows of a matrix product.
 BLOCK = 256
 #: Margin between the best two languages that counts as certain.
 CERTAIN = 0.5
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint32(2654435761)
 
 
@@ -56,6 +56,16 @@ def presence(texts: list[str]) -> np.ndarray:
     return out
 
 
+def lettered(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
+def pieces(text: str) -> list[str]:
+    """The text cut every PIECE characters; a last piece of less than a quarter of that stays with the one before."""
+    cuts = [0, *range(PIECE, max(len(text) - PIECE // 4, 1), PIECE), len(text)]
+    return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 @dataclass
 class Model:
     """Languages; landmarks' bits over the root of their number, and the weights of each language."""
@@ -67,9 +77,20 @@ class Model:
     def kernel(self, bits: np.ndarray) -> np.ndarray:
         return (bits @ self.landmarks.T) / np.sqrt(np.maximum(bits.sum(1, keepdims=True), 1))
 
+    def values(self, texts: list[str]) -> np.ndarray:
+        """A row for each text: the value of each language, the mean of its pieces' by their characters."""
+        own = [pieces(t) for t in texts]
+        flat = [(k, p) for k, parts in enumerate(own) for p in parts]
+        out = np.zeros((len(texts), len(self.langs)))
+        for i in range(0, len(flat), BLOCK):
+            at, part = zip(*flat[i : i + BLOCK], strict=True)
+            share = np.array([len(p) / max(len(texts[k]), 1) for k, p in flat[i : i + BLOCK]])
+            np.add.at(out, list(at), self.kernel(presence(list(part))) @ self.weights * share[:, None])
+        return out
+
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; the score grows with the margin to the second language."""
-        values = self.kernel(presence(texts)) @ self.weights
+        values = self.values(texts)
         best = values.argmax(1)
         if len(self.langs) == 1:
             return [self.langs[0]] * len(texts), np.clip(values[:, 0], 0, 1).astype(float)
@@ -86,9 +107,10 @@ def fit(packed: list[bytes], langs: list[str]) -> Model:
         return bits / np.sqrt(np.maximum(bits.sum(1, keepdims=True), 1))
 
     names = sorted(set(langs))
-    which = np.array([names.index(x) for x in langs])
+    place = {name: k for k, name in enumerate(names)}
+    which = np.array([place[x] for x in langs])
     turn = np.array([np.sum(which[:i] == c) for i, c in enumerate(which)])
-    chosen = np.lexsort((which, turn))[:LANDMARKS]
+    chosen = np.lexsort((which, turn))[: max(LANDMARKS, len(names))]
     marks = scaled(chosen)
     every = range(len(packed))
     k = np.concatenate([scaled(every[i : i + BLOCK]) @ marks.T for i in range(0, len(packed), BLOCK)]).astype(np.float64)
@@ -108,13 +130,15 @@ def sample(docs: DataFrame) -> DataFrame:
     """lang, text: the bounded training sample."""
     rows = pick(docs, doc_id="doc_id", text="text", lang="lang").where("lang is not null and text is not null")
     rows = rows.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 != 2)
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    each = min(TRAIN_PER_LANG, TRAIN_ALL // max(len(langs), 1))
+    many = rows.select("lang").distinct().count()
+    each = max(min(TRAIN_PER_LANG, TRAIN_ALL // max(many, 1)), 1)
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    # The ids are ranked without their texts, then at most TRAIN_ALL texts are looked up.
-    ranked = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).where(F.col("lang").isin(langs)).withColumn("k", F.row_number().over(first)).where(F.col("k") <= each)
-    wanted = ranked.select(F.col("doc_id").alias("s_id"), "lang").distinct().withColumnRenamed("lang", "s_lang")
-    return rows.join(F.broadcast(wanted), (rows["doc_id"] == wanted["s_id"]) & (rows["lang"] == wanted["s_lang"])).select("lang", "doc_id", "text")
+    # The ids are ranked without their texts, then the texts of those ids are looked up. Rows that share an id are ranked once more.
+    ranked = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= each)
+    wanted = ranked.select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang")).distinct()
+    found = rows.join(F.broadcast(wanted), rows["doc_id"].eqNullSafe(wanted["s_id"]) & (rows["lang"] == wanted["s_lang"]))  # TRAIN_ALL rows or one a language
+    again = Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text"))
+    return found.select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(again)).where(F.col("k") <= each).select("lang", "doc_id", "text")
 
 
 def trained(docs: DataFrame) -> Model | None:
@@ -134,10 +158,7 @@ def trained(docs: DataFrame) -> Model | None:
 
 def identified(docs: DataFrame) -> DataFrame:
     """docs with lang_pred and lang_score in place of such columns."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    model = trained(docs)
-    sent = spark.sparkContext.broadcast(model)  # LANDMARKS rows of fixed width
+    sent = docs.sparkSession.sparkContext.broadcast(trained(docs))  # landmarks of fixed width: LANDMARKS, or one a language
     names = [c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
     at = [c.lower() for c in names].index("text")
@@ -150,7 +171,7 @@ def identified(docs: DataFrame) -> DataFrame:
                 part = batch.slice(i, BLOCK)
                 texts = part.column(at).to_pylist()
                 lang, score = ["und"] * len(texts), np.zeros(len(texts))
-                known = [j for j, t in enumerate(texts) if t and own and _LETTER.search(t)]
+                known = [j for j, t in enumerate(texts) if own and lettered(t)]
                 if known:
                     found, values = own.decide([texts[j] for j in known])
                     for j, name, value in zip(known, found, values, strict=True):
