@@ -44,8 +44,8 @@ TEMPLATES = [
 ]
 #: Words that tell nothing and aren't indexed.
 COMMON = {"a", "all", "and", "any", "are", "as", "at", "by", "can", "for", "in", "is", "it", "not", "of", "or", "that", "the", "this", "to", "use", "with", "you", "0", "2", "3", "4", "v"}
-#: Highest-IDF licence words of a file that scan_sql looks up (scan looks up all), and the share of a template's indexed words that must align.
-RARE_WORDS, SHARE = 16, 0.6
+#: The share of a template's indexed words that must align.
+SHARE = 0.6
 
 
 def postings() -> list[tuple[str, int, int]]:
@@ -140,7 +140,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def scan_sql(docs: str = "documents") -> str:
-    """scan in SQL, but with the RARE_WORDS words of a file only: it agrees with scan where a file holds no more licence words."""
+    """scan in SQL: every licence word of a file is looked up."""
     quoted = lambda s: "'" + s + "'"
     rows = lambda xs: ", ".join("(" + ", ".join(quoted(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in xs)
     consecutive = lambda p: " and ".join(f"words[i + {k + 1}] = '{w}'" for k, w in enumerate(p.split()))
@@ -152,13 +152,11 @@ with files as (
 spots as (select r, words, unnest(range(0, len(words))) as i from files),
 phrases as ({phrases}),
 found as (select r, words[i + 1] as word, i as pos from spots where words[i + 1] in ({", ".join(map(quoted, VOCABULARY))})),
-df as (select word, count(distinct r) as n from found group by word),
-ranked as (select r, word, row_number() over (partition by r order by n, word) as k from (select distinct r, word from found) join df using (word)),
 posting(word, template, place) as (values {rows(postings())}),
 template(template, size, label, phrase, within) as (values {rows(within)}),
 votes as (
   select r, template, pos - place as off, count(*) as votes
-  from found join ranked using (r, word) join posting using (word) where k <= {RARE_WORDS} group by all),
+  from found join posting using (word) group by all),
 verified as (
   select v.r, t.label, v.votes / t.size::double as share from votes v join template t using (template)
   where v.votes / t.size::double >= {SHARE} and exists (select 1 from phrases p where p.r = v.r and p.phrase = t.phrase and p.pos = v.off + t.within)),
