@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import new_path, pick, stored
+from leafmill.llm.common import arrow_rows, new_path, pick, stored
 
 MIN_REVISIT = 1000
 #: Compressed bytes after which an archive is closed and the next begun: what a task holds in memory.
 ARCHIVE_BYTES = 16 << 20
+#: Pages of a batch that a task hands to Python, and digests of repeated payloads that may be sent to all tasks (about 100 bytes each).
+BATCH_ROWS, BROADCAST_GROUPS = 500, 200_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 _NAMESPACE = uuid.UUID("6f2c8f5e-57c5-4a3e-8a0b-0d5f6c1f7a11")
@@ -202,6 +204,9 @@ def roles(pages: DataFrame) -> DataFrame:
         .where("copies > 1")
         .select(F.col("digest").alias("g_digest"), "last")
     )
+    groups = stored(groups, "warc-groups")
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)  # no payload moves
     other = F.col("last").isNotNull() & ~F.col("key").eqNullSafe(F.col("last"))
     return rows.join(groups, rows["digest"] == groups["g_digest"], "left").select("key", "url", "payload", F.when(other, F.col("last")).alias("refers_to"))
 
@@ -233,7 +238,8 @@ def write_packages(pages: DataFrame, folder: str, zip64: bool = False) -> DataFr
         if open_package.count:
             yield closed()
 
-    return stored(roles(pages).mapInArrow(write, "path string, records bigint, bytes bigint"), "warc-packages")
+    with arrow_rows(pages.sparkSession, BATCH_ROWS):
+        return stored(roles(pages).mapInArrow(write, "path string, records bigint, bytes bigint"), "warc-packages")
 
 
 def read_packages(packages: DataFrame, folder: str) -> DataFrame:
@@ -258,9 +264,7 @@ SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("pa
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """pages written as packages and read back."""
-    spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    folder = new_path(spark, "warc")
+    folder = new_path(pages.sparkSession, "warc")
     return read_packages(write_packages(pages, folder), folder)
 
 
