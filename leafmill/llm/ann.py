@@ -3,15 +3,15 @@
 Every partition of the vectors is a shard with trees of its own, over unit vectors by Euclidean distance, which orders
 like the cosine and keeps the triangle inequality. A node holds, for both halves, the least and the largest distance to its
 vantage point; a query skips a half that must lie farther than relax * (distance of its k-th nearest so far). relax = 1
-is exact search; below 1 more is skipped. Queries go through the trees in blocks of bounded size, all of a block together; the shards'
-k best are merged by a window.
+is exact search; below 1 more is skipped. A shard's trees are built once; queries go through them in blocks of bounded size, all of
+a block together; the shards' k best are merged by a window.
 
 Results are scored again on the original vectors in double precision, adding up in order of the dimensions.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; cosines are taken between vectors of
 one length only; ties go to the smaller id; a query's own id is never its neighbour; of rows with one id and equal
 vectors one counts, and a query id with different vectors is asked with the vector that sorts first; a null id takes no part;
-an empty table gives no rows.
+columns other than vec_id and embedding are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ K = 5
 LEAF = 256
 #: Queries that are sent to the shards at once, and vectors of a shard's tree.
 QUERY_BLOCK, SHARD_ROWS = 4096, 65_536
+#: Numbers of the vectors of either side of pairs that are scored at once.
+PAIR_NUMBERS = 1 << 20
 #: Rounding that pruning allows for.
 SLACK = 1e-7
 FOUND = "query_id long, vec_id long, score double"
@@ -63,7 +65,8 @@ class Best:
         q, c = np.nonzero(near)
         if not len(q):
             return
-        score = cosine(self.vectors[rows[q]], vectors[c])
+        step = max(1, PAIR_NUMBERS // vectors.shape[1])
+        score = np.concatenate([cosine(self.vectors[rows[q[i : i + step]]], vectors[c[i : i + step]]) for i in range(0, len(q), step)])
         some = np.unique(q)
         k = self.k
         whole_q = np.concatenate([q, np.repeat(some, k)])
@@ -144,50 +147,61 @@ def matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, relax: float = 1.0, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of `vectors` for each of `queries` (both vec_id, embedding)."""
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     rows = usable(vectors)
     asked = stored(usable(queries).groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
     blocks = max(1, -(-asked.count() // query_block))
-    found = []
+    sent = []
     for block in range(blocks):  # the stated query set, a block of bounded size at a time
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast([(r["id"], r["v"]) for r in part.collect()])
-        found.append(stored(rows.mapInArrow(_searcher(sent, k, relax), FOUND), "ann-found") if blocks > 1 else rows.mapInArrow(_searcher(sent, k, relax), FOUND))
-    whole = found[0]
-    for x in found[1:]:
-        whole = whole.unionByName(x)
+        sent.append(spark.sparkContext.broadcast([(r["id"], r["v"]) for r in part.collect()]))
+    whole = rows.mapInArrow(_searcher(sent, k, relax), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = whole.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _searcher(sent, k: int, relax: float):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[int, Best] = {}
+def _blocks_of(sent, k: int) -> Iterator[dict[int, Best]]:
+    """The queries by the length of their vectors, a block at a time; only one block is held."""
+    for block in sent:
         by_length: dict[int, list] = {}
-        for i, v in sent.value:
+        for i, v in block.value:
             by_length.setdefault(len(v), []).append((i, v))
-        for n, own in by_length.items():
-            asked[n] = Best(np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], float), k)
+        yield {n: Best(np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], float), k) for n, own in by_length.items()}
+        if len(sent) > 1:
+            block.__dict__.pop("_value", None)  # read again from its file for the next tree
+
+
+def _searcher(sent, k: int, relax: float):
+    """Each shard's trees are built once, and all blocks of queries go through them."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        kept = next(_blocks_of(sent, k)) if len(sent) == 1 else None  # a single block gathers its best over all trees
 
-        def grown(n: int) -> None:
+        def told(best: Best) -> pa.RecordBatch:
+            q, c = np.nonzero(best.scores > -np.inf)
+            return pa.RecordBatch.from_arrays([pa.array(best.ids[q]), pa.array(best.found[q, c]), pa.array(best.scores[q, c])], ["query_id", "vec_id", "score"])
+
+        def grown(n: int) -> Iterator[pa.RecordBatch]:
             parts = held.pop(n)
-            if n in asked:
-                pairs = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-                Tree(*pairs).search(asked[n], relax)
+            tree = None
+            for asked in [kept] if kept is not None else _blocks_of(sent, k):
+                if n in asked:
+                    tree = tree or Tree(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+                    tree.search(asked[n], relax)
+                    if kept is None:
+                        yield told(asked[n])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for n, (rows, values) in matrix(batch.column(1)).items():
                 held.setdefault(n, []).append((ids[rows], values))
                 if sum(len(x) for x, _ in held[n]) >= SHARD_ROWS:
-                    grown(n)
+                    yield from grown(n)
         for n in sorted(held):
-            grown(n)
-        for best in asked.values():
-            q, c = np.nonzero(best.scores > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(best.ids[q]), pa.array(best.found[q, c]), pa.array(best.scores[q, c])], ["query_id", "vec_id", "score"])
+            yield from grown(n)
+        for best in (kept or {}).values():
+            yield told(best)
 
     return search
 
