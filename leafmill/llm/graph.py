@@ -21,6 +21,8 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components haven't settled in {MAX_ROUNDS} rounds")
     roots = edges.select(F.col("v").alias("vertex"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots).groupBy("vertex").agg(F.min("component").alias("component"))
 
