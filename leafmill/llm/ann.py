@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import pick, stored
+from leafmill.llm.common import lean, pick, stored
 
 K = 5
 LEAF = 256
@@ -154,7 +154,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, relax: float = 1
     for block in range(blocks):  # the stated query set, a block of bounded size at a time
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
         sent.append(spark.sparkContext.broadcast([(r["id"], r["v"]) for r in part.collect()]))
-    whole = rows.mapInArrow(_searcher(sent, k, relax), FOUND)
+    whole = rows.mapInArrow(lean(_searcher(sent, k, relax)), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = whole.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import arrow_rows, pick, stored, union
+from leafmill.llm.common import arrow_rows, lean, pick, stored, union
 from leafmill.llm.graph import components
 from leafmill.llm.shingles import common, mixed, sets, signed
 
@@ -40,7 +40,7 @@ COUNT_SHINGLES, TELL = 1_000_000, 4
 #: Shingles that a task puts in order at once for the index.
 INDEX_SHINGLES = 1_000_000
 #: Shingles of an index bucket, and the least number of buckets.
-BUCKET, BUCKETS = 500_000, 64
+BUCKET, BUCKETS = 250_000, 16
 #: Entries of a block of an index list, and of a list that is paired in the task that gathered it; longer ones are cut up over tasks.
 BLOCK, LONG = 512, 4096
 #: Rows of a batch that a task hands to Python.
@@ -87,7 +87,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 yield told()
         yield told()
 
-    return docs.mapInArrow(profile, ", ".join(f"{c} long" for c in _PROFILE))
+    return docs.mapInArrow(lean(profile), ", ".join(f"{c} long" for c in _PROFILE))
 
 
 #: Hash orders by whose smallest shingle sets find a leader, one round each.
@@ -141,7 +141,7 @@ def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             numbers = np.array([[common(x, y), len(x), len(y)] for x, y in zip(left, right, strict=True)], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, numbers.T)], ["a", "b", "shared", "na", "nb"])
 
-    return with_texts(docs, pairs.select("a", "b")).mapInArrow(compare, "a long, b long, shared long, na long, nb long")
+    return with_texts(docs, pairs.select("a", "b")).mapInArrow(lean(compare), "a long, b long, shared long, na long, nb long")
 
 
 LINKED = "na > 0 and nb > 0 and 100 * shared >= 75 * (na + nb - shared)"
@@ -182,7 +182,7 @@ def postings(docs: DataFrame, members: DataFrame, hot: DataFrame, buckets: int)
                 sizes.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n", "prefix"])
 
-    own = docs.mapInArrow(prefix, "doc_id long, n long, prefix binary").where("n > 0")
+    own = docs.mapInArrow(lean(prefix), "doc_id long, n long, prefix binary").where("n > 0")
     grouped = own.join(members, own["doc_id"] == members["rep"]).select("gid", "n", "prefix")
     shift = np.uint64(64 - int(np.log2(buckets)))
 
@@ -211,7 +211,7 @@ def postings(docs: DataFrame, members: DataFrame, hot: DataFrame, buckets: int)
         if held:
             yield from packed()
 
-    return grouped.mapInArrow(index, "bucket long, " + ", ".join(f"{c} binary" for c in _PACKED))
+    return grouped.mapInArrow(lean(index), "bucket long, " + ", ".join(f"{c} binary" for c in _PACKED))
 
 
 _PACKED = ["tok", "gid", "n_low", "n_high", "at_low", "at_high"]
@@ -239,7 +239,7 @@ def candidates(index: DataFrame, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.int64()) for x in numbers], pa.array([np.concatenate(block).tobytes()], pa.binary())], _FOUND)
 
     schema = ", ".join(f"{c} long" for c in _FOUND[:-1]) + ", entries binary"
-    found = stored(index.repartition(buckets, "bucket").mapInArrow(join, schema), "jaccard-found")
+    found = stored(index.repartition(buckets, "bucket").mapInArrow(lean(join), schema), "jaccard-found")
     pairs, blocks = found.where("tok is null").select("a", "b", "c", "need"), found.where("tok is not null").drop("a", "b", "c", "need")
     if not blocks.isEmpty():
         pairs = pairs.unionByName(long_pairs(blocks))
@@ -272,7 +272,7 @@ def long_pairs(blocks: DataFrame) -> DataFrame:
                 i, j = np.triu_indices(x.shape[1], 1) if same else (v.ravel() for v in np.indices((x.shape[1], y.shape[1])))
                 yield pa.RecordBatch.from_arrays([*map(pa.array, _links(x, i, y, j))], ["a", "b", "c", "need"])
 
-    return work.mapInArrow(pair, "a long, b long, c long, need long")
+    return work.mapInArrow(lean(pair), "a long, b long, c long, need long")
 
 
 def _lists(tok, gid, n_low, n_high, at_low, at_high) -> tuple[np.ndarray, ...]:
@@ -471,7 +471,7 @@ def open_links(docs: DataFrame, apart: DataFrame, members: DataFrame, parts: Dat
     leads = leads.join(size, leads["a"] == size["gid"]).select("a", _blocks("many", "words").alias("xs"), _blocks("y_many", "y_words").alias("ys"))
     own = of.join(leads.select("a"), F.col("of") == F.col("a")).select("a", "b")
     asked = own.withColumn("side", F.lit(0)).unionByName(other.select("a", "b").withColumn("side", F.lit(1)))
-    apart_ = with_texts(docs, stored(asked, "jaccard-asked")).mapInArrow(_differences, "a long, b long, side int, lead_n long, n long, missing long, other binary")
+    apart_ = with_texts(docs, stored(asked, "jaccard-asked")).mapInArrow(lean(_differences), "a long, b long, side int, lead_n long, n long, missing long, other binary")
     apart_ = apart_.join(leads.withColumnRenamed("a", "lead"), F.col("a") == F.col("lead"))
     mine = F.when(F.col("side") == 0, F.col("xs")).otherwise(F.col("ys"))
     theirs = F.when(F.col("side") == 0, F.col("ys")).otherwise(F.col("xs"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import pick
+from leafmill.llm.common import lean, pick
 
 ORDERS = (1, 2, 3, 4)
 #: Dimensions of an order's hashed n-grams.
@@ -150,7 +150,7 @@ def trained(docs: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["lang", "doc_id", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sorted((r["lang"], str(r["doc_id"]), bytes(r["bits"])) for r in sample(docs).mapInArrow(bits, f"lang string, doc_id {kind}, bits binary").collect())
+    rows = sorted((r["lang"], str(r["doc_id"]), bytes(r["bits"])) for r in sample(docs).mapInArrow(lean(bits), f"lang string, doc_id {kind}, bits binary").collect())
     if not rows:
         return None
     return fit([b for _, _, b in rows], [lang for lang, _, _ in rows])
@@ -178,7 +178,7 @@ def identified(docs: DataFrame) -> DataFrame:
                         lang[j], score[j] = name, value
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "lang_score"])
 
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(lean(predict), schema)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import arrow_rows, filter_of, may_hold, pick, stored
+from leafmill.llm.common import arrow_rows, filter_of, lean, may_hold, pick, stored
 
 ORDER = 4
 QUANTILE = 0.995
@@ -105,7 +105,7 @@ def counted(trusted: DataFrame) -> DataFrame:
     def rows(lang: str, n: pd.Series) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(n.index.to_numpy().view(np.int64)), pa.array(n.to_numpy().astype(np.int64))], ["lang", "gram", "n"])
 
-    return trusted.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return trusted.select("lang", "text").mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _suffix(gram: str, order: int):
@@ -261,7 +261,7 @@ def scored(docs: DataFrame, rows: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast(fetched(rows, shard, shards))  # about SHARD_ROWS, and the pairs of characters
         all_sent.append(sent)
         keeps_text = shard < shards - 1
-        out = out.mapInArrow(_scorer(sent, out.columns, names, shard, shards, keeps_text), kinds + (", text string" if keeps_text else ""))
+        out = out.mapInArrow(lean(_scorer(sent, out.columns, names, shard, shards, keeps_text)), kinds + (", text string" if keeps_text else ""))
         if keeps_text:
             out = stored(out, "quality-part")
             sent.destroy()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import arrow_rows, new_path, pick, stored
+from leafmill.llm.common import arrow_rows, lean, new_path, pick, stored
 
 MIN_REVISIT = 1000
 #: Compressed bytes after which an archive is closed and the next begun: what a task holds in memory.
@@ -239,7 +239,7 @@ def write_packages(pages: DataFrame, folder: str, zip64: bool = False) -> DataFr
             yield closed()
 
     with arrow_rows(pages.sparkSession, BATCH_ROWS):
-        return stored(roles(pages).mapInArrow(write, "path string, records bigint, bytes bigint"), "warc-packages")
+        return stored(roles(pages).mapInArrow(lean(write), "path string, records bigint, bytes bigint"), "warc-packages")
 
 
 def read_packages(packages: DataFrame, folder: str) -> DataFrame:
@@ -256,7 +256,7 @@ def read_packages(packages: DataFrame, folder: str) -> DataFrame:
                     rows = [described(*x) for x in read_records(reader)]
                 yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
-    return packages.select("path").repartition(max(1, packages.count())).mapInArrow(read, RECORDS)
+    return packages.select("path").repartition(max(1, packages.count())).mapInArrow(lean(read), RECORDS)
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
