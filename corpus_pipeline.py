@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import decontam, jaccard, langid, lines, mixing
-from leafmill.llm.common import stored, table
+from leafmill.llm.common import stored, table, without
 
 #: Documents whose language is less certain go; the score is 0 for texts without letters.
 MIN_LANG_SCORE = 0.05
@@ -35,8 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = ids.join(found, ids["__row"] == found["__id"])
     own = F.when((F.col("n_shingles") == 0) & F.col("__doc").isNotNull(), F.col("__doc"))
     kept = told.groupBy(own.alias("own"), F.when(own.isNull(), F.col("component_id")).alias("component")).agg(F.min(F.struct("__doc", "__row")).alias("first"))
-    kept = kept.select(F.col("first.__row").alias("__kept"))
-    return rows.join(kept, rows["__row"] == kept["__kept"], "left_semi").drop("__row")
+    kept = stored(kept.select(F.col("first.__row").alias("__kept")), "near-dedup-kept")
+    gone = stored(ids.select("__row").join(kept, F.col("__row") == F.col("__kept"), "left_anti"), "near-dedup-gone")
+    return without(rows, "__row", gone).drop("__row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
