@@ -230,7 +230,7 @@ def candidates(index: DataFrame, buckets: int) -> DataFrame:
         for key in sorted(by_bucket):
             parts = by_bucket.pop(key)
             long: list[tuple[int, list[np.ndarray]]] = []
-            for columns in _bucket_pairs(*[np.frombuffer(b"".join(p[k] for p in parts), kind) for k, kind in enumerate(_KINDS)], long=long):
+            for columns in _bucket_pairs(*[np.frombuffer(b"".join(p[k] for p in parts), kind) for k, kind in enumerate(_KINDS)], long=long, longest=LONG):
                 yield _told(columns)
             for tok, entries in long:
                 for at in range(0, len(entries[0]), BLOCK):
@@ -313,8 +313,8 @@ def _links(x, i: np.ndarray, y, j: np.ndarray) -> tuple[np.ndarray, ...]:
     return _counted(np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64), need)
 
 
-def _bucket_pairs(*columns: np.ndarray, long: list | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-    """What _links tells of a bucket's index lists. With long, lists of more than LONG entries are put there instead, as shingle and entries."""
+def _bucket_pairs(*columns: np.ndarray, long: list | None = None, longest: int = LONG) -> Iterator[tuple[np.ndarray, ...]]:
+    """What _links tells of a bucket's index lists. With long, lists of more than `longest` entries are put there instead, as shingle and entries."""
     if not len(columns[0]):
         return
     tok, *entries = _lists(*columns)
@@ -322,8 +322,8 @@ def _bucket_pairs(*columns: np.ndarray, long: list | None = None) -> Iterator[tu
     held: list[tuple[np.ndarray, ...]] = []
     length = np.diff(edge)
     if long is not None:
-        long += [(int(tok[edge[k]]), [x[edge[k] : edge[k + 1]] for x in entries]) for k in np.flatnonzero(length > LONG)]
-        length = np.where(length > LONG, 0, length)
+        long += [(int(tok[edge[k]]), [x[edge[k] : edge[k + 1]] for x in entries]) for k in np.flatnonzero(length > longest)]
+        length = np.where(length > longest, 0, length)
 
     def full() -> bool:
         return sum(len(x[0]) for x in held) > STEP

@@ -2,9 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -479,3 +480,125 @@ def test_quality_edges(spark, sf, edge, empty):
     assert quality.classified(empty, labels).count() == 0
     got = {r["doc_id"]: r for r in quality.classified(edge.withColumn("loss", F.lit(1)), none).collect()}
     assert got[1]["keep"] and not got[2]["keep"] and got[2]["perplexity"] is None and not got[3]["keep"]
+
+
+# --- bounds, repeats and hot groups -----------------------------------------------------------------------------------
+
+
+def test_jaccard_long_lists_and_small_blocks(spark, monkeypatch):
+    """Lists that are cut up over tasks, and groups compared in several blocks, give the same components."""
+    monkeypatch.setattr(jaccard, "LONG", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "DIFFERENCE_SETS", 3)
+    rng = random.Random(11)
+    base = text_of(rng, 60, 5000).split()
+    docs = []
+    for i in range(140):  # one large group around a text, some of it too far from its leader to link
+        w = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.linked(df).collect()}
+    assert got == jaccard_brute(docs)
+
+
+def test_jaccard_one_id_with_several_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    near = a.replace("a20", "x")
+    rows = [(5, a), (5, b), (5, b), (7, near), (3, b + " more"), (9, "other words stand here alone"), (None, a), (None, a)]
+    rows += [(20, a)] * 300 + [(21, near)] * 300
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(5, 36, 3): 3, (7, 36, 3): 1, (3, 37, 3): 1, (9, 1, 9): 1, (None, 36, None): 2, (20, 36, 3): 300, (21, 36, 3): 300})
+
+
+def test_shingles_of_long_text():
+    words = [f"w{i % 977}x{i % 31}" for i in range(200_000)]
+    (got,) = shingles.sets([" ".join(words)])
+    assert len(got) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    assert len(shingles.sets(["", None, "a b", "x " * 400_000, "q"])[3]) == 1
+
+
+def test_short_masks_cover_two_substitutions():
+    every = [*decontam.MASKS, *decontam.SHORT_MASKS]
+    for n in range(decontam.FEW, decontam.MIN_MASKED):
+        for gone in itertools.combinations(range(n), 2):
+            assert any(all(c == "0" or at + k not in gone for k, c in enumerate(m)) for m in every for at in range(n - len(m) + 1))
+
+
+def test_decontam_short_items(spark):
+    items = [(1, "a b c"), (2, "w0 w1 w2 w3 w4 w5 w6 w7"), (3, ""), (None, "only"), (5, " ".join(f"v{i}" for i in range(10)))]
+    docs = [
+        (1, "x a B, c y"),
+        (2, "a b x c"),
+        (3, "q w0 w1 s w3 w4 s w6 w7"),
+        (4, "w0 s w2 s w4 s w6 w7"),
+        (None, "the only one"),
+        (6, " ".join(f"v{i}" if i not in (0, 5) else "s" for i in range(10))),
+        (6, None),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("x"))
+    b = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("x"))
+    for limit in (decontam.BROADCAST_SEEDS, 0):
+        got = {(r["doc_id"], r["item_id"]): (r["matched"], r["width"]) for r in decontam.overlaps(d, b, limit).collect()}
+        assert got == {(1, 1): (3, 3), (3, 2): (6, 8), (None, None): (1, 1), (6, 5): (8, 10)}
+        assert sorted(r["doc_id"] for r in decontam.decontaminated(d, b).collect()) == [2, 4]
+
+
+def test_langid_matches_dense_kernel(spark, sf):
+    """Predictions against the kernel ridge regression written out in dense matrices over the same sample."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(150)
+    rows = sorted((r["lang"], str(r["doc_id"]), r["text"]) for r in langid.sample(docs).collect())
+    every = [r for r in docs.select("doc_id", "text").collect() if r["text"]]
+
+    def spectrum(text):
+        held = langid.presence([text])[0].astype(np.float64)
+        return held / np.sqrt(held.sum())
+
+    x = np.array([spectrum(t) for _, _, t in rows])
+    names = sorted({lang for lang, _, _ in rows})
+    which = np.array([names.index(lang) for lang, _, _ in rows])
+    turn = [np.sum(which[:i] == c) for i, c in enumerate(which)]
+    marks = x[sorted(range(len(rows)), key=lambda i: (turn[i], which[i]))[: max(langid.LANDMARKS, len(names))]]
+    values, vectors = np.linalg.eigh(marks @ marks.T)
+    root = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    f = x @ marks.T @ root
+    weight = len(rows) / (len(names) * np.bincount(which)[which])
+    y = np.where(which[:, None] == np.arange(len(names)), 1.0, -1.0)
+    w = np.linalg.solve((f * weight[:, None]).T @ f + langid.RIDGE * len(rows) / 100 * np.eye(f.shape[1]), (f * weight[:, None]).T @ y)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predictions(docs).collect()}
+    for r in every:
+        if len(r["text"]) <= langid.PIECE:
+            scores = spectrum(r["text"]) @ marks.T @ root @ w
+            best = np.sort(scores)[::-1]
+            assert got[r["doc_id"]][0] == names[int(scores.argmax())]
+            assert abs(got[r["doc_id"]][1] - min(max((best[0] - best[1]) / langid.CERTAIN, 0), 1)) < 1e-3
+
+
+def test_langid_bounds(spark):
+    assert langid.lettered("é") and not langid.lettered("½ ² 12 _") and not langid.lettered(None)
+    long = "abc " * (3 * langid.PIECE // 4 + 100)
+    assert "".join(langid.pieces(long)) == long and len(langid.pieces(long)) == 3 and langid.pieces("") == [""]
+    rows = [(1, "one text", "aa")] * 500 + [(i, f"words of {i}", f"l{i}") for i in range(2, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit(1))
+    assert langid.sample(df).groupBy("lang").count().agg(F.max("count")).first()[0] <= langid.TRAIN_ALL // 300
+    out = langid.predictions(spark.createDataFrame([(1, "½ ²", "aa"), (5, "aa bb", "aa")], "doc_id long, text string, lang string"))
+    assert {r["doc_id"]: r["lang_pred"] for r in out.collect()}[1] == "und"
+
+
+def test_ann_blocks_of_queries(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in rng.normal(size=12)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = ann.nearest(df, df.where("vec_id % 10 = 0"), 4).collect()
+    parts = ann.nearest(df, df.where("vec_id % 10 = 0"), 4, query_block=7).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, parts)) and len(whole) == 160
+
+
+def test_quality_threshold_and_keep(spark):
+    rng = random.Random(9)
+    logp = [(lang, rng.random() * 4) for lang in ("a", "b") for _ in range(137)] + [("c", 1.0)] * 5
+    got = {r["lang"]: r["limit"] for r in quality.thresholds(spark.createDataFrame(logp, "lang string, logp double"), 0.9).collect()}
+    for lang in "abc":
+        own = sorted(math.ceil(p / quality.BIN) for x, p in logp if x == lang)
+        assert abs(got[lang] - own[math.ceil(len(own) * 0.9) - 1] * quality.BIN) < 1e-9
