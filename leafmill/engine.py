@@ -14,12 +14,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from leafmill import tree
+from leafmill.extensions import applied, checked, takes_names
 from leafmill.sinks import registry as sinks
 from leafmill.sources import registry as sources
+from leafmill.sources.markdown import KNOWN
 
 DOCS = "doc_id bigint, ast string, status string, error string"
 #: Calls within each other that readers and writers may make: they recurse into nested elements, and Python's own limit ends at about a thousand.
 CALLS = 1_000_000
+#: Nodes of a batch that goes back to Spark.
+ROWS = 20_000
 
 
 def _deep() -> None:
@@ -43,15 +47,29 @@ def split_format(name: str) -> tuple[str, frozenset, frozenset]:
 
 
 def reader(name: str) -> Callable[[str | bytes], dict]:
+    """The reader of a format with extensions; an unknown name is an error here, on the driver."""
     base, plus, minus = split_format(name)
+    if base not in sources.READERS:
+        raise ValueError(f"{base} is no input format")
     f = sources.READERS[base]
-    return partial(f, plus=plus, minus=minus) if plus or minus else f
+    if not plus and not minus:
+        return f
+    if takes_names(f):
+        checked(plus | minus, KNOWN)
+        return partial(f, plus=plus, minus=minus)
+    checked(plus | minus)
+    return partial(applied, f, plus, minus)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, if it comes from fewer files than there are cores: parsing takes longer than moving the text. Larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or len(df.inputFiles()) >= cores else df.repartition(2 * cores)
+    """df over all cores, if a scan would give fewer parts than there are cores: parsing takes longer than moving the text. Larger inputs stay as they are."""
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, len(df.inputFiles())
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if max(files, size // split) >= cores else df.repartition(2 * cores)
 
 
 def read_documents(df: DataFrame, format: str, id: str = "doc_id", content: str = "text") -> DataFrame:
@@ -76,36 +94,43 @@ def _schema() -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(tree.NODES))
 
 
-def _node_batches(parse: Callable[[str], dict], schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(held: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _node_batches(parse: Callable[[str], dict], schema: pa.Schema, keep: frozenset[str] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """batches: id, content, and as a third column, if there is one, what was wrong before."""
     _deep()
     for batch in batches:
-        held: list[dict] = []
+        held: list[list] = []
         known = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
         for i, text, error in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), known, strict=True):
             try:
-                own = [tree.error_row(i, error)] if error is not None else list(tree.rows(i, parse(text if text is not None else "")))
+                own = [tree.error_list(i, error)] if error is not None else tree.flat(i, parse(text if text is not None else ""))
             except Exception as e:
-                own = [tree.error_row(i, _told(e))]
-            held.extend(own)
-            if len(held) >= 50_000:
-                yield pa.RecordBatch.from_pylist(held, schema)
+                own = [tree.error_list(i, _told(e))]
+            held.extend(own if keep is None else tree.under(own, keep))
+            if len(held) >= ROWS:
+                yield _packed(held, schema)
                 held = []
         if held:
-            yield pa.RecordBatch.from_pylist(held, schema)
+            yield _packed(held, schema)
+
 
+def read_nodes(df: DataFrame, format: str, id: str = "doc_id", content: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """tree.NODES: all nodes of the documents of a table, read and flattened in one pass; a document that can't be read is one row of kind `error` with what was wrong.
 
-def read_nodes(df: DataFrame, format: str, id: str = "doc_id", content: str = "text") -> DataFrame:
-    """tree.NODES: all nodes of the documents of a table, read and flattened in one pass; a document that can't be read is one row of kind `error` with what was wrong."""
-    parse, schema = reader(format), _schema()
-    return spread(df.select(F.col(id).cast("bigint"), F.col(content))).mapInArrow(lambda b: _node_batches(parse, schema, b), tree.NODES)
+    With keep only the roots, the nodes right below them and the subtrees of nodes of these types leave the reader; their numbers are those of the whole tree.
+    """
+    parse, schema, types = reader(format), _schema(), None if keep is None else frozenset(keep)
+    return spread(df.select(F.col(id).cast("bigint"), F.col(content))).mapInArrow(lambda b: _node_batches(parse, schema, types, b), tree.NODES)
 
 
 def nodes(docs: DataFrame) -> DataFrame:
     """tree.NODES of documents (DOCS), with a row of kind `error` for each that couldn't be read."""
     schema = _schema()
     error = F.when(F.col("status") != "ok", F.coalesce("error", F.lit("")))
-    return docs.select("doc_id", "ast", error.alias("error")).mapInArrow(lambda b: _node_batches(json.loads, schema, b), tree.NODES)
+    return docs.select("doc_id", "ast", error.alias("error")).mapInArrow(lambda b: _node_batches(json.loads, schema, None, b), tree.NODES)
 
 
 def transform(docs: DataFrame, f: Callable[[dict], dict]) -> DataFrame:
@@ -122,7 +147,8 @@ def transform(docs: DataFrame, f: Callable[[dict], dict]) -> DataFrame:
 
 def render(docs: DataFrame, format: str) -> DataFrame:
     """doc_id, output, error: documents (DOCS) in a format; binary for packages like epub. A document that can't be read or written has a null output and what was wrong."""
-    base, _, _ = split_format(format)
+    base, plus, minus = split_format(format)
+    checked(plus | minus, KNOWN)
     write, binary = sinks.writer(base), base in sinks.BINARY
     kind = pa.binary() if binary else pa.string()
 
@@ -145,5 +171,23 @@ def render(docs: DataFrame, format: str) -> DataFrame:
 
 
 def convert(df: DataFrame, source: str, target: str, id: str = "doc_id", content: str = "text") -> DataFrame:
-    """doc_id, output, error: the documents of a table from one format to another."""
-    return render(read_documents(df, source, id, content), target)
+    """doc_id, output, error: the documents of a table from one format to another, read and written in one pass. A document that can't be read or written has a null output and what was wrong."""
+    parse = reader(source)
+    base, plus, minus = split_format(target)
+    checked(plus | minus, KNOWN)
+    write, binary = sinks.writer(base), base in sinks.BINARY
+    kind = pa.binary() if binary else pa.string()
+
+    def made(text: str | bytes | None) -> tuple[str | bytes | None, str | None]:
+        try:
+            return write(parse(text if text is not None else "")), None
+        except Exception as e:  # as in read_documents
+            return None, _told(e)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _deep()
+        for batch in batches:
+            out = [made(text) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], kind), pa.array([e for _, e in out], pa.string())], ["doc_id", "output", "error"])
+
+    return spread(df.select(F.col(id).cast("bigint"), F.col(content))).mapInArrow(both, f"doc_id bigint, output {'binary' if binary else 'string'}, error string")

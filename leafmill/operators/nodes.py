@@ -58,10 +58,16 @@ def link_counts(nodes: DataFrame) -> DataFrame:
 
 
 def headings(nodes: DataFrame) -> DataFrame:
-    """doc_id, node_id, level, ident, text."""
-    heads = of_type(nodes, "Header")
-    text = text_of(nodes, heads).select(F.col("doc_id").alias("t_doc"), F.col("node_id").alias("t_node"), "text")
-    return heads.drop("text").join(text, (heads["doc_id"] == text["t_doc"]) & (heads["node_id"] == text["t_node"])).select("doc_id", "node_id", "level", F.col("attr.id").alias("ident"), "text")
+    """doc_id, node_id, level, ident, text: headings don't lie in each other, so the last one that began tells whose text a node is; notes are skipped."""
+    order = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    is_head = F.col("type") == "Header"
+    rows = nodes.select("doc_id", "node_id", "last_id", "type", "level", F.col("attr.id").alias("ident"), piece().alias("piece"))
+    head = F.last(F.when(is_head, F.struct(F.col("node_id").alias("id"), F.col("last_id").alias("last"))), ignorenulls=True).over(order)
+    rows = rows.withColumns({"head": head, "note": F.max(F.when(F.col("type") == "Note", F.col("last_id"))).over(order)})
+    inner = rows.where(F.col("node_id") <= F.col("head.last")).withColumn("piece", F.when(F.col("note").isNull() | (F.col("node_id") > F.col("note")), F.col("piece")).otherwise(""))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "piece"))), lambda x: x["piece"]), "")
+    own = lambda c: F.max(F.when(is_head, F.col(c))).alias(c)
+    return inner.groupBy("doc_id", F.col("head.id").alias("node_id")).agg(own("level"), own("ident"), text.alias("text"))
 
 
 def word_counts(nodes: DataFrame) -> DataFrame:

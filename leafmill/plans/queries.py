@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafmill import engine
 from leafmill.functions import text as T
 from leafmill.operators import nodes as N
+from leafmill.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,8 +32,13 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return engine.read_nodes(_t(spark, d, "pages"), "html", "page_id", "html")
+def _pages(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    return engine.read_nodes(_t(spark, d, "pages"), "html", "page_id", "html", keep or None)
+
+
+def _outlines(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' headings with their texts, and the nodes right below the roots: parsed once and stored, for the operators on them take several looks."""
+    return stored(_pages(spark, d, "Header"), "page-outlines")
 
 
 # --- pages: parsed trees ----------------------------------------------------------------------------------------------
@@ -42,14 +48,14 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 select url, count(*)::bigint as n from (select unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as url from pages) group by url""")
 def page_links(spark, d):
     """Links to each address, from the trees of the pages."""
-    return N.link_counts(_pages(spark, d))
+    return N.link_counts(_pages(spark, d, "Link"))
 
 
 @query(r"""
 select page_id as doc_id, level::int as level, replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as text
 from (select page_id, 1 as level, trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')) as text from pages)""")
 def page_headings(spark, d):
-    return N.headings(_pages(spark, d)).select("doc_id", "level", "text")
+    return N.headings(_pages(spark, d, "Header")).select("doc_id", "level", "text")
 
 
 @query("""
@@ -81,17 +87,17 @@ def page_node_counts(spark, d):
 
 @query()
 def page_sections(spark, d):
-    return N.sections(_pages(spark, d))
+    return N.sections(_outlines(spark, d))
 
 
 @query()
 def page_toc(spark, d):
-    return N.toc(_pages(spark, d))
+    return N.toc(_outlines(spark, d))
 
 
 @query()
 def page_chunks(spark, d):
-    return N.chunks(_pages(spark, d))
+    return N.chunks(_outlines(spark, d))
 
 
 @query()
@@ -116,7 +122,7 @@ def document_nodes(spark, d):
 
 @query()
 def slide_levels(spark, d):
-    return N.slide_level(_pages(spark, d))
+    return N.slide_level(_outlines(spark, d))
 
 
 # --- documents: text operators ----------------------------------------------------------------------------------------

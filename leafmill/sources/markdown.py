@@ -8,6 +8,7 @@ from __future__ import annotations
 import html
 import re
 
+from leafmill.extensions import checked
 from leafmill.tree import BREAK, NO_ATTR, attr, node, plain, simple_table, trimmed, unique_identifiers, words
 
 _COMMON = {"fenced_code", "autolink", "raw_html", "images", "start_numbers"}
@@ -33,9 +34,7 @@ KNOWN = set().union(*EXTENSIONS.values()) | set(NAMES) | OTHERS
 
 def switches(names: frozenset) -> set[str]:
     """What extensions of these names switch; an unknown one is an error."""
-    unknown = sorted(names - KNOWN)
-    if unknown:
-        raise ValueError(f"unknown extension {', '.join(unknown)}")
+    checked(names, KNOWN)
     return set().union(*[NAMES.get(n, {n}) for n in names])
 
 

@@ -7,6 +7,7 @@ the last descendant, so that the subtree of a is the range a.node_id .. a.last_i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 NO_ATTR = ["", [], []]
@@ -31,26 +32,12 @@ def attr(identifier: str = "", classes: list[str] | None = None, kvs: list | Non
 SPACE, SOFT, BREAK = {"t": "Space"}, {"t": "SoftBreak"}, {"t": "LineBreak"}
 
 
+_RUNS = re.compile(r"[ \t\n\r]+|[^ \t\n\r]+")
+
+
 def words(text: str) -> list[dict]:
     """Text as Str and Space nodes; line ends are soft breaks."""
-    out: list[dict] = []
-    word = ""
-    for ch in text:
-        if ch in " \t\n\r":
-            if word:
-                out.append(node("Str", word))
-                word = ""
-            kind = SOFT if ch == "\n" else SPACE
-            if out and out[-1]["t"] in ("Space", "SoftBreak"):
-                if kind is SOFT:
-                    out[-1] = SOFT
-            else:
-                out.append(kind)
-        else:
-            word += ch
-    if word:
-        out.append(node("Str", word))
-    return out
+    return [{"t": "Str", "c": run} if run[0] not in " \t\n\r" else SOFT if "\n" in run else SPACE for run in _RUNS.findall(text)]
 
 
 def trimmed(inlines: list[dict]) -> list[dict]:
@@ -179,35 +166,48 @@ def meta_text(value: dict | None) -> str:
     return c if t == "MetaString" else plain(c) if t in ("MetaInlines", "MetaBlocks") else str(c).lower() if t == "MetaBool" else ""
 
 
+COLUMNS = [c.split(" ", 1)[0] for c in re.split(r", (?![^<]*>)", NODES)]
+_ID, _PARENT, _ORD, _DEPTH, _LAST, _KIND, _TYPE, _LEVEL, _TEXT, _FMT, _ATTR, _TARGET, _LST, _CELL = range(1, len(COLUMNS))
+
+
 def rows(doc_id: int | None, doc: dict) -> Iterator[dict]:
     """The nodes of a document in preorder, under a root row."""
+    for r in flat(doc_id, doc):
+        yield dict(zip(COLUMNS, r, strict=True))
+
+
+def flat(doc_id: int | None, doc: dict) -> list[list]:
+    """rows as lists in the order of COLUMNS."""
     out = [_row(doc_id, 0, None, 0, 0, "doc", "Doc")]
 
-    def visit(n: dict, parent: int, place: int, depth: int, role: str, cell: dict | None = None) -> None:
+    def visit(n: dict, parent: int, place: int, depth: int) -> None:
         t, c = n["t"], n.get("c")
         me = len(out)
         r = _row(doc_id, me, parent, place, depth, "inline" if t in INLINE else "block", t)
         out.append(r)
         if t == "Str":
-            r["text"] = c
-        elif t in ("Code", "CodeBlock"):
-            r["attr"], r["text"] = _attr(c[0]), c[1]
+            r[_TEXT] = c
+            return
+        if t in _LEAVES:
+            return
+        if t in ("Code", "CodeBlock"):
+            r[_ATTR], r[_TEXT] = _attr(c[0]), c[1]
         elif t == "Math":
-            r["fmt"], r["text"] = c[0]["t"], c[1]
+            r[_FMT], r[_TEXT] = c[0]["t"], c[1]
         elif t in ("RawInline", "RawBlock"):
-            r["fmt"], r["text"] = c
+            r[_FMT], r[_TEXT] = c
         elif t == "Header":
-            r["level"], r["attr"] = c[0], _attr(c[1])
+            r[_LEVEL], r[_ATTR] = c[0], _attr(c[1])
         elif t in ("Div", "Span", "Figure", "Table"):
-            r["attr"] = _attr(c[0])
+            r[_ATTR] = _attr(c[0])
         elif t in ("Link", "Image"):
-            r["attr"], r["target"] = _attr(c[0]), {"url": c[2][0], "title": c[2][1]}
+            r[_ATTR], r[_TARGET] = _attr(c[0]), {"url": c[2][0], "title": c[2][1]}
         elif t == "OrderedList":
-            r["lst"] = {"start": c[0][0], "style": c[0][1]["t"], "delim": c[0][2]["t"]}
+            r[_LST] = {"start": c[0][0], "style": c[0][1]["t"], "delim": c[0][2]["t"]}
         elif t == "Quoted":
-            r["fmt"] = c[0]["t"]
+            r[_FMT] = c[0]["t"]
         elif t == "Cite":
-            r["text"] = ";".join(x["citationId"] for x in c[0])
+            r[_TEXT] = ";".join(x["citationId"] for x in c[0])
         inner = [("cell", cell_[4], (part, row, cell_)) for part, row, cell_ in cells(n)] if t == "Table" else []
         lists = [(role_, xs, None) for role_, xs in parts(n) if t != "Table" or role_ == "caption"] + inner
         i = 0
@@ -215,7 +215,7 @@ def rows(doc_id: int | None, doc: dict) -> Iterator[dict]:
         for role_, xs, info in lists:
             if not role_:
                 for x in xs:
-                    visit(x, me, i, depth + 1, "")
+                    visit(x, me, i, depth + 1)
                     i += 1
                 continue
             g = len(out)
@@ -224,27 +224,47 @@ def rows(doc_id: int | None, doc: dict) -> Iterator[dict]:
             i += 1
             if info:
                 part, row, cell_ = info
-                group["cell"] = {"align": cell_[1]["t"], "rowspan": cell_[2], "colspan": cell_[3], "part": part, "row": row, "col": col.get(row, 0)}
-                group["attr"] = _attr(cell_[0])
+                group[_CELL] = {"align": cell_[1]["t"], "rowspan": cell_[2], "colspan": cell_[3], "part": part, "row": row, "col": col.get(row, 0)}
+                group[_ATTR] = _attr(cell_[0])
                 col[row] = col.get(row, 0) + cell_[3]
             for k, x in enumerate(xs):
-                visit(x, g, k, depth + 2, role_)
-            group["last_id"] = len(out) - 1
-        r["last_id"] = len(out) - 1
+                visit(x, g, k, depth + 2)
+            group[_LAST] = len(out) - 1
+        r[_LAST] = len(out) - 1
 
     for i, b in enumerate(doc["blocks"]):
-        visit(b, 0, i, 1, "")
-    out[0]["last_id"] = len(out) - 1
-    yield from out
+        visit(b, 0, i, 1)
+    out[0][_LAST] = len(out) - 1
+    return out
+
+
+def under(found: list[list], types: frozenset[str]) -> list[list]:
+    """Of a document's rows the root, those right below it, and the subtrees of nodes of these types."""
+    out, end = [], -1
+    for r in found:
+        if r[_TYPE] in types and r[_LAST] > end:
+            end = r[_LAST]
+        if r[_ID] <= end or r[_DEPTH] <= 1:
+            out.append(r)
+    return out
 
 
 def error_row(doc_id: int | None, error: str) -> dict:
     """In place of the nodes of a document that can't be read."""
-    return _row(doc_id, 0, None, 0, 0, "error", "Error") | {"text": error}
+    return dict(zip(COLUMNS, error_list(doc_id, error), strict=True))
+
+
+def error_list(doc_id: int | None, error: str) -> list:
+    r = _row(doc_id, 0, None, 0, 0, "error", "Error")
+    r[_TEXT] = error
+    return r
+
+
+_LEAVES = {"Space", "SoftBreak", "LineBreak", "HorizontalRule"}
 
 
-def _row(doc_id, node_id, parent, place, depth, kind, t) -> dict:
-    return {"doc_id": doc_id, "node_id": node_id, "parent_id": parent, "ord": place, "depth": depth, "last_id": node_id, "kind": kind, "type": t, "level": None, "text": None, "fmt": None, "attr": None, "target": None, "lst": None, "cell": None}
+def _row(doc_id, node_id, parent, place, depth, kind, t) -> list:
+    return [doc_id, node_id, parent, place, depth, node_id, kind, t, None, None, None, None, None, None, None]
 
 
 def _attr(a: list) -> dict:
@@ -260,26 +280,30 @@ def identifier(text: str) -> str:
     return joined or "section"
 
 
-def unique_identifiers(blocks: list[dict]) -> list[dict]:
-    """Headers without an identifier get one from their text; one that is taken gets -1, -2, .. ."""
-    used: set[str] = set()
-
-    def collect(n: dict) -> None:
-        if n["t"] == "Header" and n["c"][1][0]:
-            used.add(n["c"][1][0])
+def every(blocks: list[dict]) -> Iterator[dict]:
+    """All nodes in preorder."""
+    left = list(reversed(blocks))
+    while left:
+        n = left.pop()
+        yield n
+        if n["t"] not in _LEAVES and n["t"] != "Str":
+            for _, xs in reversed(parts(n)):
+                left.extend(reversed(xs))
 
-    walk(blocks, collect)
 
-    def named(n: dict) -> dict | None:
-        if n["t"] != "Header" or n["c"][1][0]:
-            return None
-        level, (_, classes, kvs), text = n["c"]
+def unique_identifiers(blocks: list[dict]) -> list[dict]:
+    """blocks, in which headers without an identifier have got one from their text; one that is taken gets -1, -2, .. ."""
+    heads = [n for n in every(blocks) if n["t"] == "Header"]
+    used = {n["c"][1][0] for n in heads if n["c"][1][0]}
+    for n in heads:
+        level, (own, classes, kvs), text = n["c"]
+        if own:
+            continue
         base, k = identifier(plain(text)), 0
         name = base
         while name in used:
             k += 1
             name = f"{base}-{k}"
         used.add(name)
-        return node("Header", level, [name, classes, kvs], text)
-
-    return walk(blocks, named)
+        n["c"] = [level, [name, classes, kvs], text]
+    return blocks
