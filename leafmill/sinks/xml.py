@@ -40,6 +40,10 @@ class Vocabulary:
     table: dict[str, str] = field(default_factory=lambda: {"table": "table", "head": "thead", "body": "tbody", "row": "tr", "th": "th", "td": "td", "caption": "caption"})
     raw: tuple[str, ...] = ()
     item_wrap: str | None = None  # what holds an item's text
+    layout: str = ""  # "lines": block elements on lines of their own, their content indented; "text": paragraphs' text on lines of its own, too
+    tight: str = ""  # an attribute of lists whose items are Plain
+    levels: bool = False  # sections say their level
+    compact: tuple[str, ...] = ()  # lists that take `tight`
 
 
 class Renderer:
@@ -92,15 +96,62 @@ class Renderer:
             level, j = xs[i]["c"][0], i + 1
             while j < len(xs) and not (xs[j]["t"] == "Header" and xs[j]["c"][0] <= level):
                 j += 1
-            out.append(tag(self.v.section, f"\n{tag(self.v.section_title, self.inlines(xs[i]['c'][2]))}\n{self.blocks(xs[i + 1 : j])}\n", **{self.v.ident: xs[i]["c"][1][0]}))
+            title = tag(self.v.section_title, self.inlines(xs[i]["c"][2]))
+            inner = "\n".join(x for x in (title, self.blocks(xs[i + 1 : j])) if x)
+            attrs = {"type": f"level{level}"} if self.v.levels else {}
+            out.append(self.around(self.v.section, inner, **attrs, **{self.v.ident: xs[i]["c"][1][0]}))
             i = j
         return "\n".join(y for y in out if y)
 
+    def around(self, name: str, body: str, **attrs: str) -> str:
+        """An element that holds others: on lines of their own and indented, if the vocabulary is laid out so. Lines that begin with a null are kept as they are."""
+        if not self.v.layout:
+            return tag(name, f"\n{body}\n", **attrs)
+        inner = "\n".join(line if line.startswith("\0") or not line else "  " + line for line in body.split("\n"))
+        return tag(name, f"\n{inner}\n" if body else "", **attrs)
+
     def item(self, body: list[dict]) -> str:
-        return tag(self.v.item, self.blocks(body))
+        return self.around(self.v.item, self.blocks(body)) if self.v.layout else tag(self.v.item, self.blocks(body))
+
+    def laid(self, n: dict) -> str | None:
+        """Blocks that have a layout of their own."""
+        t, c, v = n["t"], n.get("c"), self.v
+        if t in ("Plain", "Para"):
+            return self.around(v.names[t], self.inlines(c)) if v.layout == "text" else None
+        if t == "CodeBlock":
+            lang = c[0][1][0] if c[0][1] else ""
+            code = esc(c[1]).split("\n")
+            if v.layout == "text":
+                return "\n".join([f'<{v.names[t]}{f" language={chr(34)}{q(lang)}{chr(34)}" if lang else ""}>', *["\0" + x for x in code], f"\0</{v.names[t].split()[0]}>"])
+            return "\n".join([f"<{v.names[t]}>" + code[0], *["\0" + x for x in code[1:]]]) + f"</{v.names[t].split()[0]}>"
+        if t in ("BulletList", "OrderedList"):
+            items = c if t == "BulletList" else c[1]
+            name = v.names[t]
+            if t == "OrderedList":
+                name += self.numbering(c[0])
+            if v.tight and t in v.compact and all(b["t"] != "Para" for x in items for b in x[:1]):
+                name += v.tight
+            return self.around(name, "\n".join(map(self.item, items)))
+        if t == "BlockQuote":
+            return self.around(v.names[t], self.blocks(c))
+        if t == "DefinitionList":
+            tight = v.tight if t in v.compact and all(b["t"] != "Para" for _, defs in c for d in defs for b in d[:1]) else ""
+            entries = []
+            for term, defs in c:
+                head = self.around(v.names["Term"], self.inlines(term)) if v.layout == "text" else tag(v.names["Term"], self.inlines(term))
+                body = "\n".join([head, *[self.around(v.names["Definition"], self.blocks(d)) for d in defs]])
+                entries.append(self.around(v.names["Entry"], body) if v.names.get("Entry") else body)
+            return self.around(v.names[t] + tight, "\n".join(entries))
+        return None
+
+    def numbering(self, a: list) -> str:
+        """Attributes of an ordered list's numbers."""
+        return ""
 
     def block(self, n: dict) -> str:
         t, c, v = n["t"], n.get("c"), self.v
+        if v.layout and (laid := self.laid(n)) is not None:
+            return laid
         if t == "Plain":
             return self.named("Plain", self.inlines(c))
         if t == "Para":
@@ -141,14 +192,14 @@ class Renderer:
     def document(self, doc: dict) -> str:
         title = meta_text(doc["meta"].get("title"))
         a, b = self.v.wrap
-        return a.replace("{title}", esc(title)) + self.blocks(doc["blocks"]) + b + "\n"
+        return a.replace("{title}", esc(title)) + self.blocks(doc["blocks"]).replace("\0", "") + b + "\n"
 
 
 _inline = {"Emph": "emphasis", "Strong": "emphasis role=\"strong\"", "Strikeout": "emphasis role=\"strikethrough\"", "Underline": "emphasis role=\"underline\"", "Superscript": "superscript", "Subscript": "subscript", "Code": "literal", "Note": "footnote", "Quoted": "quote"}
-_db = Vocabulary(names=_inline | {"Para": "para", "Plain": "para", "BlockQuote": "blockquote", "CodeBlock": "programlisting", "BulletList": "itemizedlist", "OrderedList": "orderedlist", "DefinitionList": "variablelist", "Entry": "varlistentry", "Term": "term", "Definition": "listitem", "LineBlock": "literallayout", "Figure": "figure", "Math": "literal"}, section="section", link=("link", "xlink__href"), image=("imagedata", "fileref"), ident="xml__id", item="listitem", line_break="\n", raw=("docbook",), table={"table": "informaltable", "head": "thead", "body": "tbody", "row": "row", "th": "entry", "td": "entry", "caption": ""})
+_db = Vocabulary(names=_inline | {"Para": "para", "Plain": "para", "BlockQuote": "blockquote", "CodeBlock": "programlisting", "BulletList": "itemizedlist", "OrderedList": "orderedlist", "DefinitionList": "variablelist", "Entry": "varlistentry", "Term": "term", "Definition": "listitem", "LineBlock": "literallayout", "Figure": "figure", "Math": "literal"}, section="section", layout="text", tight=' spacing="compact"', compact=("BulletList", "OrderedList", "DefinitionList"), link=("link", "xlink__href"), image=("imagedata", "fileref"), ident="xml__id", item="listitem", line_break="\n", raw=("docbook",), table={"table": "informaltable", "head": "thead", "body": "tbody", "row": "row", "th": "entry", "td": "entry", "caption": ""})
 _db4 = Vocabulary(**(_db.__dict__ | {"link": ("ulink", "url"), "ident": "id"}))
-_jats = Vocabulary(names={"Emph": "italic", "Strong": "bold", "Strikeout": "strike", "Underline": "underline", "SmallCaps": "sc", "Superscript": "sup", "Subscript": "sub", "Code": "monospace", "Note": "fn", "Para": "p", "Plain": "p", "BlockQuote": "disp-quote", "CodeBlock": "code", "BulletList": 'list list-type="bullet"', "OrderedList": 'list list-type="order"', "DefinitionList": "def-list", "Entry": "def-item", "Term": "term", "Definition": "def", "LineBlock": "verse-group", "Figure": "fig", "FigureCaption": "caption", "Math": "tex-math", "Div": "boxed-text"}, section="sec", link=("ext-link", "xlink__href"), image=("inline-graphic", "xlink__href"), item="list-item", raw=("jats",))
-_tei = Vocabulary(names={"Emph": 'hi rendition="simple:italic"', "Strong": 'hi rendition="simple:bold"', "Strikeout": 'hi rendition="simple:strikethrough"', "Superscript": 'hi rendition="simple:superscript"', "Subscript": 'hi rendition="simple:subscript"', "SmallCaps": 'hi rendition="simple:smallcaps"', "Code": "seg type=\"code\"", "Note": "note", "Para": "p", "Plain": "p", "BlockQuote": "quote", "CodeBlock": "ab type=\"codeblock\"", "BulletList": 'list type="unordered"', "OrderedList": 'list type="ordered"', "DefinitionList": 'list type="gloss"', "Term": "label", "Definition": "item", "LineBlock": "l", "Figure": "figure", "FigureCaption": "figDesc", "Math": "formula", "Rule": "<milestone unit=\"undefined\" type=\"separator\" rendition=\"line\"/>"}, section="div", section_title="head", link=("ref", "target"), image=("graphic", "url"), ident="id", item="item", line_break="<lb/>", raw=("tei",), table={"table": "table", "head": "", "body": "", "row": "row", "th": "cell role=\"label\"", "td": "cell", "caption": "head"})
+_jats = Vocabulary(names={"Emph": "italic", "Strong": "bold", "Strikeout": "strike", "Underline": "underline", "SmallCaps": "sc", "Superscript": "sup", "Subscript": "sub", "Code": "monospace", "Note": "fn", "Para": "p", "Plain": "p", "BlockQuote": "disp-quote", "CodeBlock": "preformat", "BulletList": 'list list-type="bullet"', "OrderedList": 'list list-type="order"', "DefinitionList": "def-list", "Entry": "def-item", "Term": "term", "Definition": "def", "LineBlock": "verse-group", "Figure": "fig", "FigureCaption": "caption", "Math": "tex-math", "Div": "boxed-text"}, section="sec", layout="lines", link=("ext-link", "xlink__href"), image=("inline-graphic", "xlink__href"), item="list-item", raw=("jats",))
+_tei = Vocabulary(names={"Emph": 'hi rendition="simple:italic"', "Strong": 'hi rendition="simple:bold"', "Strikeout": 'hi rendition="simple:strikethrough"', "Superscript": 'hi rendition="simple:superscript"', "Subscript": 'hi rendition="simple:subscript"', "SmallCaps": 'hi rendition="simple:smallcaps"', "Code": "seg type=\"code\"", "Note": "note", "Para": "p", "Plain": "p", "BlockQuote": "quote", "CodeBlock": "ab type=\"codeblock\"", "BulletList": 'list type="unordered"', "OrderedList": 'list type="ordered"', "DefinitionList": 'list type="gloss"', "Term": "label", "Definition": "item", "LineBlock": "l", "Figure": "figure", "FigureCaption": "figDesc", "Math": "formula", "Rule": "<milestone unit=\"undefined\" type=\"separator\" rendition=\"line\"/>"}, section="div", layout="lines", levels=True, section_title="head", link=("ref", "target"), image=("graphic", "url"), ident="xml__id", item="item", line_break="<lb/>", raw=("tei",), table={"table": "table", "head": "", "body": "", "row": "row", "th": "cell role=\"label\"", "td": "cell", "caption": "head"})
 _fb2 = Vocabulary(names={"Emph": "emphasis", "Strong": "strong", "Strikeout": "strikethrough", "Superscript": "sup", "Subscript": "sub", "Code": "code", "Para": "p", "Plain": "p", "BlockQuote": "cite", "CodeBlock": "p", "Term": "p", "Definition": "cite", "Math": "code", "Rule": "<empty-line/>"}, section="section", section_title="title", link=("a", "l__href"), image=("image", "l__href"), item="p", line_break="<empty-line/>", wrap=('<?xml version="1.0" encoding="UTF-8"?>\n<FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0" xmlns:l="http://www.w3.org/1999/xlink"><description><title-info><book-title>{title}</book-title></title-info></description><body>\n', "\n</body></FictionBook>"), table={"table": "table", "head": "", "body": "", "row": "tr", "th": "th", "td": "td", "caption": ""})
 _odf = Vocabulary(names={"Emph": 'text:span text:style-name="Emphasis"', "Strong": 'text:span text:style-name="Strong"', "Strikeout": 'text:span text:style-name="Strikeout"', "Underline": 'text:span text:style-name="Underline"', "Superscript": 'text:span text:style-name="Superscript"', "Subscript": 'text:span text:style-name="Subscript"', "Code": 'text:span text:style-name="Source_Text"', "Para": 'text:p text:style-name="Text_body"', "Plain": "text:p", "CodeBlock": 'text:p text:style-name="Preformatted_Text"', "BulletList": "text:list", "OrderedList": 'text:list text:style-name="L1"', "Term": 'text:p text:style-name="Definition_Term"', "Rule": '<text:p text:style-name="Horizontal_Line"/>', **{f"Header{i}": f'text:h text:style-name="Heading_{i}" text:outline-level="{i}"' for i in range(1, 7)}}, link=("text:a", "xlink__href"), image=("draw:image", "xlink__href"), ident="xml__id", item="text:list-item", line_break="<text:line-break/>", table={"table": "table:table", "head": "table:table-header-rows", "body": "", "row": "table:table-row", "th": "table:table-cell", "td": "table:table-cell", "caption": ""})
 _icml = Vocabulary(names={k: f'CharacterStyleRange AppliedCharacterStyle="CharacterStyle/{v}"' for k, v in (("Emph", "Italic"), ("Strong", "Bold"), ("Strikeout", "Strikeout"), ("Underline", "Underline"), ("Superscript", "Superscript"), ("Subscript", "Subscript"), ("Code", "Code"))} | {k: f'ParagraphStyleRange AppliedParagraphStyle="ParagraphStyle/{v}"' for k, v in (("Para", "Paragraph"), ("Plain", "Paragraph"), ("CodeBlock", "CodeBlock"), ("BlockQuote", "Blockquote"), *((f"Header{i}", f"Header{i}") for i in range(1, 7)))}, link=("HyperlinkTextSource", "Name"), image=("Link", "LinkResourceURI"), ident="Self", item="Content", line_break="<Br/>", wrap=('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<Document><Story>', "</Story></Document>"))
@@ -156,8 +207,35 @@ _icml = Vocabulary(names={k: f'CharacterStyleRange AppliedCharacterStyle="Charac
 VOCABULARIES = {"docbook": _db, "docbook5": _db, "docbook4": _db4, "jats": _jats, "jats_archiving": _jats, "jats_publishing": _jats, "jats_articleauthoring": _jats, "tei": _tei, "fb2": _fb2, "opendocument": _odf, "icml": _icml}
 
 
+#: What a list's numbers are called.
+_DOCBOOK_NUMBERS = {"Decimal": "arabic", "Example": "arabic", "UpperAlpha": "upperalpha", "LowerAlpha": "loweralpha", "UpperRoman": "upperroman", "LowerRoman": "lowerroman"}
+_JATS_NUMBERS = {"Decimal": "order", "DefaultStyle": "order", "Example": "order", "UpperAlpha": "alpha-upper", "LowerAlpha": "alpha-lower", "UpperRoman": "roman-upper", "LowerRoman": "roman-lower"}
+
+
+class Docbook(Renderer):
+    def numbering(self, a: list) -> str:
+        style = _DOCBOOK_NUMBERS.get(a[1]["t"])
+        return (f' numeration="{style}"' if style else "") + (f' startingnumber="{a[0]}"' if a[0] != 1 else "")
+
+
+class Tei(Renderer):
+    def numbering(self, a: list) -> str:
+        return f' n="{a[0]}"' if a[0] != 1 else ""
+
+
+class Jats(Renderer):
+    def laid(self, n: dict) -> str | None:
+        if n["t"] != "OrderedList":
+            return super().laid(n)
+        (start, style, _), items = n["c"]
+        return self.around(f'list list-type="{_JATS_NUMBERS[style["t"]]}"', "\n".join(map(self.item, items)))
+
+
+_RENDERERS = {"docbook": Docbook, "docbook5": Docbook, "docbook4": Docbook, "tei": Tei, **{k: Jats for k in VOCABULARIES if k.startswith("jats")}}
+
+
 def render(doc: dict, name: str) -> str:
-    return Renderer(VOCABULARIES[name]).document(doc)
+    return _RENDERERS.get(name, Renderer)(VOCABULARIES[name]).document(doc)
 
 
 # --- HTML -------------------------------------------------------------------------------------------------------------

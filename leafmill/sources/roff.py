@@ -691,9 +691,14 @@ def read_native(text: str) -> dict:
     tokens = re.findall(r'"(?:[^"\\]|\\.)*"|[\[\](){},=]|-?\d+(?:\.\d+)?|[A-Za-z_]\w*', text, re.S)
     at = 0
 
+    def escape(m: re.Match) -> str:
+        decimal, hexa, one = m[1], m[2], m[3]
+        if decimal or hexa:
+            return chr(int(decimal) if decimal else int(hexa, 16))
+        return "" if one == "&" else {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}.get(one, one)
+
     def string(t: str) -> str:
-        t = re.sub(r"\\&", "", t[1:-1])
-        return re.sub(r"\\(\d+|x[0-9a-fA-F]+|n|t|r|.)", lambda m: chr(int(m[1])) if m[1].isdigit() else {"n": "\n", "t": "\t", "r": "\r"}.get(m[1], m[1]), t)
+        return re.sub(r"\\(?:(\d+)|x([0-9a-fA-F]+)|(.))", escape, t[1:-1], flags=re.S)  # \\& ends a number and is nothing itself
 
     def value():
         nonlocal at
