@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from leafmill.tree import QUOTES, cells
+from leafmill.tree import QUOTES, cells, identifier, plain
 
 
 @dataclass
@@ -35,6 +35,9 @@ class Format:
     raw: tuple[str, ...] = ()
     lines: Callable[[list[str]], str] = lambda xs: "\n".join(xs)
     div: Callable[[str, list], str] = lambda body, a: body
+    soft: str = "\n"  # a line end of the source
+    own_ids: bool = False  # headings show only identifiers that don't follow from their text
+    list_around: Callable[[str, bool], str] = lambda body, ordered: body
 
 
 def indented(text: str, by: str, first: str | None = None) -> str:
@@ -65,7 +68,7 @@ class Renderer:
         if t == "Str":
             return f.escape(c)
         if t in ("Space", "SoftBreak"):
-            return " " if t == "Space" else "\n"
+            return " " if t == "Space" else f.soft
         if t == "LineBreak":
             return f.line_break
         if t in ("Emph", "Strong", "Underline", "Strikeout", "Superscript", "Subscript", "SmallCaps"):
@@ -115,7 +118,8 @@ class Renderer:
         if t in ("Para", "Plain"):
             return self.inlines(c)
         if t == "Header":
-            return f.header(c[0], self.inlines(c[2]).replace("\n", " "), c[1])
+            a = ["", *c[1][1:]] if f.own_ids and c[1][0] == identifier(plain(c[2])) else c[1]
+            return f.header(c[0], self.inlines(c[2]).replace("\n", " "), a)
         if t == "CodeBlock":
             return f.code_block(c[1], c[0][1])
         if t == "BlockQuote":
@@ -138,7 +142,7 @@ class Renderer:
             for k, i in enumerate(items):
                 mark = f.bullet(self.depth + 1) if t == "BulletList" else f.number(self.depth + 1, c[0][0] + k, c[0][1]["t"])
                 out.append(self.item(mark, i, tight))
-            return ("\n" if tight else "\n\n").join(out)
+            return f.list_around(("\n" if tight else "\n\n").join(out), t == "OrderedList")
         if t == "DefinitionList":
             return "\n\n".join("\n".join([f.term(self.inlines(term)), *[f.definition(self.blocks(d)) for d in defs]]) for term, defs in c)
         if t == "Table":
@@ -255,7 +259,7 @@ FORMATS: dict[str, Format] = {
     "markdown_strict": Format(marks=_html_marks, **(_cm | {"line_break": "  \n", "code_block": lambda text, classes: indented(text, "    ")})),
     "markdown_phpextra": Format(marks=_html_marks, **(_cm | {"line_break": "  \n"})),
     "markdown_mmd": Format(marks=_md_marks, **(_cm | {"line_break": "  \n"})),
-    "markua": Format(marks=_md_marks, **_cm),
+    "markua": Format(marks=_md_marks, **(_cm | {"header": lambda level, text, a: (f"{{id: {a[0]}}}\n" if a[0] else "") + "#" * level + " " + text, "bullet": lambda d: "* ", "rule": "* * *", "soft": " "})),
     "plain": Format(marks={"Emph": ("_", "_")}, quote=lambda body: indented(body, "  "), link=lambda t, u, x: t, image=lambda t, u, x: f"[{t}]" if t else "", number=lambda d, n, s: f"{n}. ".ljust(4)),
     "ansi": Format(marks={"Emph": ("\x1b[3m", "\x1b[23m"), "Strong": ("\x1b[1m", "\x1b[22m"), "Underline": ("\x1b[4m", "\x1b[24m"), "Strikeout": ("\x1b[9m", "\x1b[29m")}, header=lambda level, text, a: f"\x1b[1m{text}\x1b[22m", code=lambda s: f"\x1b[7m{s}\x1b[27m", link=lambda t, u, x: f"\x1b]8;;{u}\x1b\\{t}\x1b]8;;\x1b\\", quote=lambda b: indented(b, "│ ")),
     "rst": Format(
@@ -264,18 +268,18 @@ FORMATS: dict[str, Format] = {
     "org": Format(
         marks={"Emph": ("/", "/"), "Strong": ("*", "*"), "Underline": ("_", "_"), "Strikeout": ("+", "+"), "Superscript": ("^{", "}"), "Subscript": ("_{", "}")}, code=lambda s: f"={s}=", link=lambda t, u, x: f"[[{u}]]" if t == u else f"[[{u}][{t}]]", image=lambda t, u, x: f"[[{u}]]",
         header=lambda level, text, a: "*" * level + " " + text + (f"\n:PROPERTIES:\n:CUSTOM_ID: {a[0]}\n:END:" if a[0] else ""), code_block=lambda text, classes: f"#+begin_src {classes[0]}\n{indented(text, '  ')}\n#+end_src" if classes else f"#+begin_example\n{indented(text, '  ')}\n#+end_example", quote=lambda b: f"#+begin_quote\n{b}\n#+end_quote", rule="-" * 14, line_break="\\\\\n", math=("\\(", "\\)"), display=("\\[", "\\]"), table=_org_table, note=lambda n, b: (f"[fn:{n}]", f"[fn:{n}] {b}"), term=lambda t: f"- {t} ::", definition=lambda b: indented(b, "  "), lines=lambda xs: "#+begin_verse\n" + "\n".join(xs) + "\n#+end_verse", raw=("org",)),
-    "mediawiki": Format(marks={"Emph": ("''", "''"), "Strong": ("'''", "'''"), "Underline": _tag("u"), "Strikeout": _tag("s"), "Superscript": _tag("sup"), "Subscript": _tag("sub")}, code=lambda s: f"<code>{s}</code>", link=lambda t, u, x: f"[{u} {t}]" if "://" in u else f"[[{u}|{t}]]", image=lambda t, u, x: f"[[File:{u}|{t}]]", header=lambda level, text, a: "=" * level + " " + text + " " + "=" * level, code_block=lambda text, classes: f'<syntaxhighlight lang="{classes[0]}">{text}</syntaxhighlight>' if classes else f"<pre>{text}</pre>", quote=lambda b: f"<blockquote>{b}\n</blockquote>", rule="-----", line_break="<br />\n", bullet=lambda d: "*" * d + " ", number=lambda d, n, s: "#" * d + " ", hanging=False, math=("<math display=\"inline\">", "</math>"), display=("<math display=\"block\">", "</math>"), table=_wikitable, note=lambda n, b: (f"<ref>{b}</ref>", ""), term=lambda t: f"; {t}", definition=lambda b: f": {b}", raw=("mediawiki", "html")),
-    "dokuwiki": Format(marks={"Emph": ("//", "//"), "Strong": ("**", "**"), "Underline": ("__", "__"), "Strikeout": _tag("del"), "Superscript": _tag("sup"), "Subscript": _tag("sub")}, code=lambda s: f"''%%{s}%%''", link=lambda t, u, x: f"[[{u}|{t}]]", image=lambda t, u, x: f"{{{{{u}|{t}}}}}", header=lambda level, text, a: "=" * (7 - level) + " " + text + " " + "=" * (7 - level), code_block=lambda text, c: f"<code{' ' + c[0] if c else ''}>\n{text}\n</code>", quote=lambda b: indented(b, "> "), rule="----", line_break="\\\\\n", bullet=lambda d: "  " * d + "* ", number=lambda d, n, s: "  " * d + "- ", hanging=False, table=_rows("|", "^"), note=lambda n, b: (f"(({b}))", ""), raw=("dokuwiki",)),
-    "zimwiki": Format(marks={"Emph": ("//", "//"), "Strong": ("**", "**"), "Underline": ("__", "__"), "Strikeout": ("~~", "~~"), "Superscript": ("^{", "}"), "Subscript": ("_{", "}")}, code=lambda s: f"''{s}''", link=lambda t, u, x: f"[[{u}|{t}]]", image=lambda t, u, x: f"{{{{{u}}}}}", header=lambda level, text, a: "=" * (7 - level) + " " + text + " " + "=" * (7 - level), code_block=lambda text, c: f"'''\n{text}\n'''", quote=lambda b: indented(b, "> "), rule="----", bullet=lambda d: "\t" * (d - 1) + "* ", number=lambda d, n, s: "\t" * (d - 1) + f"{n}. ", hanging=False, table=_rows("|")),
-    "xwiki": Format(marks={"Emph": ("//", "//"), "Strong": ("**", "**"), "Underline": ("__", "__"), "Strikeout": ("--", "--"), "Superscript": ("^^", "^^"), "Subscript": (",,", ",,")}, code=lambda s: f"##{s}##", link=lambda t, u, x: f"[[{t}>>{u}]]", image=lambda t, u, x: f"[[image:{u}]]", header=lambda level, text, a: "=" * level + " " + text + " " + "=" * level, code_block=lambda text, c: f"{{{{code{' language=' + chr(34) + c[0] + chr(34) if c else ''}}}}}\n{text}\n{{{{/code}}}}", quote=lambda b: indented(b, "> "), rule="----", bullet=lambda d: "*" * d + " ", number=lambda d, n, s: "1" * d + ". ", hanging=False, table=_rows("|", "|="), note=lambda n, b: (f"{{{{footnote}}}}{b}{{{{/footnote}}}}", "")),
-    "textile": Format(marks={"Emph": ("_", "_"), "Strong": ("*", "*"), "Underline": ("+", "+"), "Strikeout": ("-", "-"), "Superscript": ("^", "^"), "Subscript": ("~", "~")}, code=lambda s: f"@{s}@", link=lambda t, u, x: f'"{t}":{u}', image=lambda t, u, x: f"!{u}({t})!" if t else f"!{u}!", header=lambda level, text, a: f"h{level}. {text}", code_block=lambda text, c: f"bc. {text}", quote=lambda b: f"bq. {b}", rule="<hr />", bullet=lambda d: "*" * d + " ", number=lambda d, n, s: "#" * d + " ", hanging=False, table=_rows("|"), note=lambda n, b: (f"[{n}]", f"fn{n}. {b}")),
-    "jira": Format(marks={"Emph": ("_", "_"), "Strong": ("*", "*"), "Underline": ("+", "+"), "Strikeout": ("-", "-"), "Superscript": ("^", "^"), "Subscript": ("~", "~")}, code=lambda s: f"{{{{{s}}}}}", link=lambda t, u, x: f"[{t}|{u}]" if t != u else f"[{u}]", image=lambda t, u, x: f"!{u}!", header=lambda level, text, a: f"h{level}. {text}", code_block=lambda text, c: f"{{code{':' + c[0] if c else ''}}}\n{text}\n{{code}}", quote=lambda b: f"{{quote}}\n{b}\n{{quote}}", rule="----", bullet=lambda d: "*" * d + " ", number=lambda d, n, s: "#" * d + " ", hanging=False, table=_rows("|", "||")),
-    "asciidoc": Format(marks={"Emph": ("_", "_"), "Strong": ("*", "*"), "Underline": ("[.underline]#", "#"), "Strikeout": ("[line-through]*", "*"), "Superscript": ("^", "^"), "Subscript": ("~", "~")}, code=lambda s: f"`{s}`", link=lambda t, u, x: u if t == u else f"{u}[{t}]" if "://" in u else f"link:{u}[{t}]", image=lambda t, u, x: f"image:{u}[{t}]", header=lambda level, text, a: (f"[[{a[0]}]]\n" if a[0] else "") + "=" * (level + 1) + " " + text, code_block=lambda text, c: (f"[source,{c[0]}]\n" if c else "") + f"----\n{text}\n----", quote=lambda b: f"____\n{b}\n____", rule="'''''", line_break=" +\n", bullet=lambda d: "*" * d + " ", number=lambda d, n, s: "." * d + " ", hanging=False, math=("latexmath:[", "]"), display=("latexmath:[", "]"), table=_adoc_table, note=lambda n, b: (f"footnote:[{b}]", ""), term=lambda t: f"{t}::", definition=lambda b: indented(b, "  ")),
-    "muse": Format(marks={"Emph": _tag("em"), "Strong": _tag("strong"), "Strikeout": _tag("del"), "Superscript": _tag("sup"), "Subscript": _tag("sub"), "Underline": ("_", "_")}, code=lambda s: f"<code>{s}</code>", link=lambda t, u, x: f"[[{u}][{t}]]", image=lambda t, u, x: f"[[{u}][{t}]]", header=lambda level, text, a: "*" * level + " " + text, code_block=lambda text, c: f"<example>\n{text}\n</example>", quote=lambda b: f"<quote>\n{b}\n</quote>", bullet=lambda d: " - ", table=_rows("|", "||"), term=lambda t: f" {t} ::"),
-    "t2t": Format(marks={"Emph": ("//", "//"), "Strong": ("**", "**"), "Underline": ("__", "__"), "Strikeout": ("--", "--")}, code=lambda s: f"``{s}``", link=lambda t, u, x: f"[{t} {u}]", image=lambda t, u, x: f"[{u}]", header=lambda level, text, a: "=" * level + " " + text + " " + "=" * level, code_block=lambda text, c: f"```\n{text}\n```", quote=lambda b: indented(b, "\t"), number=lambda d, n, s: "+ ", table=_rows("|", "||")),
+    "mediawiki": Format(soft=" ", marks={"Emph": ("''", "''"), "Strong": ("'''", "'''"), "Underline": _tag("u"), "Strikeout": _tag("s"), "Superscript": _tag("sup"), "Subscript": _tag("sub")}, code=lambda s: f"<code>{s}</code>", link=lambda t, u, x: f"[{u} {t}]" if "://" in u else f"[[{u}|{t}]]", image=lambda t, u, x: f"[[File:{u}|{t}]]", header=lambda level, text, a: "=" * level + " " + text + " " + "=" * level, code_block=lambda text, classes: f'<syntaxhighlight lang="{classes[0]}">{text}</syntaxhighlight>' if classes else f"<pre>{text}</pre>", quote=lambda b: f"<blockquote>{b}\n</blockquote>", rule="-----", line_break="<br />\n", bullet=lambda d: "*" * d + " ", number=lambda d, n, s: "#" * d + " ", hanging=False, math=("<math display=\"inline\">", "</math>"), display=("<math display=\"block\">", "</math>"), table=_wikitable, note=lambda n, b: (f"<ref>{b}</ref>", ""), term=lambda t: f"; {t}", definition=lambda b: f": {b}", raw=("mediawiki", "html")),
+    "dokuwiki": Format(soft=" ", marks={"Emph": ("//", "//"), "Strong": ("**", "**"), "Underline": ("__", "__"), "Strikeout": _tag("del"), "Superscript": _tag("sup"), "Subscript": _tag("sub")}, code=lambda s: f"''%%{s}%%''", link=lambda t, u, x: f"[[{u}|{t}]]", image=lambda t, u, x: f"{{{{{u}|{t}}}}}", header=lambda level, text, a: "=" * (7 - level) + " " + text + " " + "=" * (7 - level), code_block=lambda text, c: f"<code{' ' + c[0] if c else ''}>\n{text}\n</code>", quote=lambda b: indented(b, "> "), rule="----", line_break="\\\\\n", bullet=lambda d: "  " * d + "* ", number=lambda d, n, s: "  " * d + "- ", hanging=False, table=_rows("|", "^"), note=lambda n, b: (f"(({b}))", ""), raw=("dokuwiki",)),
+    "zimwiki": Format(soft=" ", marks={"Emph": ("//", "//"), "Strong": ("**", "**"), "Underline": ("__", "__"), "Strikeout": ("~~", "~~"), "Superscript": ("^{", "}"), "Subscript": ("_{", "}")}, code=lambda s: f"''{s}''", link=lambda t, u, x: f"[[{u}|{t}]]", image=lambda t, u, x: f"{{{{{u}}}}}", header=lambda level, text, a: "=" * (7 - level) + " " + text + " " + "=" * (7 - level), code_block=lambda text, c: f"'''\n{text}\n'''", quote=lambda b: indented(b, "> "), rule="----", bullet=lambda d: "\t" * (d - 1) + "* ", number=lambda d, n, s: "\t" * (d - 1) + f"{n}. ", hanging=False, table=_rows("|")),
+    "xwiki": Format(soft=" ", marks={"Emph": ("//", "//"), "Strong": ("**", "**"), "Underline": ("__", "__"), "Strikeout": ("--", "--"), "Superscript": ("^^", "^^"), "Subscript": (",,", ",,")}, code=lambda s: f"##{s}##", link=lambda t, u, x: f"[[{t}>>{u}]]", image=lambda t, u, x: f"[[image:{u}]]", header=lambda level, text, a: "=" * level + " " + text + " " + (f'{{{{id name="{a[0]}" /}}}}' if a[0] else "") + "=" * level, code_block=lambda text, c: f"{{{{code{' language=' + chr(34) + c[0] + chr(34) if c else ''}}}}}\n{text}\n{{{{/code}}}}", quote=lambda b: indented(b, "> "), rule="----", bullet=lambda d: "*" * d + " ", number=lambda d, n, s: "1" * d + ". ", hanging=False, table=_rows("|", "|="), note=lambda n, b: (f"{{{{footnote}}}}{b}{{{{/footnote}}}}", "")),
+    "textile": Format(soft=" ", quotes=False, marks={"Emph": ("_", "_"), "Strong": ("*", "*"), "Underline": ("+", "+"), "Strikeout": ("-", "-"), "Superscript": ("^", "^"), "Subscript": ("~", "~")}, code=lambda s: f"@{s}@", link=lambda t, u, x: f'"{t}":{u}', image=lambda t, u, x: f"!{u}({t})!" if t else f"!{u}!", header=lambda level, text, a: f"h{level}" + (f"(#{a[0]})" if a[0] else "") + f". {text}", code_block=lambda text, c: f"bc. {text}", quote=lambda b: f"bq. {b}", rule="<hr />", bullet=lambda d: "*" * d + " ", number=lambda d, n, s: "#" * d + " ", hanging=False, table=_rows("|"), note=lambda n, b: (f"[{n}]", f"fn{n}. {b}")),
+    "jira": Format(soft=" ", marks={"Emph": ("_", "_"), "Strong": ("*", "*"), "Underline": ("+", "+"), "Strikeout": ("-", "-"), "Superscript": ("^", "^"), "Subscript": ("~", "~")}, code=lambda s: f"{{{{{s}}}}}", link=lambda t, u, x: f"[{t}|{u}]" if t != u else f"[{u}]", image=lambda t, u, x: f"!{u}!", header=lambda level, text, a: f"h{level}. " + (f"{{anchor:{a[0]}}}" if a[0] else "") + text, code_block=lambda text, c: f"{{code{':' + c[0] if c else ''}}}\n{text}\n{{code}}", quote=lambda b: f"{{quote}}\n{b}\n{{quote}}", rule="----", bullet=lambda d: "*" * d + " ", number=lambda d, n, s: "#" * d + " ", hanging=False, table=_rows("|", "||")),
+    "asciidoc": Format(own_ids=True, marks={"Emph": ("_", "_"), "Strong": ("*", "*"), "Underline": ("[.underline]#", "#"), "Strikeout": ("[line-through]*", "*"), "Superscript": ("^", "^"), "Subscript": ("~", "~")}, code=lambda s: f"`{s}`", link=lambda t, u, x: u if t == u else f"{u}[{t}]" if "://" in u else f"link:{u}[{t}]", image=lambda t, u, x: f"image:{u}[{t}]", header=lambda level, text, a: (f"[[{a[0]}]]\n" if a[0] else "") + "=" * (level + 1) + " " + text, code_block=lambda text, c: (f"[source,{c[0]}]\n" if c else "") + f"----\n{text}\n----", quote=lambda b: f"____\n{b}\n____", rule="'''''", line_break=" +\n", bullet=lambda d: "*" * d + " ", number=lambda d, n, s: "." * d + " ", hanging=False, math=("latexmath:[", "]"), display=("latexmath:[", "]"), table=_adoc_table, note=lambda n, b: (f"footnote:[{b}]", ""), term=lambda t: f"{t}::", definition=lambda b: indented(b, "  ")),
+    "muse": Format(marks={"Emph": ("*", "*"), "Strong": ("**", "**"), "Strikeout": _tag("del"), "Superscript": _tag("sup"), "Subscript": _tag("sub"), "Underline": ("_", "_")}, code=lambda s: f"<code>{s}</code>", link=lambda t, u, x: f"[[{u}][{t}]]", image=lambda t, u, x: f"[[{u}][{t}]]", header=lambda level, text, a: "*" * level + " " + text, code_block=lambda text, c: f"<example>\n{text}\n</example>", quote=lambda b: f"<quote>\n{b}\n</quote>", bullet=lambda d: " - ", table=_rows("|", "||"), term=lambda t: f" {t} ::"),
+    "t2t": Format(soft=" ", marks={"Emph": ("//", "//"), "Strong": ("**", "**"), "Underline": ("__", "__"), "Strikeout": ("--", "--")}, code=lambda s: f"``{s}``", link=lambda t, u, x: f"[{t} {u}]", image=lambda t, u, x: f"[{u}]", header=lambda level, text, a: "=" * level + " " + text + " " + "=" * level, code_block=lambda text, c: f"```\n{text}\n```", quote=lambda b: indented(b, "\t"), number=lambda d, n, s: "+ ", table=_rows("|", "||")),
     "djot": Format(marks={"Emph": ("_", "_"), "Strong": ("*", "*"), "Underline": ("[", "]{.underline}"), "Strikeout": ("{-", "-}"), "Superscript": ("^", "^"), "Subscript": ("~", "~")}, **{k: v for k, v in _md.items() if k not in ("div",)}),
-    "haddock": Format(marks={"Emph": ("/", "/"), "Strong": ("__", "__")}, code=lambda s: f"@{s}@", link=lambda t, u, x: f"[{t}]({u})", image=lambda t, u, x: f"![{t}]({u})", header=lambda level, text, a: "=" * level + " " + text, code_block=lambda text, c: indented(text, "> ", "> "), number=lambda d, n, s: f"({n}) ", math=("\\(", "\\)"), display=("\\[", "\\]"), term=lambda t: f"[{t}]:"),
-    "vimdoc": Format(marks={"Emph": ("_", "_")}, code=lambda s: f"`{s}`", link=lambda t, u, x: f"{t} <{u}>", header=lambda level, text, a: ("=" if level == 1 else "-") * 78 + "\n" + text + (f" *{a[0]}*" if a[0] else ""), code_block=lambda text, c: f">{c[0] if c else ''}\n{indented(text, '    ')}\n<"),
+    "haddock": Format(marks={"Emph": ("/", "/"), "Strong": ("__", "__")}, code=lambda s: f"@{s}@", link=lambda t, u, x: f"<{u} {t}>" if t != u else f"<{u}>", image=lambda t, u, x: f"<<{u} {t}>>" if t else f"<<{u}>>", bullet=lambda d: "-   ", header=lambda level, text, a: "=" * level + " " + text + (f"\n#{a[0]}#" if a[0] else ""), code_block=lambda text, c: indented(text, "> ", "> "), number=lambda d, n, s: f"({n}) ", math=("\\(", "\\)"), display=("\\[", "\\]"), term=lambda t: f"[{t}]:"),
+    "vimdoc": Format(marks={"Emph": ("_", "_")}, code=lambda s: f"`{s}`", link=lambda t, u, x: u if t == u else f"{t} {u}", header=lambda level, text, a: (("=" if level == 1 else "-") * 80 + "\n" if level < 3 else "") + (text.upper() if level == 3 else text) + (f"*{a[0]}*".rjust(max(80 - len(text), len(a[0]) + 3)) if a[0] else ""), code_block=lambda text, c: f">{c[0] if c else ''}\n{indented(text, '    ')}\n<"),
     "typst": Format(marks={"Emph": ("#emph[", "]"), "Strong": ("#strong[", "]"), "Underline": ("#underline[", "]"), "Strikeout": ("#strike[", "]"), "Superscript": ("#super[", "]"), "Subscript": ("#sub[", "]"), "SmallCaps": ("#smallcaps[", "]")}, escape=_chars("\\`*_[]<>$#@~"), code=lambda s: f"`{s}`", link=lambda t, u, x: f'#link("{u}")[{t}]', image=lambda t, u, x: f'#image("{u}")', header=lambda level, text, a: "=" * level + " " + text + (f"\n<{a[0]}>" if a[0] else ""), code_block=lambda text, c: f"```{c[0] if c else ''}\n{text}\n```", quote=lambda b: f"#quote(block: true)[\n{b}\n]", rule="#horizontalrule", line_break="#linebreak()\n", number=lambda d, n, s: "+ ", display=("$ ", " $"), note=lambda n, b: (f"#footnote[{b}]", ""), term=lambda t: f"/ {t}: #block[", definition=lambda b: f"{b}\n]", table=lambda h, rows, a, cap: f"#table(\n  columns: {len(a)},\n" + (("  table.header(" + ", ".join(f"[{x}]" for x in h) + "),\n") if any(h) else "") + "".join("  " + ", ".join(f"[{x}]" for x in r) + ",\n" for r in rows) + ")"),
 }
 FORMATS |= {"asciidoctor": FORMATS["asciidoc"], "asciidoc_legacy": FORMATS["asciidoc"]}
@@ -284,7 +288,7 @@ FORMATS |= {"asciidoctor": FORMATS["asciidoc"], "asciidoc_legacy": FORMATS["asci
 def _bbcode(**more) -> Format:
     base = dict(
         marks={"Emph": ("[i]", "[/i]"), "Strong": ("[b]", "[/b]"), "Underline": ("[u]", "[/u]"), "Strikeout": ("[s]", "[/s]"), "Superscript": ("[sup]", "[/sup]"), "Subscript": ("[sub]", "[/sub]")}, code=lambda s: f"[code]{s}[/code]", link=lambda t, u, x: f"[url={u}]{t}[/url]" if t != u else f"[url]{u}[/url]", image=lambda t, u, x: f"[img]{u}[/img]",
-        header=lambda level, text, a: f"[b]{text}[/b]", code_block=lambda text, c: f"[code{'=' + c[0] if c else ''}]{text}\n[/code]", quote=lambda b: f"[quote]\n{b}\n[/quote]", rule="* * *", bullet=lambda d: "[*]", number=lambda d, n, s: "[*]", hanging=False,
+        header=lambda level, text, a: ["[u][b]{}[/b][/u]", "[b]{}[/b]", "[u]{}[/u]", "{}"][min(level, 4) - 1].format(text), soft=" ", list_around=lambda body, ordered: f"[list{'=1' if ordered else ''}]\n{body}\n[/list]", quotes=False, code_block=lambda text, c: f"[code{'=' + c[0] if c else ''}]{text}\n[/code]", quote=lambda b: f"[quote]\n{b}\n[/quote]", rule="* * *", bullet=lambda d: "[*]", number=lambda d, n, s: "[*]", hanging=False,
     )
     return Format(**(base | more))
 

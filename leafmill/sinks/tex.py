@@ -106,7 +106,7 @@ class Roff(Renderer):
 
     def block(self, n: dict) -> str | None:
         t, c = n["t"], n.get("c")
-        p = ".PP" if self.ms else ".P"
+        p = ".PP"
         if t == "Plain":
             return self.inlines(c)
         if t == "Para":
@@ -123,8 +123,8 @@ class Roff(Renderer):
             return f"{p}\n   *   *   *   *   *"
         if t in ("BulletList", "OrderedList"):
             items = c if t == "BulletList" else c[1]
-            marks = ["\\[bu]" if t == "BulletList" else f'"{c[0][0] + k}."' for k in range(len(items))]
-            return "\n".join(f".IP {m} {2 if t == 'BulletList' else 4}\n{self.blocks(i)}" for m, i in zip(marks, items, strict=True))
+            marks = ["\\(bu" if t == "BulletList" else f'"{c[0][0] + k}."' for k in range(len(items))]
+            return "\n".join(f".IP {m} {(3 if self.ms else 2) if t == 'BulletList' else 4}\n{self.blocks(i)}" for m, i in zip(marks, items, strict=True))
         if t == "DefinitionList":
             return "\n".join(f".TP\n{self.inlines(term)}\n" + "\n.RS\n.RE\n".join(map(self.blocks, defs)) for term, defs in c)
         if t == "Table":
@@ -136,7 +136,15 @@ class Roff(Renderer):
         return super().block(n)
 
     def blocks(self, xs: list[dict], tight: bool = False) -> str:
-        return super().blocks(xs, True)
+        out = []
+        for before, n in zip([None, *xs], xs, strict=False):
+            body = self.block(n)
+            if body is None:
+                continue
+            if before is not None and before["t"] == "Header" and n["t"] == "Para":  # the first paragraph below a heading
+                body = body.removeprefix(".PP\n") if not self.ms else ".LP" + body.removeprefix(".PP")
+            out.append(body)
+        return "\n".join(out)
 
 
 class Context(Latex):
@@ -147,7 +155,6 @@ class Context(Latex):
         f.code = lambda s: "\\type{" + s + "}"
         f.link = lambda t, u, x: f"\\goto{{{t}}}[url({u})]"
         f.image = lambda t, u, x: f"\\externalfigure[{u}]"
-        f.header = lambda level, text, a: "\\start" + "sub" * (level - 1) + f"section[title={{{text}}},reference={{{a[0]}}}]\n\\stop" + "sub" * (level - 1) + "section"
         f.code_block = lambda text, c: f"\\starttyping\n{text}\n\\stoptyping"
         f.quote = lambda b: f"\\startblockquote\n{b}\n\\stopblockquote"
         f.rule = "\\thinrule"
@@ -157,10 +164,28 @@ class Context(Latex):
     def block(self, n: dict) -> str | None:
         t, c = n["t"], n.get("c")
         if t in ("BulletList", "OrderedList"):
-            kind = "" if t == "BulletList" else "[n]"
-            return f"\\startitemize{kind}\n" + "\n".join("\\item\n" + indented(self.blocks(i), "  ", "  ") for i in (c if t == "BulletList" else c[1])) + "\n\\stopitemize"
+            items = c if t == "BulletList" else c[1]
+            tight = all(not i or i[0]["t"] != "Para" for i in items)
+            kind = ",".join([*(["n"] if t == "OrderedList" else []), *(["packed"] if tight else [])])
+            return "\\startitemize" + (f"[{kind}]" if kind else "") + "\n" + "\n".join("\\item\n" + indented(self.blocks(i), "  ", "  ") for i in items) + "\n\\stopitemize"
         return super().block(n)
 
+    def blocks(self, xs: list[dict], tight: bool = False) -> str:
+        """A heading's section ends before the next heading of its level or above."""
+        out, i = [], 0
+        while i < len(xs):
+            if xs[i]["t"] != "Header":
+                out.append(self.block(xs[i]))
+                i += 1
+                continue
+            (level, a, text), j = xs[i]["c"], i + 1
+            while j < len(xs) and not (xs[j]["t"] == "Header" and xs[j]["c"][0] <= level):
+                j += 1
+            head = f"\\startsectionlevel[title={{{self.inlines(text)}}},reference={{{a[0]}}}]"
+            out += [x for x in (head, self.blocks(xs[i + 1 : j]), "\\stopsectionlevel") if x]
+            i = j
+        return ("\n" if tight else "\n\n").join(x for x in out if x is not None)
+
 
 class Texinfo(Renderer):
     def __init__(self) -> None:

@@ -201,7 +201,7 @@ _db4 = Vocabulary(**(_db.__dict__ | {"link": ("ulink", "url"), "ident": "id"}))
 _jats = Vocabulary(names={"Emph": "italic", "Strong": "bold", "Strikeout": "strike", "Underline": "underline", "SmallCaps": "sc", "Superscript": "sup", "Subscript": "sub", "Code": "monospace", "Note": "fn", "Para": "p", "Plain": "p", "BlockQuote": "disp-quote", "CodeBlock": "preformat", "BulletList": 'list list-type="bullet"', "OrderedList": 'list list-type="order"', "DefinitionList": "def-list", "Entry": "def-item", "Term": "term", "Definition": "def", "LineBlock": "verse-group", "Figure": "fig", "FigureCaption": "caption", "Math": "tex-math", "Div": "boxed-text"}, section="sec", layout="lines", link=("ext-link", "xlink__href"), image=("inline-graphic", "xlink__href"), item="list-item", raw=("jats",))
 _tei = Vocabulary(names={"Emph": 'hi rendition="simple:italic"', "Strong": 'hi rendition="simple:bold"', "Strikeout": 'hi rendition="simple:strikethrough"', "Superscript": 'hi rendition="simple:superscript"', "Subscript": 'hi rendition="simple:subscript"', "SmallCaps": 'hi rendition="simple:smallcaps"', "Code": "seg type=\"code\"", "Note": "note", "Para": "p", "Plain": "p", "BlockQuote": "quote", "CodeBlock": "ab type=\"codeblock\"", "BulletList": 'list type="unordered"', "OrderedList": 'list type="ordered"', "DefinitionList": 'list type="gloss"', "Term": "label", "Definition": "item", "LineBlock": "l", "Figure": "figure", "FigureCaption": "figDesc", "Math": "formula", "Rule": "<milestone unit=\"undefined\" type=\"separator\" rendition=\"line\"/>"}, section="div", layout="lines", levels=True, section_title="head", link=("ref", "target"), image=("graphic", "url"), ident="xml__id", item="item", line_break="<lb/>", raw=("tei",), table={"table": "table", "head": "", "body": "", "row": "row", "th": "cell role=\"label\"", "td": "cell", "caption": "head"})
 _fb2 = Vocabulary(names={"Emph": "emphasis", "Strong": "strong", "Strikeout": "strikethrough", "Superscript": "sup", "Subscript": "sub", "Code": "code", "Para": "p", "Plain": "p", "BlockQuote": "cite", "CodeBlock": "p", "Term": "p", "Definition": "cite", "Math": "code", "Rule": "<empty-line/>"}, section="section", section_title="title", link=("a", "l__href"), image=("image", "l__href"), item="p", line_break="<empty-line/>", wrap=('<?xml version="1.0" encoding="UTF-8"?>\n<FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0" xmlns:l="http://www.w3.org/1999/xlink"><description><title-info><book-title>{title}</book-title></title-info></description><body>\n', "\n</body></FictionBook>"), table={"table": "table", "head": "", "body": "", "row": "tr", "th": "th", "td": "td", "caption": ""})
-_odf = Vocabulary(names={"Emph": 'text:span text:style-name="Emphasis"', "Strong": 'text:span text:style-name="Strong"', "Strikeout": 'text:span text:style-name="Strikeout"', "Underline": 'text:span text:style-name="Underline"', "Superscript": 'text:span text:style-name="Superscript"', "Subscript": 'text:span text:style-name="Subscript"', "Code": 'text:span text:style-name="Source_Text"', "Para": 'text:p text:style-name="Text_body"', "Plain": "text:p", "CodeBlock": 'text:p text:style-name="Preformatted_Text"', "BulletList": "text:list", "OrderedList": 'text:list text:style-name="L1"', "Term": 'text:p text:style-name="Definition_Term"', "Rule": '<text:p text:style-name="Horizontal_Line"/>', **{f"Header{i}": f'text:h text:style-name="Heading_{i}" text:outline-level="{i}"' for i in range(1, 7)}}, link=("text:a", "xlink__href"), image=("draw:image", "xlink__href"), ident="xml__id", item="text:list-item", line_break="<text:line-break/>", table={"table": "table:table", "head": "table:table-header-rows", "body": "", "row": "table:table-row", "th": "table:table-cell", "td": "table:table-cell", "caption": ""})
+_odf = Vocabulary(names={"Emph": 'text:span text:style-name="Emphasis"', "Strong": 'text:span text:style-name="Strong_20_Emphasis"', "Strikeout": 'text:span text:style-name="Strikeout"', "Underline": 'text:span text:style-name="Underline"', "Superscript": 'text:span text:style-name="Superscript"', "Subscript": 'text:span text:style-name="Subscript"', "Code": 'text:span text:style-name="Source_20_Text"', "Para": 'text:p text:style-name="Text_20_body"', "Plain": "text:p", "CodeBlock": 'text:p text:style-name="Preformatted_20_Text"', "BulletList": 'text:list text:style-name="List_20_1"', "OrderedList": 'text:list text:style-name="L1"', "Term": 'text:p text:style-name="Definition_20_Term"', "Rule": '<text:p text:style-name="Horizontal_20_Line"/>', **{f"Header{i}": f'text:h text:style-name="Heading_20_{i}" text:outline-level="{i}"' for i in range(1, 7)}}, link=("text:a", "xlink__href"), image=("draw:image", "xlink__href"), ident="xml__id", item="text:list-item", line_break="<text:line-break/>", table={"table": "table:table", "head": "table:table-header-rows", "body": "", "row": "table:table-row", "th": "table:table-cell", "td": "table:table-cell", "caption": ""})
 _icml = Vocabulary(names={k: f'CharacterStyleRange AppliedCharacterStyle="CharacterStyle/{v}"' for k, v in (("Emph", "Italic"), ("Strong", "Bold"), ("Strikeout", "Strikeout"), ("Underline", "Underline"), ("Superscript", "Superscript"), ("Subscript", "Subscript"), ("Code", "Code"))} | {k: f'ParagraphStyleRange AppliedParagraphStyle="ParagraphStyle/{v}"' for k, v in (("Para", "Paragraph"), ("Plain", "Paragraph"), ("CodeBlock", "CodeBlock"), ("BlockQuote", "Blockquote"), *((f"Header{i}", f"Header{i}") for i in range(1, 7)))}, link=("HyperlinkTextSource", "Name"), image=("Link", "LinkResourceURI"), ident="Self", item="Content", line_break="<Br/>", wrap=('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<Document><Story>', "</Story></Document>"))
 
 VOCABULARIES = {"docbook": _db, "docbook5": _db, "docbook4": _db4, "jats": _jats, "jats_archiving": _jats, "jats_publishing": _jats, "jats_articleauthoring": _jats, "tei": _tei, "fb2": _fb2, "opendocument": _odf, "icml": _icml}
