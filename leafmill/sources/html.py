@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 from leafmill.tree import BREAK, NO_ATTR, attr, node, simple_table, trimmed, unique_identifiers, words
@@ -107,22 +108,29 @@ def _inlines(children: list) -> list[dict]:
             out += new
             continue
         t = c.tag
+        if t == "script" and c.attrs.get("type", "").startswith("math/tex"):
+            out.append(node("Math", {"t": "DisplayMath" if "display" in c.attrs["type"] else "InlineMath"}, _text(c)))
+            continue
         if t in DROPPED:
             continue
         if t in SIMPLE:
-            out.append(node(SIMPLE[t], _inlines(c.children)))
+            _spaced(out, _inlines(c.children), lambda xs, t=t: node(SIMPLE[t], xs))
         elif t == "br":
             while out and out[-1]["t"] in ("Space", "SoftBreak"):
                 out.pop()
             out.append(BREAK)
-        elif t in ("code", "tt", "kbd", "samp", "var"):
+        elif t == "kbd":
+            out.append(node("Span", [c.attrs.get("id", ""), ["kbd", *c.attrs.get("class", "").split()], []], _inlines(c.children)))
+        elif t in ("code", "tt", "samp", "var"):
             a = _attr(c)
             if t != "code":
                 a = [a[0], [{"samp": "sample", "var": "variable"}.get(t, t), *a[1]] if t != "tt" else a[1], a[2]]
             out.append(node("Code", a, " ".join(_text(c).split())))
         elif t == "a":
             if "href" in c.attrs:
-                out.append(node("Link", _attr(c, ("href", "title")), _inlines(c.children), [c.attrs["href"], c.attrs.get("title", "")]))
+                a = _attr(c, ("href", "title", "name"))
+                a[0] = a[0] or c.attrs.get("name", "")
+                _spaced(out, _inlines(c.children), lambda xs, a=a, c=c: node("Link", a, xs, [c.attrs["href"].strip(), c.attrs.get("title", "")]))
             else:
                 out.append(node("Span", _attr(c, ("name",)) if c.attrs.get("id") else attr(c.attrs.get("name", ""), c.attrs.get("class", "").split()), _inlines(c.children)))
         elif t == "img":
@@ -131,7 +139,10 @@ def _inlines(children: list) -> list[dict]:
             out.append(node("Quoted", {"t": "DoubleQuote"}, _inlines(c.children)))
         elif t in ("span", "mark", "dfn", "bdo", "small", "abbr", "cite", "time", "label"):
             a = _attr(c)
-            out.append(node("Span", a if t in ("span", "label", "time") else [a[0], [t, *a[1]], a[2]], _inlines(c.children)))
+            if t == "span" and (a[1] == ["smallcaps"] or _SMALL.search(c.attrs.get("style", ""))):
+                out.append(node("SmallCaps", _inlines(c.children)))
+                continue
+            out.append(node("Span", a if t in ("span", "label", "time", "bdo") else [a[0], [t, *a[1]], a[2]], _inlines(c.children)))
         elif t == "input" and c.attrs.get("type") == "checkbox":
             out.append(node("Str", "☒" if "checked" in c.attrs else "☐"))
         elif t not in VOID:
@@ -139,6 +150,17 @@ def _inlines(children: list) -> list[dict]:
     return out
 
 
+def _spaced(out: list[dict], xs: list[dict], make) -> None:
+    """An element's node, with the spaces at its ends outside of it."""
+    space = lambda x: x["t"] in ("Space", "SoftBreak")
+    if xs and space(xs[0]) and not (out and space(out[-1])):
+        out.append(xs[0])
+    inner = trimmed(xs) if xs and (space(xs[0]) or space(xs[-1])) else xs
+    out.append(make(inner))
+    if len(xs) > 1 and space(xs[-1]):
+        out.append(xs[-1])
+
+
 def _blocks(children: list, tight: bool = False) -> list[dict]:
     """Blocks; runs of inline content become Plain (tight) or Para."""
     out: list[dict] = []
@@ -167,14 +189,18 @@ def _blocks(children: list, tight: bool = False) -> list[dict]:
         elif t in ("ul", "menu"):
             out.append(node("BulletList", _items(c)))
         elif t == "ol":
-            style = {"1": "Decimal", "a": "LowerAlpha", "A": "UpperAlpha", "i": "LowerRoman", "I": "UpperRoman"}.get(c.attrs.get("type", ""), "DefaultStyle")
+            style = _number_style(c)
             start = c.attrs.get("start", "1")
             out.append(node("OrderedList", [int(start) if start.lstrip("-").isdigit() else 1, {"t": style}, {"t": "DefaultDelim"}], _items(c)))
         elif t == "dl":
             pairs: list = []
             for x in c.children:
                 if isinstance(x, _Element) and x.tag == "dt":
-                    pairs.append([trimmed(_inlines(x.children)), []])
+                    term = trimmed(_inlines(x.children))
+                    if pairs and not pairs[-1][1]:  # several terms of one definition
+                        pairs[-1][0] += [BREAK, *term]
+                    else:
+                        pairs.append([term, []])
                 elif isinstance(x, _Element) and x.tag == "dd":
                     pairs = pairs or [[[], []]]
                     pairs[-1][1].append(_blocks(x.children))
@@ -221,7 +247,23 @@ def _items(e: _Element) -> list[list[dict]]:
                 out[-1] += more
             elif more:
                 out.append(more)
-    return out
+    return [[_para(b) for b in item] if any(b["t"] == "Para" for b in item) else item for item in out]
+
+
+#: Numbers of lists by their type and their style.
+_TYPES = {"1": "Decimal", "a": "LowerAlpha", "A": "UpperAlpha", "i": "LowerRoman", "I": "UpperRoman"}
+_STYLES = {"lower-roman": "LowerRoman", "upper-roman": "UpperRoman", "lower-alpha": "LowerAlpha", "upper-alpha": "UpperAlpha", "decimal": "Decimal"}
+_SMALL = re.compile(r"font-variant:\s*small-caps")
+
+
+def _number_style(e: _Element) -> str:
+    if e.attrs.get("type") in _TYPES:
+        return _TYPES[e.attrs["type"]]
+    named = re.search(r"list-style(?:-type)?:\s*([a-z-]+)", e.attrs.get("style", ""))
+    for word in ([named[1]] if named else []) + e.attrs.get("class", "").split():
+        if word in _STYLES:
+            return _STYLES[word]
+    return "DefaultStyle"
 
 
 #: Alignments.
@@ -237,28 +279,78 @@ def _cell(e: _Element) -> list:
 
 def _table(e: _Element) -> dict:
     caption = next((c for c in e.children if isinstance(c, _Element) and c.tag == "caption"), None)
-    groups: dict[str, list] = {"thead": [], "tbody": [], "tfoot": []}
+    # Parts in their order: kind, attributes, and each row with its elements.
+    parts: list[tuple[str, list, list]] = []
+    columns: list[_Element] = []
 
-    def collect(x: _Element, part: str) -> None:
+    def collect(x: _Element, part: list | None) -> None:
         for c in x.children:
-            if isinstance(c, _Element):
-                if c.tag in groups:
-                    collect(c, c.tag)
-                elif c.tag == "tr":
-                    own = [y for y in c.children if isinstance(y, _Element) and y.tag in ("td", "th")]
-                    groups[part].append((own, [_attr(c), [_cell(y) for y in own]]))
-
-    collect(e, "tbody")
-    if not groups["thead"] and groups["tbody"] and groups["tbody"][0][0] and all(y.tag == "th" for y in groups["tbody"][0][0]):
-        groups["thead"].append(groups["tbody"].pop(0))
-    rows = {k: [r for _, r in v] for k, v in groups.items()}
-    n = max([sum(c[3] for c in r[1]) for rs in rows.values() for r in rs] or [0])
-    first = next((r for r in rows["tbody"] + rows["thead"]), None)
-    aligns = [c[1]["t"] for c in first[1] for _ in range(c[3])] if first else []
-    specs = [[{"t": aligns[i] if i < len(aligns) else "AlignDefault"}, {"t": "ColWidthDefault"}] for i in range(n)]
+            if not isinstance(c, _Element):
+                continue
+            if c.tag in ("thead", "tbody", "tfoot"):
+                parts.append((c.tag, _attr(c), []))
+                collect(c, parts[-1][2])
+            elif c.tag == "tr":
+                if part is None:
+                    if not parts or parts[-1][0] != "bare":
+                        parts.append(("bare", NO_ATTR, []))
+                own = [y for y in c.children if isinstance(y, _Element) and y.tag in ("td", "th")]
+                (parts[-1][2] if part is None else part).append((own, [_attr(c), [_cell(y) for y in own]]))
+            elif c.tag == "col":
+                columns.append(c)
+            elif c.tag == "colgroup":
+                collect(c, part)
+
+    collect(e, None)
+    heads = lambda row: bool(row[0]) and all(y.tag == "th" for y in row[0])
+    head = [r for kind, _, rows in parts if kind == "thead" for r in rows]
+    bodies = [(a, list(rows)) for kind, a, rows in parts if kind in ("tbody", "bare") and rows]
+    bare = next((kind for kind, _, rows in parts if kind in ("tbody", "bare") and rows), "") == "bare"
+    if not head and bare and heads(bodies[0][1][0]):
+        head.append(bodies[0][1].pop(0))
+    made = []
+    for a, rows in bodies:
+        k = next((i for i, r in enumerate(rows) if not heads(r)), 0)  # rows of heads at a body's top; a body of heads alone has none
+        made.append([a, _row_heads(rows[k:]), [r for _, r in rows[:k]], [r for _, r in rows[k:]]])
+    foot = [r for kind, _, rows in parts if kind == "tfoot" for _, r in rows]
+    every = [r for _, r in head] + [r for b in made for r in b[2] + b[3]] + foot
+    n = max([sum(c[3] for c in r[1]) for r in every] or [0])
     if not n:
         return simple_table(None, [])
-    return node("Table", _attr(e), [None, _blocks(caption.children) if caption else []], specs, [NO_ATTR, rows["thead"]], [[NO_ATTR, 0, [], rows["tbody"]]], [NO_ATTR, rows["tfoot"]])
+    first = next((r for r in [r for b in made for r in b[3]] + [r for _, r in head]), None)
+    aligns = [c[1]["t"] for c in first[1] for _ in range(c[3])] if first else []
+    widths = _widths(columns, n)
+    specs = [[{"t": aligns[i] if i < len(aligns) else "AlignDefault"}, widths[i]] for i in range(n)]
+    return node("Table", _attr(e), [None, _blocks(caption.children) if caption else []], specs, [NO_ATTR, [r for _, r in head]], made or [[NO_ATTR, 0, [], []]], [NO_ATTR, foot])
+
+
+def _row_heads(rows: list) -> int:
+    """How many columns at the front are heads in every row; a head may reach over several rows."""
+    least, held = None, []  # held: columns that reach down, with the rows left
+    for own, _ in rows:
+        wide = sum(w for w, _ in held)
+        held = [(w, k - 1) for w, k in held if k > 1]
+        for y in own:
+            if y.tag != "th":
+                break
+            span = lambda k: int(y.attrs[k]) if y.attrs.get(k, "").isdigit() and int(y.attrs[k]) > 0 else 1  # noqa: B023, E731
+            wide += span("colspan")
+            if span("rowspan") > 1:
+                held.append((span("colspan"), span("rowspan") - 1))
+        least = wide if least is None else min(least, wide)
+    return least or 0
+
+
+def _widths(columns: list[_Element], n: int) -> list[dict]:
+    """Of columns that say so, as shares; what is left over goes to those with a star."""
+    said: list[float | None] = []
+    for c in columns:
+        m = re.search(r"width:\s*([\d.]+)%", c.attrs.get("style", "")) or re.match(r"([\d.]+)%", c.attrs.get("width", ""))
+        said += [float(m[1]) / 100 if m else None] * (int(c.attrs["span"]) if c.attrs.get("span", "").isdigit() else 1)
+    if len(said) != n or all(x is None for x in said):
+        return [{"t": "ColWidthDefault"}] * n
+    rest = max(1 - sum(x for x in said if x is not None), 0) / max(sum(x is None for x in said), 1)
+    return [{"t": "ColWidth", "c": round(rest, 6) if x is None else x} if (x or rest) else {"t": "ColWidthDefault"} for x in said]
 
 
 def read_html(text: str, main_only: bool = False) -> dict:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from leafmill.tree import BREAK, NO_ATTR, attr, node, simple_table, trimmed, unique_identifiers, words
+from leafmill.tree import BREAK, NO_ATTR, attr, every, node, plain, simple_table, trimmed, unique_identifiers, words
 
 
 @dataclass
@@ -37,12 +37,16 @@ class Language:
     clean: Callable[[str], str] = lambda s: s
     tables: list[tuple[str, str]] = field(default_factory=list)
     word_bound: bool = False
+    idents: str = "text"  # what headings are called: text, none, under or sections
+    smart: bool = False  # quotes, dashes and dots are set
+    hard: bool = False  # a line end is a line break
 
 
 class Reader:
     def __init__(self, lang: Language) -> None:
         self.lang = lang
         self.footnotes: dict[str, list[dict]] = {}
+        self.underlines: list[str] = []  # marks of headings in the order in which they appear, the level of each its place
 
     # --- inlines ----------------------------------------------------------------------------------------------------
 
@@ -144,11 +148,11 @@ class Reader:
                 i += 1
                 continue
             if lang.under and not para and i + 1 < len(lines) and (m := re.match(rf"([{re.escape(lang.under)}])\1+\s*$", lines[i + 1])) and len(lines[i + 1].strip()) >= min(len(line.strip()), 4):
-                out.append(("under", m[1], trimmed(self.inlines(line.strip()))))
+                out.append(self.underlined(m[1], line))
                 i += 2
                 continue
             if lang.under and not para and i + 2 < len(lines) and re.match(rf"([{re.escape(lang.under)}])\1+\s*$", line) and lines[i + 2].strip() == line.strip():
-                out.append(("under", line[0] * 2, trimmed(self.inlines(lines[i + 1].strip()))))
+                out.append(self.underlined(line[0] * 2, lines[i + 1]))
                 i += 3
                 continue
             if lang.rule and re.match(lang.rule, line):
@@ -287,16 +291,47 @@ class Reader:
 
     def document(self, text: str) -> dict:
         blocks = self.blocks(text.replace("\r", "").expandtabs(8).split("\n"))
-        order: list[str] = []
-        out = []
-        for b in blocks:  # headings by underline: levels in order of appearance
-            if isinstance(b, tuple):
-                if b[1] not in order:
-                    order.append(b[1])
-                out.append(node("Header", order.index(b[1]) + 1, NO_ATTR, b[2]))
-            else:
-                out.append(b)
-        return {"meta": {}, "blocks": unique_identifiers(out)}
+        return {"meta": {}, "blocks": named(blocks, self.lang.idents)}
+
+    def underlined(self, mark: str, text: str) -> dict:
+        if mark not in self.underlines:
+            self.underlines.append(mark)
+        return node("Header", self.underlines.index(mark) + 1, NO_ATTR, trimmed(self.inlines(text.strip())))
+
+
+def named(blocks: list[dict], how: str) -> list[dict]:
+    """Headings as a language names them: from their text, not at all, with underscores, or by sections around them."""
+    if how == "none":
+        return blocks
+    if how == "text":
+        return unique_identifiers(blocks)
+    used: dict[str, int] = {}
+
+    def fresh(base: str) -> str:
+        used[base] = used.get(base, 0) + 1
+        return base if used[base] == 1 else f"{base}-{used[base] - 1}" if how == "sections" else f"{base}_{used[base]}"
+
+    if how == "under":
+        for n in every(blocks):
+            if n["t"] == "Header" and not n["c"][1][0]:
+                base = "_" + re.sub(r"[ .-]+", "_", re.sub(r"[^\w .-]", "", plain(n["c"][2]).lower())).strip("_")
+                n["c"] = [n["c"][0], [fresh(base), *n["c"][1][1:]], n["c"][2]]
+        return blocks
+    out, i = [], 0
+    while i < len(blocks):
+        if blocks[i]["t"] != "Header":
+            out.append(blocks[i])
+            i += 1
+            continue
+        level, a, text = blocks[i]["c"]
+        own = fresh(a[0] or re.sub(r"[^\w]+", "-", plain(text)).strip("-") or "s")
+        j = i + 1
+        while j < len(blocks) and not (blocks[j]["t"] == "Header" and blocks[j]["c"][0] <= level):
+            j += 1
+        head = node("Header", level, ["", a[1], a[2]], text)
+        out.append(node("Div", [own, ["section"], []], [head, *named(blocks[i + 1 : j], how)]))
+        i = j
+    return out
 
 
 def _equals(most: int = 6) -> Callable[[str], tuple[int, str] | None]:
@@ -401,6 +436,9 @@ def _typst_rows(m: re.Match) -> str:
 
 LANGUAGES["pod"].pairs = [("\x01b", "\x01B", "Strong"), ("\x01i", "\x01I", "Emph")]
 LANGUAGES["pod"].code = [("\x01c", "\x01C")]
+for _name in ("creole", "jira", "pod", "typst", "dokuwiki"):
+    LANGUAGES[_name].idents = "none"
+LANGUAGES["asciidoc"].idents, LANGUAGES["djot"].idents = "under", "sections"
 LANGUAGES["djot"].pairs = [p for p in LANGUAGES["djot"].pairs if p[2] != "Span_mark"]
 
 
@@ -605,7 +643,7 @@ def read_mediawiki(text: str) -> dict:
                     end()
                 elif t.startswith("|+"):
                     caption = r.inlines(t[2:].strip())
-                elif t[:1] in "|!":
+                elif t[:1] in ("|", "!"):
                     for c in re.split(r"\|\||!!" if t[0] == "!" else r"\|\|", t[1:]):
                         row.append((t[0] == "!", re.sub(r"^[^|\[\]]*=[^|\[\]]*\|(?!\|)", "", c)))
                 elif row:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import posixpath
+import html
 import re
 import zipfile
 from dataclasses import dataclass, field
@@ -208,10 +209,16 @@ FB2 = Roles(inline={"emphasis": "Emph", "strong": "Strong", "strikethrough": "St
 TEI = Roles(inline={"hi": "Emph", "emph": "Emph", "hi:simple:bold": "Strong", "hi:simple:strikethrough": "Strikeout", "hi:simple:superscript": "Superscript", "hi:simple:subscript": "Subscript", "q": "Quoted"}, code={"seg"}, para={"p"}, quote={"quote"}, pre={"ab"}, section={"div"}, title={"head"}, bullets={"list"}, numbers={"list"}, item={"item"}, link={"ref", "ptr"}, image={"graphic"}, note={"note"}, table={"table"}, row={"row"}, cell={"cell"}, skip={"teiHeader"}, line_break={"lb"}, div={"text", "body", "figure"}, math={"formula"})
 
 
+def _entity(m: re.Match) -> str:
+    """A named entity of HTML, which has the ISO names; one that isn't known stays readable text."""
+    found = html.unescape(m[0])
+    return found if found != m[0] else f"&amp;{m[1]};"
+
+
 def _parse(text: str | bytes) -> ET.Element:
     if isinstance(text, str):
         text = re.sub(r"<!DOCTYPE[^>\[]*(\[[^\]]*\])?[^>]*>", "", text)
-        text = re.sub(r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)(\w+);", lambda m: __import__("html").unescape(m[0]), text)
+        text = re.sub(r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)(\w+);", _entity, text)
         text = re.sub(r"\b(xlink|l|xml|text|office|table|draw|w|r|epub):(?=\w+\s*=)", r"\1-", text) if "xmlns" not in text else text
         text = text.replace("xml-id=", "id=").replace("xlink-href=", "href=").replace("l-href=", "href=")
     return ET.fromstring(text)
