@@ -438,7 +438,7 @@ LANGUAGES["pod"].pairs = [("\x01b", "\x01B", "Strong"), ("\x01i", "\x01I", "Emph
 LANGUAGES["pod"].code = [("\x01c", "\x01C")]
 for _name in ("creole", "jira", "pod", "typst", "dokuwiki"):
     LANGUAGES[_name].idents = "none"
-LANGUAGES["asciidoc"].idents, LANGUAGES["djot"].idents = "under", "sections"
+LANGUAGES["asciidoc"].idents = "under"
 LANGUAGES["djot"].pairs = [p for p in LANGUAGES["djot"].pairs if p[2] != "Span_mark"]
 
 

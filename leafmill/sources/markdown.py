@@ -9,7 +9,7 @@ import html
 import re
 
 from leafmill.extensions import checked
-from leafmill.tree import BREAK, NO_ATTR, attr, node, plain, simple_table, trimmed, unique_identifiers, words
+from leafmill.tree import BREAK, NO_ATTR, attr, node, parts, plain, simple_table, trimmed, unique_identifiers, words
 
 _COMMON = {"fenced_code", "autolink", "raw_html", "images", "start_numbers"}
 EXTENSIONS = {
@@ -20,7 +20,7 @@ EXTENSIONS = {
     "markdown_github": _COMMON | {"pipe_tables", "task_lists", "strikeout", "bare_uris", "hard_breaks"},
     "markdown_phpextra": {"raw_html", "images", "pipe_tables", "footnotes", "definition_lists", "fenced_code", "attributes", "auto_ids"},
     "markdown_mmd": {"raw_html", "images", "pipe_tables", "footnotes", "definition_lists", "fenced_code", "auto_ids", "math", "super_sub", "implicit_headers"},
-    "markdown": _COMMON | {"pipe_tables", "grid_tables", "simple_tables", "task_lists", "strikeout", "footnotes", "inline_notes", "auto_ids", "smart", "math", "super_sub", "attributes", "definition_lists", "fenced_divs", "yaml", "citations", "example_lists", "line_blocks", "implicit_figures", "implicit_headers", "fancy_lists", "title_block", "bracketed_spans", "table_captions"},
+    "markdown": _COMMON | {"pipe_tables", "grid_tables", "simple_tables", "task_lists", "strikeout", "footnotes", "inline_notes", "auto_ids", "smart", "math", "super_sub", "attributes", "definition_lists", "fenced_divs", "yaml", "citations", "example_lists", "line_blocks", "implicit_figures", "implicit_headers", "fancy_lists", "title_block", "bracketed_spans", "table_captions", "raw_tex", "native_spans", "native_divs"},
 }
 
 #: The long names of extensions, and what they switch here.
@@ -38,6 +38,115 @@ def switches(names: frozenset) -> set[str]:
     return set().union(*[NAMES.get(n, {n}) for n in names])
 
 
+#: Abbreviations after which a space doesn't break.
+ABBREVIATIONS = set(
+    """
+    aet. aetat. al. Apr. Aug. bk. Bros. c. Capt. cf. ch. chap. chs. Co. col. Corp. cp. d. Dec. Dr. e.g. ed. eds. esp. f. fasc. Feb. ff. fig. fl.
+    fol. fols. Fr. Gen. Gov. Hon. i.e. ill. Inc. incl. Jan. Jr. Jul. Jun. Ltd. M.A. M.D. Mar. Mr. Mrs. Ms. n. n.b. nn. No. Nov. Oct. p. Ph.D.
+    pp. Pres. Prof. pt. q.v. Rep. Rev. s.v. s.vv. saec. sec. Sen. Sep. Sept. Sgt. Sr. St. univ. viz. vol. vs.
+    """.split()
+)
+#: Commands that stand in running text even if they are alone on a line, and some that end a paragraph.
+_TEX_INLINE = {"textbf", "emph", "textit", "texttt", "textsc", "underline", "cite", "citep", "citet", "ref", "eqref", "url", "href", "footnote", "ifstrequal", "LaTeX", "TeX", "ldots", "dots", "mbox", "verb"}
+_TEX_BLOCK = {"newpage", "clearpage", "pagebreak", "include", "input", "hspace", "vspace", "listoffigures", "listoftables", "tableofcontents", "maketitle", "bigskip", "medskip", "smallskip", "noindent", "centering", "appendix"}
+_TEX_NAME = re.compile(r"\\([a-zA-Z]+)\*?")
+_CITE_KEY = re.compile(r"@(?:(\w(?:[\w]|[:.#$%&+?<>~/=-]+(?=\w))*)|\{([^{}\s]+)\})")
+_SMALL = re.compile(r"font-variant:\s*small-caps")
+
+
+def _tex_args(text: str, i: int) -> int:
+    """Where the arguments of a command that begin at i end; -1 if a brace stays open."""
+    while i < len(text) and text[i] in "[{":
+        a, b = ("[", "]") if text[i] == "[" else ("{", "}")
+        depth, j = 0, i
+        while j < len(text):
+            if text[j] == "\\":
+                j += 1
+            elif text[j] == a:
+                depth += 1
+            elif text[j] == b:
+                depth -= 1
+                if not depth:
+                    break
+            j += 1
+        if j >= len(text):
+            return i if a == "[" else -1
+        i = j + 1
+    return i
+
+
+def _tex_block(lines: list[str], i: int, in_paragraph: bool) -> tuple[str, int] | None:
+    """An environment or a command that fills its lines, and the line after it."""
+    m = re.match(r" {0,3}\\begin\{(\w+\*?)\}", lines[i])
+    if m and not in_paragraph:
+        depth = 0
+        for j in range(i, len(lines)):
+            depth += lines[j].count(f"\\begin{{{m[1]}}}") - lines[j].count(f"\\end{{{m[1]}}}")
+            if depth <= 0:
+                rest = lines[j].rpartition(f"\\end{{{m[1]}}}")[2]
+                return ("\n".join(lines[i : j + 1]).strip(), j + 1) if not rest.strip() else None
+        return None
+    m = _TEX_NAME.match(lines[i].lstrip())
+    if not m or m[1] in _TEX_INLINE or m[1] in ("begin", "end") and not in_paragraph and m[1] == "begin" or (in_paragraph and m[1] not in _TEX_BLOCK):
+        return None
+    whole = "\n".join(lines[i : i + 200]).lstrip()
+    end = _tex_args(whole, _TEX_NAME.match(whole).end())
+    if end < 0 or (tail := whole[end:].split("\n", 1)[0]).strip() and not tail.lstrip().startswith("\\"):
+        return None
+    if tail.strip():
+        return None
+    return whole[:end], i + whole[:end].count("\n") + 1
+
+
+def _joined_words(xs: list[dict], smart: bool) -> list[dict]:
+    """Adjacent words as one, and no break after an abbreviation."""
+    out: list[dict] = []
+    for x in xs:
+        if x["t"] == "Str" and out and out[-1]["t"] == "Str":
+            out[-1] = node("Str", out[-1]["c"] + x["c"])
+        elif smart and x["t"] == "Str" and x["c"][:1].isalnum() and len(out) > 1 and out[-1]["t"] == "Space" and out[-2]["t"] == "Str" and out[-2]["c"].lstrip("(‘“") in ABBREVIATIONS:
+            out.pop()
+            out[-1] = node("Str", out[-1]["c"] + "\u00a0" + x["c"])
+        else:
+            out.append(x)
+    return out
+
+
+def _html_attr(text: str) -> list:
+    """Attributes of an opening tag."""
+    found = {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in re.finditer(r"([\w:.-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", text)}
+    return attr(found.pop("id", ""), found.pop("class", "").split(), [[k.removeprefix("data-"), v] for k, v in found.items()])
+
+
+def _small(a: list) -> bool:
+    return a[1] == ["smallcaps"] or any(k == "style" and _SMALL.search(v) for k, v in a[2])
+
+
+def _span(a: list, xs: list[dict]) -> dict:
+    return node("SmallCaps", xs) if _small(a) else node("Span", a, xs)
+
+
+def _numbered(blocks: list[dict]) -> None:
+    """Citations and notes counted in order; what is cited in a note has the note's number."""
+    count = 0
+
+    def visit(xs: list[dict], inside: int) -> None:
+        nonlocal count
+        for x in xs:
+            own = inside
+            if x["t"] in ("Cite", "Note") and not inside:
+                count += 1
+                own = count if x["t"] == "Note" else 0
+            if x["t"] == "Cite":
+                for c in x["c"][0]:
+                    c["citationNoteNum"] = inside or count
+            if x["t"] not in ("Str", "Space", "SoftBreak"):
+                for _, ys in parts(x):
+                    visit(ys, own)
+
+    visit(blocks, 0)
+
+
 _ATTR = re.compile(r"\{([^{}]*)\}")
 _HTML_BLOCK = re.compile(r"<(/?(address|article|aside|blockquote|center|details|dialog|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|iframe|legend|li|link|main|menu|nav|ol|p|param|pre|script|section|style|summary|table|tbody|td|tfoot|th|thead|title|tr|ul)\b|!--|\?|!\[CDATA\[)", re.I)
 _BULLET = re.compile(r"( {0,3})([*+-])( {1,4}(?=\S)|\t| *$| +)")
@@ -81,7 +190,7 @@ class _Reader:
             if not fence and (m := re.match(r" {0,3}\[\^([^\]\s]+)\]:[ \t]*(.*)", line)) and "footnotes" in self.ext:
                 body = [m[2]]
                 i += 1
-                while i < len(lines) and (lines[i].startswith(("    ", "\t")) or (lines[i].strip() and body[-1].strip() and not re.match(r" {0,3}\[[^\]]+\]:", lines[i])) or (not lines[i].strip() and i + 1 < len(lines) and lines[i + 1].startswith(("    ", "\t")))):
+                while i < len(lines) and not re.match(r":{3,}\s*$", lines[i]) and (lines[i].startswith(("    ", "\t")) or (lines[i].strip() and body[-1].strip() and not re.match(r" {0,3}\[[^\]]+\]:", lines[i])) or (not lines[i].strip() and i + 1 < len(lines) and lines[i + 1].startswith(("    ", "\t")))):
                     body.append(re.sub(r"^( {1,4}|\t)", "", lines[i]))
                     i += 1
                 self.notes[m[1]] = body
@@ -115,9 +224,9 @@ class _Reader:
                 continue
             if (m := re.match(r" {0,3}(`{3,}|~{3,})[ \t]*([^`]*)$", line)) and "fenced_code" in self.ext:
                 flush()
-                j, body = i + 1, []
+                j, body, inset = i + 1, [], len(line) - len(line.lstrip(" "))
                 while j < len(lines) and not re.match(rf" {{0,3}}{re.escape(m[1][0])}{{{len(m[1])},}}[ \t]*$", lines[j]):
-                    body.append(lines[j])
+                    body.append(re.sub(rf"^ {{0,{inset}}}", "", lines[j]))
                     j += 1
                 info = m[2].strip()
                 raw = re.fullmatch(r"\{=(\w+)\}", info)
@@ -143,6 +252,22 @@ class _Reader:
                 out.append(node("Div", attributes(m[1][1:-1]) if m[1].startswith("{") else attr("", [m[1]]), self.blocks(body)))
                 i = j + 1
                 continue
+            if line.lstrip().startswith("\\") and "raw_tex" in self.ext and (found := _tex_block(lines, i, bool(para))):
+                flush()
+                out.append(node("RawBlock", "tex", found[0]))
+                i = found[1]
+                continue
+            if "native_divs" in self.ext and not para and (m := re.match(r" {0,3}<div\b([^>]*)>(.*)$", line, re.I)):
+                j, depth, body = i + 1, 1 + m[2].lower().count("<div") - m[2].lower().count("</div>"), [m[2]]
+                while j < len(lines) and depth > 0:
+                    depth += len(re.findall(r"<div\b", lines[j], re.I)) - len(re.findall(r"</div>", lines[j], re.I))
+                    body.append(lines[j])
+                    j += 1
+                if depth == 0 and body[-1].lower().rstrip().endswith("</div>"):
+                    body[-1] = re.sub(r"</div>\s*$", "", body[-1], flags=re.I)
+                    out.append(node("Div", _html_attr(m[1]), self.blocks(body)))
+                    i = j
+                    continue
             if (m := re.match(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$", line)) and (m[2] is not None or line.strip() == m[1]):
                 flush()
                 out.append(self.header(len(m[1]), m[2] or ""))
@@ -458,6 +583,8 @@ class _Reader:
                     buffer += flush_to
                     i += 2
                     continue
+                elif "raw_tex" in self.ext and (m := _TEX_NAME.match(text, i)):
+                    found = self.tex(text, i, m)
                 elif text[i + 1] == " " and "attributes" in self.ext:
                     buffer += "\u00a0"
                     i += 2
@@ -492,7 +619,7 @@ class _Reader:
                 continue
             elif ch == "$" and "math" in self.ext:
                 found = self.math(text, i)
-            elif ch == "@" and "citations" in self.ext and (i == 0 or not text[i - 1].isalnum()) and (m := re.compile(r"@(\w[\w:.#$%&+?<>~/-]*\w|\w)").match(text, i)):
+            elif ch == "@" and "citations" in self.ext and (i == 0 or not text[i - 1].isalnum()) and (m := _CITE_KEY.match(text, i)):
                 found = self.author_citation(text, m)
             elif ch == ":" and "emoji" in self.ext and (m := re.compile(r":([a-z0-9_+-]+):").match(text, i)) and m[1] in EMOJI:
                 found = [node("Span", attr("", ["emoji"], [["data-emoji", m[1]]]), [node("Str", EMOJI[m[1]])])], m.end()
@@ -524,7 +651,19 @@ class _Reader:
                 buffer += ch
                 i += 1
         flush()
-        return out
+        return _joined_words(out, "smart" in self.ext)
+
+    def tex(self, text: str, i: int, m: re.Match):
+        if m[1] == "begin" and (e := re.compile(r"\{(\w+\*?)\}").match(text, m.end())):
+            close = f"\\end{{{e[1]}}}"
+            end = text.find(close, e.end())
+            return ([node("RawInline", "tex", text[i : end + len(close)])], end + len(close)) if end > 0 else None
+        end = _tex_args(text, m.end())
+        if end < 0:
+            end = m.end()
+        if end == m.end():
+            end += len(text[end:]) - len(text[end:].lstrip(" "))
+        return [node("RawInline", "tex", text[i:end])], end
 
     def code(self, text: str, i: int):
         run = re.compile("`+").match(text, i)[0]
@@ -584,6 +723,13 @@ class _Reader:
             return [node("Link", attr("", ["uri"]), [node("Str", m[1])], [m[1], ""])], m.end()
         if m := re.compile(r"<([\w.!#$%&'*+/=?^`{|}~-]+@[\w-]+(?:\.[\w-]+)*)>").match(text, i):
             return [node("Link", attr("", ["email"]), [node("Str", m[1])], ["mailto:" + m[1], ""])], m.end()
+        if "native_spans" in self.ext and (m := re.compile(r"<span\b((?:\s+[\w:.-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*\s*)>", re.I).match(text, i)):
+            depth, at = 1, m.end()
+            for t in re.finditer(r"<(/?)span\b[^>]*>", text[m.end() :], re.I):
+                depth += -1 if t[1] else 1
+                if not depth:
+                    at += t.start()
+                    return [_span(_html_attr(m[1]), self.inlines(text[m.end() : at]))], at + t.end() - t.start()
         if "raw_html" in self.ext and (m := re.compile(r"<(?:/?[a-zA-Z][\w-]*(?:\s+[\w:.-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*\s*/?|!--.*?--|\?.*?\?)>", re.S).match(text, i)):
             return [node("RawInline", "html", m[0])], m.end()
         return None
@@ -607,25 +753,36 @@ class _Reader:
         if "citations" not in self.ext:
             return None
         end = _closing(text, i)
-        if end < 0 or not re.search(r"(^|[\s;-])-?@\w", text[i + 1 : end]):
+        if end < 0 or not re.search(r"(^|[\s;-])-?@[\w{]", text[i + 1 : end]):
+            return None
+        if text.startswith("(", end + 1) or _ATTR.match(text, end + 1):
+            return None
+        out = [self.cited(part) for part in text[i + 1 : end].split(";")]
+        if not all(out):
             return None
-        out = []
-        for part in text[i + 1 : end].split(";"):
-            m = re.search(r"(-?)@(\w[\w:.#$%&+?<>~/-]*\w|\w)", part)
-            if not m:
-                return None
-            prefix, suffix = trimmed(self.inlines(part[: m.start()].strip())), self.inlines(part[m.end() :].rstrip())
-            out.append({"citationId": m[2], "citationPrefix": prefix, "citationSuffix": suffix, "citationMode": {"t": "SuppressAuthor" if m[1] else "NormalCitation"}, "citationNoteNum": 0, "citationHash": 0})
         return [node("Cite", out, words(text[i : end + 1]))], end + 1
 
     def author_citation(self, text: str, m: re.Match):
-        if m[1] in self.examples:
-            return [node("Str", str(self.examples[m[1]]))], m.end()
-        end, suffix, shown = m.end(), [], m[0]
-        if (m2 := re.compile(r"[ \t]*\[([^\]@]*)\]").match(text, end)) and not text.startswith("(", m2.end()):
-            suffix, shown, end = self.inlines(m2[1]), text[m.start() : m2.end()], m2.end()
-        c = {"citationId": m[1], "citationPrefix": [], "citationSuffix": suffix, "citationMode": {"t": "AuthorInText"}, "citationNoteNum": 0, "citationHash": 0}
-        return [node("Cite", [c], words(shown))], end
+        key = m[1] or m[2]
+        if key in self.examples:
+            return [node("Str", str(self.examples[key]))], m.end()
+        end, suffix, more, shown = m.end(), [], [], m[0]
+        if (close := _closing(text, m2.end() - 1) if (m2 := re.compile(r"[ \t]*\[").match(text, end)) else -1) > 0 and not text.startswith(("(", "{"), close + 1):
+            first, *rest = text[m2.end() : close].split(";")
+            others = [self.cited(x) for x in rest]
+            if "@" not in first and all(others):
+                suffix, more = self.inlines(first.strip()), others
+                shown, end = text[m.start() : close + 1], close + 1
+        c = {"citationId": key, "citationPrefix": [], "citationSuffix": suffix, "citationMode": {"t": "AuthorInText"}, "citationNoteNum": 0, "citationHash": 0}
+        return [node("Cite", [c, *more], words(shown))], end
+
+    def cited(self, part: str) -> dict | None:
+        """One citation of a group: prefix, key and suffix."""
+        m = re.search(rf"(-?){_CITE_KEY.pattern}", part)
+        if not m:
+            return None
+        prefix, suffix = trimmed(self.inlines(part[: m.start()].strip())), self.inlines(part[m.end() :].rstrip())
+        return {"citationId": m[2] or m[3], "citationPrefix": prefix, "citationSuffix": suffix, "citationMode": {"t": "SuppressAuthor" if m[1] else "NormalCitation"}, "citationNoteNum": 0, "citationHash": 0}
 
     def link(self, text: str, i: int, image: bool = False):
         end = _closing(text, i)
@@ -640,11 +797,13 @@ class _Reader:
         else:
             m = re.compile(r"[ ]?\[([^\]]*)\]" if "spaced_reference_links" in self.ext else r"\[([^\]]*)\]").match(text, at)
             key = _key((m[1] or inner) if m else inner)
+            if not key:
+                return None
             target = self.links.get(key) or ([f"#{self.headers[key]}", ""] if key in self.headers and not image else None)
             if target:
                 at = m.end() if m else at
             elif not image and "bracketed_spans" in self.ext and (m := _ATTR.match(text, at)):
-                return [node("Span", attributes(m[1]), self.inlines(inner))], m.end()
+                return [_span(attributes(m[1]), self.inlines(inner))], m.end()
             else:
                 return None
         a = NO_ATTR
@@ -774,6 +933,8 @@ def read_markdown(text: str, dialect: str = "markdown", plus: frozenset = frozen
             if b["t"] == "Header":
                 r.headers.setdefault(_key(plain(b["c"][2])), b["c"][1][0])
     blocks = r.blocks(lines)
+    if "citations" in ext:
+        _numbered(blocks)
     if "ignore_line_breaks" in ext or "east_asian_line_breaks" in ext:
         blocks = _joined(blocks, "ignore_line_breaks" not in ext)
     return {"meta": meta, "blocks": unique_identifiers(blocks) if "auto_ids" in ext else blocks}
