@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from leafmill.sources import units
 from leafmill.tree import BREAK, NO_ATTR, attr, node, simple_table, trimmed, unique_identifiers, words
 
 # --- LaTeX ------------------------------------------------------------------------------------------------------------
@@ -16,14 +17,41 @@ _ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u
 _SECTIONS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4, "subparagraph": 5}
 
 
+_PERCENT = "\x06"
+_NOTE_TEXT = re.compile(r"\\footnotetext(?:\[([^\]]*)\])?\{")
+#: Languages by name, and forms of acronyms.
+_LANGUAGES = {"ngerman": "de-DE", "german": "de", "french": "fr", "italian": "it", "spanish": "es", "english": "en", "american": "en-US", "british": "en-GB", "dutch": "nl", "portuguese": "pt", "russian": "ru", "latin": "la", "greek": "el", "polish": "pl", "swedish": "sv", "danish": "da", "finnish": "fi", "norsk": "no"}
+_ACRONYM = re.compile(r"(?:[Gg]ls|GLS|[Aa]cr?)(desc|long|full|short|fl?|l|s)?(pl|p)?")
+
+
+def _form(m: re.Match) -> str:
+    kind = {"desc": "long", "long": "long", "l": "long", "full": "full", "f": "full", "fl": "full", "short": "abbrv", "s": "abbrv"}.get(m[1] or "", "short")
+    return ("plural" if m[2] else "singular") + "+" + kind
+
+
+def _share(width: str) -> str:
+    """A part of the line as a percentage."""
+    m = re.fullmatch(r"([\d.]*)\s*\\(?:textwidth|linewidth|columnwidth|hsize)", width)
+    return f"{float(m[1] or 1) * 100:g}%" if m else width
+
+
+def enumerate_notes(reader: Latex, text: str):
+    """key, text of each note that stands apart: its own number, or that of its place."""
+    for k, m in enumerate(_NOTE_TEXT.finditer(text), 1):
+        if g := reader.group(text, m.end() - 1):
+            yield m[1] or str(k), g[0]
+
+
 class Latex:
     """Macros are expanded before the text is read; environments and commands that mean nothing here are passed over, their content kept."""
 
     def __init__(self) -> None:
-        self.macros: dict[str, tuple[int, str]] = {}
+        self.macros: dict[str, tuple[int, str, str | None]] = {}  # arguments, body, default of the first
         self.labels: dict[str, str] = {}
         self.meta: dict = {}
         self.chapters = False
+        self.notes: dict[str, str] = {}  # texts of notes that stand apart from their marks
+        self.marks = 0
 
     def group(self, s: str, i: int, a: str = "{", b: str = "}") -> tuple[str, int] | None:
         """A balanced group at i."""
@@ -45,27 +73,35 @@ class Latex:
     def expand(self, s: str) -> str:
         """Takes \\newcommand and \\def out and replaces what they define, up to a depth."""
         out, i = "", 0
-        pattern = re.compile(r"\\(?:re)?newcommand\*?\s*\{?\\([a-zA-Z]+)\}?(?:\[(\d)\])?|\\providecommand\*?\s*\{?\\([a-zA-Z]+)\}?(?:\[(\d)\])?|\\def\s*\\([a-zA-Z]+)((?:#\d)*)")
+        pattern = re.compile(r"\\(?:re)?newcommand\*?\s*\{?\\([a-zA-Z]+)\}?(?:\[(\d)\])?(?:\[([^\]]*)\])?|\\providecommand\*?\s*\{?\\([a-zA-Z]+)\}?(?:\[(\d)\])?(?:\[([^\]]*)\])?|\\def\s*\\([a-zA-Z]+)((?:#\d)*)")
         while m := pattern.search(s, i):
             body = self.group(s, m.end())
+            if not body and (one := re.compile(r"\s*(\\[a-zA-Z]+|[^\s\\{}])").match(s, m.end())):
+                body = one[1], one.end()
             if not body:
                 out += s[i : m.end()]
                 i = m.end()
                 continue
-            name = m[1] or m[3] or m[5]
-            n = int(m[2] or m[4] or 0) if not m[5] else len(m[6]) // 2
-            self.macros[name] = (n, body[0])
+            name = m[1] or m[4] or m[7]
+            n = int(m[2] or m[5] or 0) if not m[7] else len(m[8]) // 2
+            self.macros[name] = (n, body[0], m[3] if m[3] is not None else m[6])
             out += s[i : m.start()]
             i = body[1]
         s = out + s[i:]
         for _ in range(20):
             changed = False
-            for name, (n, body) in self.macros.items():
+            for name, (n, body, default) in self.macros.items():
                 pat, res, k = re.compile(rf"\\{name}(?![a-zA-Z])"), "", 0
                 while m := pat.search(s, k):
                     args, j = [], m.end()
-                    for _a in range(n):
+                    if default is not None:
+                        o = self.group(s, j, "[", "]") if s[j : j + 1] == "[" else None
+                        args.append(o[0] if o else default)
+                        j = o[1] if o else j
+                    for _a in range(n - len(args)):
                         g = self.group(s, j)
+                        if not g and (one := re.compile(r"\s*(\\[a-zA-Z]+|[^\s\\{}])").match(s, j)):
+                            g = one[1], one.end()
                         if not g:
                             break
                         args.append(g[0])
@@ -81,8 +117,13 @@ class Latex:
         return s
 
     def read(self, text: str) -> dict:
+        # Percent signs in addresses and verbatim text are none of a comment.
+        text = re.sub(r"\\(?:url|nolinkurl|href|path)\s*\{[^{}]*\}|\\begin\{(verbatim|lstlisting|Verbatim|minted|alltt)\}.*?\\end\{\1\}|\\verb\*?([^a-zA-Z\s]).*?\2", lambda m: m[0].replace("%", _PERCENT), text, flags=re.S)
         text = re.sub(r"(?<!\\)%[^\n]*\n[ \t]*", "", text)
-        text = self.expand(text)
+        text = re.sub(r"\\xspace(?![a-zA-Z])", "\\\\xspace{}", self.expand(text)).replace(_PERCENT, "%")
+        text = re.sub(r"\\xspace\{\}(\{\})?(?=[\w\\])", " ", text).replace("\\xspace{}", "")
+        self.notes = dict(enumerate_notes(self, text))
+        text = _NOTE_TEXT.sub("", text) if not self.notes else self.without_notes(text)
         for name in ("title", "author", "date"):
             if (m := re.search(rf"\\{name}\s*\{{", text)) and (g := self.group(text, m.end() - 1)):
                 self.meta[name] = {"t": "MetaInlines", "c": trimmed(self.inlines(g[0]))}
@@ -124,12 +165,9 @@ class Latex:
                 name = m[1]
                 body, i = self.environment(s, i, name)
                 base = name.rstrip("*")
-                if base in ("equation", "align", "gather", "displaymath", "eqnarray", "multline", "math"):
-                    run += f"\\[{body}\\]" if base not in ("align", "gather", "eqnarray", "multline") else f"\\[\\begin{{{'aligned' if base != 'gather' else 'gathered'}}}{body}\\end{{{'aligned' if base != 'gather' else 'gathered'}}}\\]"
-                    pieces = run.rpartition("\\[")
-                    run = pieces[0]
-                    flush()
-                    out.append(node("Para", [node("Math", {"t": "DisplayMath"}, re.sub(r"\\label\{[^}]*\}", "", pieces[2][:-2]).strip())]))
+                if base in ("equation", "align", "gather", "displaymath", "eqnarray", "multline", "math", "alignat", "flalign"):
+                    whole = body if base in ("displaymath", "math") else f"\\begin{{{name}}}{body}\\end{{{name}}}"
+                    run += f"\x02{whole.strip()}\x03"
                     continue
                 flush()
                 out += self.env_blocks(base, body)
@@ -160,6 +198,57 @@ class Latex:
         flush()
         return out
 
+    def quotation(self, s: str, i: int, mark: str) -> tuple[dict, int] | None:
+        """Quoted text up to the mark that ends it in this group."""
+        close, depth, j = "''" if mark == "``" else "'", 0, i
+        while j < len(s):
+            if s[j] == "\\":
+                j += 2
+                continue
+            if s[j] in "{}":
+                depth += 1 if s[j] == "{" else -1
+                if depth < 0:
+                    return None
+            if not depth and s.startswith(close, j) and not (mark == "`" and (s.startswith("''", j) or (s[j + 1 : j + 2].isalnum()))):
+                return node("Quoted", {"t": "DoubleQuote" if mark == "``" else "SingleQuote"}, self.inlines(s[i:j])), j + len(close)
+            if s.startswith("\n\n", j):
+                return None
+            j += 1
+        return None
+
+    def quantities(self, s: str, i: int, cmd: str) -> tuple[list[dict], int]:
+        """Numbers and units of a siunitx command."""
+        if o := self.group(s, i, "[", "]") if s[i : i + 1] == "[" else None:
+            i = o[1]
+        n = {"SI": 2, "qty": 2, "SIrange": 3, "qtyrange": 3, "numrange": 2}.get(cmd, 1)
+        args, before = [], ""
+        for k in range(n):
+            if k == 1 and cmd == "SI" and s[i : i + 1] == "[" and (o := self.group(s, i, "[", "]")):
+                before, i = o[0].replace("\\", ""), o[1]
+            g = self.group(s, i)
+            if not g:
+                return [], i
+            args.append(g[0])
+            i = g[1]
+        if cmd in ("si", "unit"):
+            return units.unit(args[0]), i
+        if cmd == "num":
+            return [node("Str", units.number(args[0]))], i
+        if cmd == "ang":
+            return [node("Str", "".join(x + y for x, y in zip(args[0].split(";"), "°′″", strict=False) if x))], i
+        of = units.unit(args[-1]) if cmd != "numrange" else []
+        if n == 3 or cmd == "numrange":
+            return [*units.quantity(args[0], of), node("Str", "–"), *units.quantity(args[1], of)], i
+        return [*([node("Str", before + "\u00a0")] if before else []), *units.quantity(args[0], of)], i
+
+    def without_notes(self, text: str) -> str:
+        out, i = "", 0
+        while m := _NOTE_TEXT.search(text, i):
+            g = self.group(text, m.end() - 1)
+            out += text[i : m.start()].rstrip("\n")
+            i = g[1] if g else m.end()
+        return out + text[i:]
+
     def env_blocks(self, name: str, body: str) -> list[dict]:
         if name in ("itemize", "enumerate", "description"):
             opt = self.group(body, 0, "[", "]")
@@ -195,14 +284,15 @@ class Latex:
         if name in ("tabular", "longtable", "tabularx", "array"):
             return [self.tabular(body, name)]
         if name in ("figure", "wrapfigure"):
-            body = re.sub(r"^\s*\[[^\]]*\]", "", body)
+            place = re.match(r"\s*\[([^\]]*)\]", body)
+            body = body[place.end() :] if place else body
             caption, m = [], re.search(r"\\caption\s*\{", body)
             if m and (g := self.group(body, m.end() - 1)):
                 caption = trimmed(self.inlines(g[0]))
                 body = body[: m.start()] + body[g[1] :]
             ident = (re.search(r"\\label\{([^}]*)\}", body) or [0, ""])[1]
             inner = [node("Plain", b["c"]) if b["t"] == "Para" else b for b in self.blocks(re.sub(r"\\label\{[^}]*\}", "", body))]
-            return [node("Figure", attr(ident), [None, [node("Plain", caption)] if caption else []], inner)]
+            return [node("Figure", attr(ident, [], [["latex-placement", place[1]]] if place else []), [None, [node("Plain", caption)] if caption else []], inner)]
         if name == "table":
             m = re.search(r"\\caption\s*\{", body)
             g = self.group(body, m.end() - 1) if m else None
@@ -270,6 +360,10 @@ class Latex:
                     end = s.find("\\)", i)
                     push(node("Math", {"t": "InlineMath"}, s[i:end].strip()))
                     i = end + 2 if end >= 0 else len(s)
+                elif cmd == "[":
+                    end = s.find("\\]", i)
+                    push(node("Math", {"t": "DisplayMath"}, s[i : end if end >= 0 else len(s)].strip()))
+                    i = end + 2 if end >= 0 else len(s)
                 elif cmd == "\\" or cmd in ("newline", "linebreak"):
                     push(BREAK)
                     i = re.compile(r"(\[[^\]]*\])?\s*").match(s, i).end()
@@ -283,6 +377,45 @@ class Latex:
                     if g:
                         push(node("Code", NO_ATTR, re.sub(r"\\textbackslash(\{\})?", r"\\", re.sub(r"\\([{}$&#%_])", r"\1", g[0]))))
                         i = g[1]
+                elif cmd in ("mintinline", "nolinkurl", "path"):
+                    o = self.group(s, i, "[", "]") if s[i : i + 1] == "[" else None
+                    g = self.group(s, o[1] if o else i)
+                    t = self.group(s, g[1]) if g and cmd == "mintinline" else g
+                    if t:
+                        push(node("Code", attr("", [g[0]]) if cmd == "mintinline" else NO_ATTR, t[0]))
+                        i = t[1]
+                elif cmd in ("SI", "si", "num", "SIrange", "qty", "unit", "qtyrange", "numrange", "ang"):
+                    found, i = self.quantities(s, i, cmd)
+                    for x in found:
+                        if x["t"] == "Str":
+                            buffer += x["c"]
+                        else:
+                            push(x)
+                elif cmd == "hypertarget" and (g := self.group(s, i)) and (t := self.group(s, g[1])):
+                    push(node("Span", attr(g[0]), self.inlines(t[0])))
+                    i = t[1]
+                elif cmd == "foreignlanguage" and (g := self.group(s, i)) and (t := self.group(s, g[1])):
+                    push(node("Span", attr("", [], [["lang", _LANGUAGES.get(g[0], g[0])]]), self.inlines(t[0])))
+                    i = t[1]
+                elif cmd.rstrip("*") in ("enquote", "foreignquote", "hyphenquote"):
+                    lang = self.group(s, i) if not cmd.startswith("enquote") else None
+                    g = self.group(s, lang[1] if lang else i)
+                    if g:
+                        inner = self.inlines(g[0])
+                        inner = [node("Span", attr("", [], [["lang", _LANGUAGES.get(lang[0], lang[0])[:2]]]), inner)] if lang else inner
+                        push(node("Quoted", {"t": "SingleQuote" if cmd.endswith("*") else "DoubleQuote"}, inner))
+                        i = g[1]
+                elif (a := _ACRONYM.fullmatch(cmd)) and (g := self.group(s, i)):
+                    push(node("Span", attr("", [], [["acronym-label", g[0]], ["acronym-form", _form(a)]]), [node("Str", g[0])]))
+                    i = g[1]
+                elif cmd == "footnotemark":
+                    o = self.group(s, i, "[", "]") if s[i : i + 1] == "[" else None
+                    self.marks += 1
+                    key = o[0] if o else str(self.marks)
+                    i = o[1] if o else i
+                    i = i + 2 if s.startswith("{}", i) else i
+                    if key in self.notes:
+                        push(node("Note", self.blocks(self.notes[key])))
                 elif cmd in ("verb", "verb*"):
                     end = s.find(s[i], i + 1)
                     push(node("Code", NO_ATTR, s[i + 1 : end]))
@@ -308,8 +441,9 @@ class Latex:
                     o = self.group(s, i, "[", "]") if s[i : i + 1] == "[" else None
                     g = self.group(s, o[1] if o else i)
                     if g:
-                        kvs = [list(map(str.strip, x.split("=", 1))) for x in (o[0].split(",") if o else []) if "=" in x]
-                        push(node("Image", attr("", [], [x for x in kvs if x[0] in ("width", "height")]), [node("Str", "image")], [g[0], ""]))
+                        kvs = [[x.strip().strip("{}") for x in y.split("=", 1)] for y in (re.findall(r"(?:[^,{}]|\{[^{}]*\})+", o[0]) if o else []) if "=" in y]
+                        alt = dict(kvs).get("alt")
+                        push(node("Image", attr("", [], [[k, _share(v)] for k, v in kvs if k in ("width", "height")]), self.inlines(alt) if alt else [node("Str", "image")], [g[0], ""]))
                         i = g[1]
                 elif cmd in ("footnote", "thanks"):
                     g = self.group(s, i)
@@ -367,6 +501,9 @@ class Latex:
                     buffer += "\u00a0"
                 elif ch in "[]":
                     buffer += ch
+            elif m[0] in ("``", "`") and (found := self.quotation(s, i, m[0])):
+                push(found[0])
+                i = found[1]
             elif m[5]:
                 buffer += {"``": "“", "''": "”", "---": "—", "--": "–"}.get(m[5], m[5] if m[5].strip() else " " if "\n" not in m[5] else "\n")
             else:
