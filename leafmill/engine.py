@@ -191,3 +191,37 @@ def convert(df: DataFrame, source: str, target: str, id: str = "doc_id", content
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], kind), pa.array([e for _, e in out], pa.string())], ["doc_id", "output", "error"])
 
     return spread(df.select(F.col(id).cast("bigint"), F.col(content))).mapInArrow(both, f"doc_id bigint, output {'binary' if binary else 'string'}, error string")
+
+
+def convert_many(df: DataFrame, source: str, targets: list[str], id: str = "doc_id", content: str = "text") -> DataFrame:
+    """doc_id, format, output, error: each document read once and written in several text formats."""
+    parse = reader(source)
+    writers = []
+    for target in targets:
+        base, plus, minus = split_format(target)
+        checked(plus | minus, KNOWN)
+        if base in sinks.BINARY:
+            raise ValueError(f"{target} is no text format")
+        writers.append((target, sinks.writer(base)))
+
+    def made(write: Callable[[dict], str], doc: dict | None, error: str | None) -> tuple[str | None, str | None]:
+        try:
+            return (write(doc), None) if doc is not None else (None, error)
+        except Exception as e:  # as in read_documents
+            return None, _told(e)
+
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _deep()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part, rows = batch.slice(at, 200), []
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    try:
+                        doc, error = parse(text if text is not None else ""), None
+                    except Exception as e:
+                        doc, error = None, _told(e)
+                    rows += [(i, target, *made(write, doc, error)) for target, write in writers]
+                columns = zip(*rows, strict=True) if rows else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.string()] * 3), strict=True)], ["doc_id", "format", "output", "error"])
+
+    return spread(df.select(F.col(id).cast("bigint"), F.col(content))).mapInArrow(many, "doc_id bigint, format string, output string, error string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafmill import engine
 from leafmill.functions import text as T
 from leafmill.operators import nodes as N
+from leafmill.plans import formats
 from leafmill.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -360,8 +361,8 @@ def region_rollup(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | formats.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | formats.oracle_sql()

@@ -419,6 +419,7 @@ def _prepared(text: str, name: str) -> str:
     if name == "pod":
         text = re.sub(r"([BICFLS])<<? ?(.*?) ?>?>", lambda m: {"B": f"\x01b{m[2]}\x01B", "I": f"\x01i{m[2]}\x01I", "F": f"\x01i{m[2]}\x01I", "C": f"\x01c{m[2]}\x01C"}.get(m[1], m[2]), text)
     if name == "typst":
+        text = re.sub(r"^(=+ [^\n]*)\n?[ \t]*<[\w:.-]+>[ \t]*$", r"\1", text, flags=re.M)
         text = re.sub(r"#table\(\s*columns:\s*(\d+|\([^)]*\)),?(.*?)\n\)", _typst_rows, text, flags=re.S)
     return text
 

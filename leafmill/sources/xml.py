@@ -597,7 +597,7 @@ def read_odt(content: bytes) -> dict:
                 props[name] = found
             elif local(s) == "list-style" and any(local(x) == "list-level-style-number" for x in s):
                 numbered.add(get(s, "name"))
-    fixed = {"Emphasis": "Emph", "Strong": "Strong", "Strikeout": "Strikeout", "Underline": "Underline", "Superscript": "Superscript", "Subscript": "Subscript", "Source_Text": "Code"}
+    fixed = {"Emphasis": "Emph", "Strong": "Strong", "Strikeout": "Strikeout", "Underline": "Underline", "Superscript": "Superscript", "Subscript": "Subscript", "Source_Text": "Code", "Strong_20_Emphasis": "Strong", "Source_20_Text": "Code"}
 
     def kinds(name: str, seen: int = 0) -> set[str]:
         if name in fixed:
