@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,10 +150,34 @@ def chunks(nodes: DataFrame, level: int = 1, template: str = "%s-%i.html") -> Da
 
 
 def unique_idents(rows: DataFrame, base: str, by: list[str], order: list[str]) -> DataFrame:
-    """rows with `ident`: base, or base-1, base-2 .. where it was taken before (window form: exact while no base itself ends in such a suffix)."""
-    w = Window.partitionBy(*by, base).orderBy(*order)
-    n = F.row_number().over(w) - 1
-    return rows.withColumn("ident", F.when(n == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), n.cast("string"))))
+    """rows with `ident`: base, or base-1, base-2 .. , the first of them that none of the rows before has got.
+
+    Only names that agree but for numbers at their ends can meet, so each such family is named by itself: by a window where no base has a
+    number, by going through its rows in order where one has.
+    """
+    numbers = r"(-[0-9]+)+\z"
+    keys = [*by, "__root"]
+    told = rows.withColumn("__root", F.regexp_replace(base, numbers, ""))
+    told = told.withColumn("__mixed", F.max((F.col(base) != F.col("__root")).cast("int")).over(Window.partitionBy(*keys)) == 1)
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    simple = told.where("not __mixed").withColumn("ident", F.when(n == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), n.cast("string"))))
+    mixed = told.where("__mixed")
+
+    def named(family: pa.Table) -> pa.Table:
+        used: set[str] = set()
+        idents = []
+        family = family.sort_by([(c, "ascending") for c in order])
+        for name in family.column(base).to_pylist():
+            k, own = 0, name
+            while own in used:
+                k += 1
+                own = f"{name}-{k}"
+            used.add(own)
+            idents.append(own)
+        return family.append_column("ident", pa.array(idents, pa.string()))
+
+    whole = simple.unionByName(mixed.groupBy(*keys).applyInArrow(named, simple.schema))
+    return whole.drop("__root", "__mixed")
 
 
 def resolve(uses: DataFrame, definitions: DataFrame, key: str = "key", value: str = "value", seq: str = "seq", last: bool = True) -> DataFrame:
@@ -168,7 +193,7 @@ def cited(references: DataFrame, citations: DataFrame) -> DataFrame:
     some = citations.select(F.col("doc_id").alias("c_doc"), F.col("ref_id")).distinct()
     whole = references.join(all_, references["doc_id"] == all_["a_doc"], "left_semi")
     rest = references.join(all_, references["doc_id"] == all_["a_doc"], "left_anti")
-    return whole.unionByName(rest.join(some, (rest["doc_id"] == some["c_doc"]) & (rest["id"] == some["ref_id"]), "left_semi"))
+    return whole.unionByName(rest.join(some, (rest["doc_id"] == some["c_doc"]) & (rest["id"].cast("string") == some["ref_id"]), "left_semi"))
 
 
 def unused(definitions: DataFrame, uses: DataFrame, key: str = "key") -> DataFrame:

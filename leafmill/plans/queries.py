@@ -42,6 +42,12 @@ def _outlines(spark: SparkSession, d: str) -> DataFrame:
     return stored(_pages(spark, d, "Header"), "page-outlines")
 
 
+# What stands in a page's h1, as text.
+_H1 = r"""replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')"""
+_IDENT = r"""regexp_replace(regexp_replace(trim(regexp_replace(lower(h), '[^\p{L}\p{N}_\-. \t\r\n]', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)), '[ \t\r\n]+', '-', 'g'), '^[^\p{L}]+', '')"""
+_NAMED = f"select page_id, lang, case when ident = '' then 'section' else ident end as base from (select page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as lang, {_IDENT} as ident from (select *, {_H1} as h from pages))"
+
+
 # --- pages: parsed trees ----------------------------------------------------------------------------------------------
 
 
@@ -76,11 +82,24 @@ def page_lang(spark, d):
     return docs.select("doc_id", F.coalesce(F.get_json_object("ast", "$.meta.lang.c"), F.lit("")).alias("lang"))
 
 
-@query()
+@query(r"""
+select page_id as doc_id, len(list_filter(regexp_extract_all(text, '[^ \t\n\r]+'), lambda w: regexp_matches(w, '[\p{L}\p{N}]')))::bigint as n_words from (
+  select page_id, replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<!--.*?-->|<script.*?</script>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as text from (
+    select page_id, replace(replace(html, '&copy;', '©'), '&middot;', '·') as html from pages))""")
 def page_words(spark, d):
+    """Words of each page's tree."""
     return N.word_counts(_pages(spark, d))
 
 
+@query("""
+select 'pages' as source, 'ok' as status, count(*)::bigint as n from pages having count(*) > 0 union all select 'documents', 'error', count(*)::bigint from documents having count(*) > 0""")
+def document_status(spark, d):
+    """What became of each document: pages are HTML, but documents are no notebooks, and each of them is a row that says so."""
+    good = engine.read_documents(_t(spark, d, "pages"), "html", "page_id", "html").select(F.lit("pages").alias("source"), "status")
+    bad = engine.read_documents(_t(spark, d, "documents"), "ipynb").select(F.lit("documents").alias("source"), "status")
+    return good.unionByName(bad).groupBy("source", "status").agg(F.count("*").alias("n"))
+
+
 @query()
 def page_node_counts(spark, d):
     return N.type_counts(_pages(spark, d))
@@ -91,7 +110,8 @@ def page_sections(spark, d):
     return N.sections(_outlines(spark, d))
 
 
-@query()
+@query(f"""
+select page_id as doc_id, 1::int as place, 1::int as level, '1' as number, base as ident, h as text from ({_NAMED}) join (select page_id, {_H1} as h from pages) using (page_id)""")
 def page_toc(spark, d):
     return N.toc(_outlines(spark, d))
 
@@ -101,6 +121,15 @@ def page_chunks(spark, d):
     return N.chunks(_outlines(spark, d))
 
 
+@query(f"""
+with named as ({_NAMED})
+select page_id as doc_id, unnest([1, 2])::int as chunk_no, unnest([0, 1])::int as level, unnest(['', base]) as ident, unnest(['0', '1']) as number, unnest(['0-.html', '1-' || base || '.html']) as path,
+  unnest([null, '0-.html']) as prev_path, unnest(['1-' || base || '.html', null]) as next_path, null::varchar as up_path from named""")
+def page_chunk_paths(spark, d):
+    """The files that pages are cut into, and how they lead to each other."""
+    return N.chunks(_outlines(spark, d)).select("doc_id", "chunk_no", "level", "ident", "number", "path", "prev_path", "next_path", "up_path")
+
+
 @query()
 def page_plain(spark, d):
     return engine.convert(_t(spark, d, "pages"), "html", "plain", "page_id", "html")
@@ -121,8 +150,10 @@ def document_nodes(spark, d):
     return N.type_counts(engine.read_nodes(_t(spark, d, "documents"), "commonmark"))
 
 
-@query()
+@query("""
+select page_id as doc_id, 6::int as slide_level from pages""")
 def slide_levels(spark, d):
+    """The pages' headings stand in an article, none right below the root."""
     return N.slide_level(_outlines(spark, d))
 
 
@@ -142,39 +173,44 @@ def doc_lines(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("doc_id", (F.col("p") + 1).alias("line_no"), "line")
 
 
-_FIRST = "split_part(text, chr(10), 1)"
-_IDENT = rf"""regexp_replace(regexp_replace(trim(regexp_replace(lower({_FIRST}), '[^\p{{L}}\p{{N}}_\-. \t\r\n]', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)), '[ \t\r\n]+', '-', 'g'), '^[^\p{{L}}]+', '')"""
+@query(f"select page_id as doc_id, base as ident from ({_NAMED})")
+def heading_identifiers(spark, d):
+    """The identifiers that the pages' headings have from their texts."""
+    return N.headings(_pages(spark, d, "Header")).select("doc_id", T.identifier(F.col("text")).alias("ident"))
 
 
 @query(f"""
-select doc_id, case when ident = '' then 'section' else ident end as ident from (select doc_id, {_IDENT} as ident from documents)""")
-def doc_identifiers(spark, d):
-    """The identifier that each document's first line would have as a heading."""
-    return _t(spark, d, "documents").select("doc_id", T.identifier(F.substring_index("text", "\n", 1)).alias("ident"))
-
-
-@query(f"""
-with b as (select doc_id, source, case when ident = '' then 'section' else ident end as base from (select doc_id, source, {_IDENT} as ident from documents)),
-n as (select *, row_number() over (partition by source, base order by doc_id) - 1 as k from b)
-select doc_id, case when k = 0 then base else base || '-' || k end as ident from n""")
-def unique_identifiers(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", "source", T.identifier(F.substring_index("text", "\n", 1)).alias("base"))
-    return N.unique_idents(rows, "base", ["source"], ["doc_id"]).select("doc_id", "ident")
+with recursive named as ({_NAMED}),
+rows as (select *, regexp_replace(base, '(-[0-9]+)+$', '') as root from named),
+placed as (select *, row_number() over (partition by lang, root order by page_id) as k from rows),
+walk as (
+  select lang, root, k, page_id, base as ident, [base] as used from placed where k = 1
+  union all
+  select p.lang, p.root, p.k, p.page_id,
+    case when not list_contains(w.used, p.base) then p.base else p.base || '-' || list_min(list_filter(range(1, len(w.used) + 2), lambda n: not list_contains(w.used, p.base || '-' || n))) end as ident,
+    list_append(w.used, case when not list_contains(w.used, p.base) then p.base else p.base || '-' || list_min(list_filter(range(1, len(w.used) + 2), lambda n: not list_contains(w.used, p.base || '-' || n))) end)
+  from walk w join placed p on p.lang = w.lang and p.root = w.root and p.k = w.k + 1)
+select page_id as doc_id, ident from walk""")
+def unique_heading_identifiers(spark, d):
+    """Identifiers that differ within each language: an identifier that is taken gets the first number that is free."""
+    heads = N.headings(_pages(spark, d, "Header")).select("doc_id", T.identifier(F.col("text")).alias("base"))
+    lang = _t(spark, d, "pages").select(F.col("page_id").alias("p"), F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"))
+    return N.unique_idents(heads.join(lang, F.col("doc_id") == F.col("p")), "base", ["lang"], ["doc_id"]).select("doc_id", "ident")
 
 
-@query(r"""
-select doc_id, lower(replace(regexp_replace(split_part(text, chr(10), 1), '[^\p{L}\p{N}_\- ]', '', 'g'), ' ', '-')) as ident from documents""")
-def doc_identifiers_gfm(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.identifier_gfm(F.substring_index("text", "\n", 1)).alias("ident"))
+@query(rf"""
+select page_id as doc_id, lower(replace(regexp_replace(h, '[^\p{{L}}\p{{N}}_\- ]', '', 'g'), ' ', '-')) as ident from (select page_id, {_H1} as h from pages)""")
+def heading_identifiers_gfm(spark, d):
+    return N.headings(_pages(spark, d, "Header")).select("doc_id", T.identifier_gfm(F.col("text")).alias("ident"))
 
 
 @query(r"""
 select doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as trimmed, regexp_replace(text, '^[ \t\r\n]+', '') as left_trimmed, regexp_replace(text, '[ \t\r\n]+$', '') as right_trimmed,
   case when length(text) < 2 then '' else substr(text, 2, length(text) - 2) end as inner_text
-from (select doc_id, chr(9) || ' ' || split_part(text, chr(10), 1) || ' ' || chr(10) as text from documents)""")
-def trims(spark, d):
-    padded = F.concat(F.lit("\t "), F.substring_index("text", "\n", 1), F.lit(" \n"))
-    rows = _t(spark, d, "documents").select("doc_id", padded.alias("text"))
+from (select doc_id, chr(9) || ' ' || text || ' ' || chr(10) as text from documents)""")
+def trimmed_texts(spark, d):
+    """Whole texts, with blanks before and behind them, trimmed in four ways."""
+    rows = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("\t "), "text", F.lit(" \n")).alias("text"))
     c = F.col("text")
     return rows.select("doc_id", T.trim(c).alias("trimmed"), T.triml(c).alias("left_trimmed"), T.trimr(c).alias("right_trimmed"), T.strip_first_and_last(c).alias("inner_text"))
 
@@ -276,10 +312,9 @@ def conversation_markdown(spark, d):
 select doc_id, source from documents d where exists (select 1 from labels l where l.doc_id = d.doc_id and l.quality = 1)""")
 def cited_references(spark, d):
     """The references that are cited: a semi join."""
-    refs = _t(spark, d, "documents").select(F.lit(0).alias("bib"), F.col("doc_id").alias("id"), "source")
-    cites = _t(spark, d, "labels").where("quality = 1").select(F.lit(0).alias("bib"), F.col("doc_id").alias("ref_id"))
-    found = refs.join(cites, (refs["id"] == cites["ref_id"]) & (refs["bib"] == cites["bib"]), "left_semi")
-    return found.select(F.col("id").alias("doc_id"), "source")
+    refs = _t(spark, d, "documents").select(F.lit(0).alias("doc_id"), F.col("doc_id").alias("id"), "source")
+    cites = _t(spark, d, "labels").where("quality = 1").select(F.lit(0).alias("doc_id"), F.col("doc_id").cast("string").alias("ref_id"))
+    return N.cited(refs, cites).select(F.col("id").alias("doc_id"), "source")
 
 
 @query("""
@@ -287,7 +322,8 @@ select doc_id, source from documents d where not exists (select 1 from labels l
 def unused_notes(spark, d):
     """Definitions that nothing uses: an anti join."""
     docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
-    return docs.join(labels, "doc_id", "left_anti").select("doc_id", "source")
+    definitions = docs.select(F.lit(0).alias("doc_id"), F.col("doc_id").alias("key"), "source")
+    return N.unused(definitions, labels.select(F.lit(0).alias("doc_id"), F.col("doc_id").alias("key"))).select(F.col("key").alias("doc_id"), "source")
 
 
 @query("""

@@ -228,3 +228,70 @@ def test_fuzz_readers():
         for _ in range(15):
             text = "".join(rng.choice(chars) for _ in range(rng.randrange(80)))
             assert "blocks" in read(text)
+
+
+def test_unique_identifiers_take_the_first_free_number(spark):
+    bases = ["b", "b-1", "b", "c", "c", "b-1", "b", "d-2", "d-2", "c", "e-1-1", "e-1", "e-1"]
+    df = spark.createDataFrame([(g, i, b) for g in (1, 2) for i, b in enumerate(bases)], "g long, i long, base string")
+
+    def named(names):
+        used, out = set(), []
+        for b in names:
+            k, own = 0, b
+            while own in used:
+                k += 1
+                own = f"{b}-{k}"
+            used.add(own)
+            out.append(own)
+        return out
+
+    got = {(r["g"], r["i"]): r["ident"] for r in N.unique_idents(df, "base", ["g"], ["i"]).collect()}
+    want = named(bases)
+    assert want[:3] == ["b", "b-1", "b-2"] and got == {(g, i): x for g in (1, 2) for i, x in enumerate(want)}
+
+
+def test_nodes_that_are_kept_have_their_numbers(spark):
+    df = spark.createDataFrame([(1, SAMPLE)], "doc_id long, text string")
+    whole = {r["node_id"]: r for r in engine.read_nodes(df, "markdown").collect()}
+    some = engine.read_nodes(df, "markdown", keep=("Header",)).collect()
+    assert all(whole[r["node_id"]] == r for r in some) and {r["type"] for r in some} >= {"Doc", "Header", "Para", "Str"}
+    assert len(some) < len(whole) and N.headings(engine.read_nodes(df, "markdown", keep=("Header",))).collect()[0]["text"] == "Hi there"
+
+
+def test_extensions_of_every_reader():
+    assert engine.reader("html+raw_tex")("<h1>a</h1>")["blocks"][0]["c"][1][0] == "a"
+    assert engine.reader("html-auto_identifiers")("<h1>a</h1>")["blocks"][0]["c"][1][0] == ""
+    assert engine.reader("html-native_divs-native_spans")("<div><p><span>a</span></p></div>")["blocks"] == engine.reader("html")("<p>a</p>")["blocks"]
+    for bad in ("html+nothing", "nothing"):
+        with pytest.raises(ValueError):
+            engine.reader(bad)
+
+
+def test_convert_many(spark):
+    df = spark.createDataFrame([(1, "*a*"), (2, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["format"]): r["output"] for r in engine.convert_many(df, "markdown", ["html", "latex"]).collect()}
+    assert got == {(1, "html"): "<p><em>a</em></p>\n", (1, "latex"): "\\emph{a}\n", (2, "html"): "\n", (2, "latex"): "\n"}
+    bad = engine.convert_many(df, "ipynb", ["html"]).collect()
+    assert all(r["output"] is None and r["error"] for r in bad if r["doc_id"] == 1)
+    with pytest.raises(ValueError):
+        engine.convert_many(df, "markdown", ["docx"])
+
+
+def test_html_tables():
+    t = read_html("<table><colgroup><col width='30%'><col width='*'></colgroup><tr><th>a</th><td>b</td></tr><tr><th>c</th><td>d</td></tr></table>")["blocks"][0]["c"]
+    assert [w.get("c") for _, w in t[2]] == [0.3, 0.7] and t[4][0][1] == 1 and not t[3][1]
+    t = read_html("<table><thead><tr><th>h</th></tr></thead><tbody><tr><td>1</td></tr></tbody><tbody><tr><th>x</th></tr><tr><td>2</td></tr></tbody></table>")["blocks"][0]["c"]
+    assert len(t[3][1]) == 1 and [(len(b[2]), len(b[3])) for b in t[4]] == [(0, 1), (1, 1)]
+
+
+def test_literal_escapes():
+    d = READERS["native"]('[Para [Str "\\8217\\1234\\&5\\"\\\\n"]]')
+    assert d["blocks"][0]["c"][0]["c"] == '\u2019\u04d25"\\n'
+
+
+def test_latex_quantities_and_macros():
+    text = lambda s: plain(READERS["latex"](s)["blocks"])
+    assert text(r"\SI{30}{\milli\meter}") == "30\u00a0mm" and text(r"\SIrange{10}{20}{\gram}") == "10\u00a0g–20\u00a0g"
+    assert text("\\newcommand{\\x}[2][o]{#1#2}\n\\x{a} \\x[b]{c}").split() == ["oa", "bc"]
+    d = READERS["latex"]("a ``b 'c' d'' \\footnotemark{} e\n\\footnotetext{note}")
+    assert [x["t"] for x in d["blocks"][0]["c"] if x["t"] in ("Quoted", "Note")] == ["Quoted", "Note"]
