@@ -12,7 +12,8 @@ A control string inside a text or role is broken by a backslash after its first
 stand there already); reading takes one away. So no text can forge a turn, and every text comes back unchanged.
 
 Defined results: null text or role is the empty string; ties in turn are ordered by role, then text; repeated rows
-stay as turns of their own; a conv_id of null is a conversation of its own; an empty table gives no rows. Messages on a cycle or
+stay as turns of their own; a conv_id of null is a conversation of its own; columns that are not named are not read, whatever their names, and very long texts are taken whole;
+an empty table gives no rows. Messages on a cycle or
 with a parent that isn't there: the latter are roots, the former have no root and are left out.
 """
 

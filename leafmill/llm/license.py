@@ -8,7 +8,8 @@ stand consecutively; their labels always stay.
 
 Words: A-Z are lower-cased, and runs of digits, a-z and code points from U+0080 are words.
 
-Defined results: null text is empty; a file without words has n_words 0, no labels and score 0; repeated rows and rows
+Defined results: null text is empty; very long texts are scanned whole; columns other than doc_id and text are not read, whatever their names;
+of licences with equal shares all are labels; a file without words has n_words 0, no labels and score 0; repeated rows and rows
 with one doc_id get a row each; an empty table gives no rows.
 """
 

@@ -13,6 +13,8 @@ unchanged, so a line that has no two parts in common with a different line has n
 exclusive or of the hashes of its words with their places, so all variants of a line come from running sums.
 
 Defined results: blank lines stay; lines of fewer than MIN_NEAR words are only compared for equality; null text stays null;
+other columns stay as they are, but n_lines, n_exact and n_near are
+replaced; very long lines and texts are taken whole, a line's variants by running sums over its words;
 rows with equal doc_id and text count as one document, and lines at one place of one doc_id as equally early: both stay
 unless an earlier line is a duplicate; a null doc_id comes before any other; an empty table gives no rows.
 """
@@ -166,6 +168,7 @@ def removed_lines(docs: DataFrame, filter_keys: int = FILTER_KEYS) -> DataFrame:
     firsts = table.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     told = firsts.join(near, (firsts["k1"] == near["n1"]) & (firsts["k2"] == near["n2"]), "left")
     told = told.where("near or last > first").select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), "first", F.coalesce("near", F.lit(False)).alias("near"))
+    told = stored(told, "lines-told")  # so that the join deals both sides itself and can split a line that very many documents have
     gone = table.join(told, (table["k1"] == told["f1"]) & (table["k2"] == told["f2"])).where(F.col("near") | (F.col("place") > F.col("first")))
     return gone.select("doc_id", "text_hash", "line_no", (F.col("place") == F.col("first")).alias("near"))
 

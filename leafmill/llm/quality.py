@@ -11,7 +11,7 @@ the n-grams whose context lies in the shard. A small model has one shard. All co
 
 Defined results: null or empty text has perplexity null and is not kept; a document of a language (null is one) without trusted
 text has threshold null and is kept, for nothing is known against it; without held-out texts the threshold is that of the training texts; repeated
-rows get a row each; a doc_id labelled both ways is not trusted; an empty table gives no rows.
+rows get a row each; very long texts are scored whole, in blocks; columns other than doc_id, lang and text are not read, whatever their names; a doc_id labelled both ways is not trusted; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Of records with equal payloads of at least MIN_REVISIT bytes the one with the la
 `revisit` records that name it and hold no payload.
 
 Defined results: null text is an empty payload; rows with an equal largest key and an equal payload are all responses;
-a null key is smaller than any other; repeated rows give a record each; an empty table gives no archive and no rows.
+a null key is smaller than any other; repeated rows give a record each; very long payloads are written whole; columns other than page_id, url and
+html are not read, whatever their names; an empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
