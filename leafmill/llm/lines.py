@@ -53,7 +53,7 @@ def _parts(words: Column, n: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, " "), lambda w: w != "")
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _raw_lines(docs: DataFrame) -> DataFrame:
