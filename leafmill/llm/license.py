@@ -42,6 +42,26 @@ TEMPLATES = [
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("all-rights-reserved", "all rights reserved", "all rights reserved"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "software is provided as is"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "agreed to in writing software distributed"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "purpose with or without fee is hereby granted"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "nor the names of its contributors"),
+    ("bsd", "licensed under the bsd 3 clause license", "bsd 3 clause license"),
+    ("lgpl", "redistribute it and or modify it under the terms of the gnu lesser general public license", "gnu lesser general public license"),
+    ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty", "distributed in the hope that it will be useful"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4"),
+    ("cc-by-sa", "text is available under the creative commons attribution sharealike license", "creative commons attribution sharealike"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", "creative commons attribution noderivatives"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "no event will the authors be held liable"),
+    ("bsl", "boost software license version 1 0", "boost software license"),
+    ("artistic", "this package is free software you can redistribute it under the terms of the artistic license", "the artistic license"),
+    ("odbl", "this database is made available under the open database license", "open database license"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gnu free documentation license"),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential", "strictly prohibited proprietary and confidential"),
 ]
 #: Words that tell nothing and aren't indexed.
 COMMON = {"a", "all", "and", "any", "are", "as", "at", "by", "can", "for", "in", "is", "it", "not", "of", "or", "that", "the", "this", "to", "use", "with", "you", "0", "2", "3", "4", "v"}
