@@ -31,6 +31,8 @@ ORDERS = (1, 2, 3, 4)
 #: Dimensions of an order's hashed n-grams.
 DIMS = 1 << 12
 TRAIN_PER_LANG, TRAIN_ALL, LANDMARKS, RIDGE = 256, 4096, 128, 0.01
+#: Bits of the classes in which hashes of ids are counted.
+CLASS_BITS = 18
 #: Characters of a text that are scored together; hashed n-grams of far more would fill all dimensions.
 PIECE = 1 << 14
 #: Rows of a matrix product.
@@ -133,8 +135,14 @@ def sample(docs: DataFrame) -> DataFrame:
     many = rows.select("lang").distinct().count()
     each = max(min(TRAIN_PER_LANG, TRAIN_ALL // max(many, 1)), 1)
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    # Counts of classes of hashes tell up to which class the smallest ones lie, so that no language's rows are ranked whole.
+    hashed = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("class", F.shiftright("h", 64 - CLASS_BITS))
+    upto = Window.partitionBy("lang").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("count").over(upto), F.lit(0))
+    last = hashed.groupBy("lang", "class").count().withColumn("before", before).where(F.col("before") < each).groupBy(F.col("lang").alias("l_lang")).agg(F.max("class").alias("last"))
     # The ids are ranked without their texts, then the texts of those ids are looked up. Rows that share an id are ranked once more.
-    ranked = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= each)
+    low = hashed.join(last, F.col("lang") == F.col("l_lang")).where(F.col("class") <= F.col("last")).select("lang", "doc_id", "h")
+    ranked = low.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each)
     wanted = ranked.select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang")).distinct()
     found = rows.join(F.broadcast(wanted), rows["doc_id"].eqNullSafe(wanted["s_id"]) & (rows["lang"] == wanted["s_lang"]))  # TRAIN_ALL rows or one a language
     again = Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text"))
