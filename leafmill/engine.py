@@ -95,7 +95,9 @@ def _schema() -> pa.Schema:
 
 
 def _packed(held: list[list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+    """The columns of schema from rows of all of tree.COLUMNS."""
+    columns = dict(zip(tree.COLUMNS, zip(*held, strict=True), strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
 def _node_batches(parse: Callable[[str], dict], schema: pa.Schema, keep: frozenset[str] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,13 +119,16 @@ def _node_batches(parse: Callable[[str], dict], schema: pa.Schema, keep: frozens
             yield _packed(held, schema)
 
 
-def read_nodes(df: DataFrame, format: str, id: str = "doc_id", content: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+def read_nodes(df: DataFrame, format: str, id: str = "doc_id", content: str = "text", keep: tuple[str, ...] | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
     """tree.NODES: all nodes of the documents of a table, read and flattened in one pass; a document that can't be read is one row of kind `error` with what was wrong.
 
     With keep only the roots, the nodes right below them and the subtrees of nodes of these types leave the reader; their numbers are those of the whole tree.
+    With columns only these of tree.NODES are made.
     """
-    parse, schema, types = reader(format), _schema(), None if keep is None else frozenset(keep)
-    return spread(df.select(F.col(id).cast("bigint"), F.col(content))).mapInArrow(lambda b: _node_batches(parse, schema, types, b), tree.NODES)
+    whole = StructType.fromDDL(tree.NODES)
+    kind = whole if columns is None else StructType([whole[c] for c in columns])
+    parse, schema, types = reader(format), to_arrow_schema(kind), None if keep is None else frozenset(keep)
+    return spread(df.select(F.col(id).cast("bigint"), F.col(content))).mapInArrow(lambda b: _node_batches(parse, schema, types, b), kind)
 
 
 def nodes(docs: DataFrame) -> DataFrame:

@@ -198,12 +198,16 @@ def written_sql(family: str) -> str:
     return f"with d as (select doc_id, lang, source, {_paragraphs_sql()} as ps from documents) {every}"
 
 
+#: What told looks at.
+TOLD = ("doc_id", "node_id", "kind", "type", "level", "text", "target")
+
+
 def told(nodes: DataFrame, name: str) -> DataFrame:
     """Per document: its words and code in order, headings and their level, emphasis, list items and address."""
     word = F.col("type").isin("Str", "Code")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(word, F.struct("node_id", "text")))), lambda x: x["text"]), " ")
     n = lambda t: F.count_if(F.col("type") == t)
-    return nodes.groupBy("doc_id").agg(
+    return nodes.where(~F.col("type").isin("Space", "SoftBreak")).groupBy("doc_id").agg(
         text.alias("words"), n("Header").alias("n_headings"), F.max("level").alias("level"), n("Emph").alias("n_emph"), n("Strong").alias("n_strong"), n("Code").alias("n_code"),
         F.count_if((F.col("kind") == "group") & (F.col("type") == "item")).alias("n_items"), F.max("target.url").alias("url"),
     ).select(F.lit(name).alias("format"), "*")
@@ -222,7 +226,7 @@ def read(family: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         docs, out = documents(spark, d), None
         for name, s in READ[family].items():
-            own = told(engine.read_nodes(spelled(docs, s), name), name)
+            own = told(engine.read_nodes(spelled(docs, s), name, columns=TOLD), name)
             out = own if out is None else out.unionByName(own)
         return out
 
@@ -232,7 +236,7 @@ def read(family: str):
 def round_trips(spark: SparkSession, d: str) -> DataFrame:
     docs, out = spelled(documents(spark, d), _MD), None
     for name in ROUND:
-        own = told(engine.read_nodes(engine.convert(docs, "markdown", name), name, "doc_id", "output"), name)
+        own = told(engine.read_nodes(engine.convert(docs, "markdown", name), name, "doc_id", "output", columns=TOLD), name)
         out = own if out is None else out.unionByName(own)
     return out
 

@@ -33,8 +33,8 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _pages(spark: SparkSession, d: str, *keep: str) -> DataFrame:
-    return engine.read_nodes(_t(spark, d, "pages"), "html", "page_id", "html", keep or None)
+def _pages(spark: SparkSession, d: str, *keep: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    return engine.read_nodes(_t(spark, d, "pages"), "html", "page_id", "html", keep or None, columns)
 
 
 def _outlines(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +55,7 @@ _NAMED = f"select page_id, lang, case when ident = '' then 'section' else ident
 select url, count(*)::bigint as n from (select unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as url from pages) group by url""")
 def page_links(spark, d):
     """Links to each address, from the trees of the pages."""
-    return N.link_counts(_pages(spark, d, "Link"))
+    return N.link_counts(_pages(spark, d, "Link", columns=("type", "target")))
 
 
 @query(r"""
@@ -88,7 +88,7 @@ select page_id as doc_id, len(list_filter(regexp_extract_all(text, '[^ \t\n\r]+'
     select page_id, replace(replace(html, '&copy;', '©'), '&middot;', '·') as html from pages))""")
 def page_words(spark, d):
     """Words of each page's tree."""
-    return N.word_counts(_pages(spark, d))
+    return N.word_counts(_pages(spark, d, columns=("doc_id", "kind", "type", "text")))
 
 
 @query("""
@@ -102,7 +102,7 @@ def document_status(spark, d):
 
 @query()
 def page_node_counts(spark, d):
-    return N.type_counts(_pages(spark, d))
+    return N.type_counts(_pages(spark, d, columns=("kind", "type")))
 
 
 @query()

@@ -101,14 +101,19 @@ def _tex_block(lines: list[str], i: int, in_paragraph: bool) -> tuple[str, int]
 def _joined_words(xs: list[dict], smart: bool) -> list[dict]:
     """Adjacent words as one, and no break after an abbreviation."""
     out: list[dict] = []
+    last = before = None  # what stands last, and before it
     for x in xs:
-        if x["t"] == "Str" and out and out[-1]["t"] == "Str":
-            out[-1] = node("Str", out[-1]["c"] + x["c"])
-        elif smart and x["t"] == "Str" and x["c"][:1].isalnum() and len(out) > 1 and out[-1]["t"] == "Space" and out[-2]["t"] == "Str" and out[-2]["c"].lstrip("(‘“") in ABBREVIATIONS:
-            out.pop()
-            out[-1] = node("Str", out[-1]["c"] + "\u00a0" + x["c"])
-        else:
-            out.append(x)
+        if last is not None and x["t"] == "Str":
+            if last["t"] == "Str":
+                out[-1] = last = node("Str", last["c"] + x["c"])
+                continue
+            if smart and before is not None and last["t"] == "Space" and before["t"] == "Str" and before["c"][-1:] == "." and x["c"][:1].isalnum() and before["c"].lstrip("(‘“") in ABBREVIATIONS:
+                out.pop()
+                out[-1] = last = node("Str", before["c"] + "\u00a0" + x["c"])
+                before = out[-2] if len(out) > 1 else None
+                continue
+        out.append(x)
+        before, last = last, x
     return out
 
 
