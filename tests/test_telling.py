@@ -6,7 +6,7 @@ from leafmill.plans import formats
 from leafmill.sources import light
 
 
-@pytest.mark.parametrize("name", ["read_light"])
+@pytest.mark.parametrize("name", ["read_light", "read_markdown"])
 def test_no_node_is_shuffled(spark, sf, name):
     plan = formats.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Aggregate" not in plan
@@ -19,3 +19,14 @@ def test_plain_words_hold_no_mark(name):
     assert not short.sign.search("word and word")
     long.sign = light.re.compile("")
     assert short.inlines(text) == long.inlines(text)
+
+
+def test_headings_are_looked_up_only_for_a_link_that_needs_one(monkeypatch):
+    from leafmill.sources import markdown
+
+    seen = []
+    blocks = markdown._Reader.blocks
+    monkeypatch.setattr(markdown._Reader, "blocks", lambda self, lines: seen.append(len(lines)) or blocks(self, lines))
+    link = lambda text: markdown.read_markdown(text)["blocks"][-1]["c"][0]["c"][2][0]
+    assert link("# A b\n\n[x](http://example.com/1)\n") == "http://example.com/1" and len(seen) == 1
+    assert link("# A b\n\n[A b]\n") == "#a-b" and len(seen) == 3
