@@ -6,7 +6,7 @@ from leafmill.plans import formats
 from leafmill.sources import light
 
 
-@pytest.mark.parametrize("name", ["read_light", "read_markdown", "read_xml", "read_wiki"])
+@pytest.mark.parametrize("name", ["read_light", "read_markdown", "read_xml", "read_wiki", "round_trips"])
 def test_no_node_is_shuffled(spark, sf, name):
     plan = formats.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Aggregate" not in plan
