@@ -1,7 +1,9 @@
 """Queries that read formats: each document is told where it is read, and plain words take a short way to the same tree."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from leafmill import engine, tree
 from leafmill.plans import formats
 from leafmill.sources import light
 
@@ -12,6 +14,45 @@ def test_no_node_is_shuffled(spark, sf, name):
     assert "MapInArrow" in plan and "Aggregate" not in plan
 
 
+@pytest.mark.parametrize("name", ["read_xml"])
+def test_texts_are_dealt_out_once_for_all_formats(spark, sf, name):
+    plan = formats.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") <= 1 and plan.count("MapInArrow") == 1 and plan.count("Relation [") == 1
+
+
+LONG = "Some words that stand for a text, and more of them until it is long, "
+ODD = [LONG + "end", LONG + " two spaces", LONG + "a full stop.", LONG.strip() + ",, no mark ,,", "Ünï " * 30, LONG + "line\n" + LONG + "line", LONG + "\t tab", LONG + "x &amp; y", "wide\u3000space and\u00a0more " * 5, " " + LONG, LONG + "mark*s _here_", "", LONG + "\n\n" + LONG + "more"]
+
+
+@pytest.mark.parametrize("family,name", [(k, n) for k in ("xml",) for n in formats.READ[k]])
+def test_runs_stand_for_their_words(spark, family, name):
+    rows = [(k, "en", "web", [p]) for k, p in enumerate(ODD)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, ps array<string>")
+    texts = [r.text for r in formats.spelled(docs, formats.READ[family][name]).collect()]
+    assert texts == [r.text for r in formats.spelled_each(docs, {name: formats.READ[family][name]}).orderBy(F.col("doc_id")).collect()]
+    read, some = engine.reader(name), 0
+    for text in [*texts, *ODD]:
+        whole = short = None
+        try:
+            whole = read(text)
+            with tree.in_runs():
+                short = read(text)
+        except Exception as e:
+            assert whole is None, e
+            continue
+        some += short != whole
+        assert tree.unrun(short) == whole and (short == whole or formats.told(short) == formats.told(whole))
+    assert some
+
+
+def test_prefixes_of_attributes():
+    from leafmill.sources import xml
+
+    before = xml.re.compile(r"\b(xlink|l|xml|text|office|table|draw|w|r|epub):(?=\w+\s*=)")
+    for text in ['<a xlink:href="x" l:href ="y" xml:id="z" axml:id="q" a.w:b="1">', "xml:l:foo=1 :w:r:x=2 r:x = r:y", "text: x=1 epub:type='a' é:w=1 éw:w=1"]:
+        assert xml._PREFIX.sub("-", text) == before.sub(r"\1-", text)
+
+
 @pytest.mark.parametrize("name", sorted(light.LANGUAGES))
 def test_plain_words_hold_no_mark(name):
     text = "Some words, and CamelCase 12. End; then"
