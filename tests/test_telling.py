@@ -14,7 +14,7 @@ def test_no_node_is_shuffled(spark, sf, name):
     assert "MapInArrow" in plan and "Aggregate" not in plan
 
 
-@pytest.mark.parametrize("name", ["read_xml"])
+@pytest.mark.parametrize("name", ["read_xml", "read_wiki"])
 def test_texts_are_dealt_out_once_for_all_formats(spark, sf, name):
     plan = formats.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Repartition") <= 1 and plan.count("MapInArrow") == 1 and plan.count("Relation [") == 1
@@ -24,7 +24,7 @@ LONG = "Some words that stand for a text, and more of them until it is long, "
 ODD = [LONG + "end", LONG + " two spaces", LONG + "a full stop.", LONG.strip() + ",, no mark ,,", "Ünï " * 30, LONG + "line\n" + LONG + "line", LONG + "\t tab", LONG + "x &amp; y", "wide\u3000space and\u00a0more " * 5, " " + LONG, LONG + "mark*s _here_", "", LONG + "\n\n" + LONG + "more"]
 
 
-@pytest.mark.parametrize("family,name", [(k, n) for k in ("xml",) for n in formats.READ[k]])
+@pytest.mark.parametrize("family,name", [(k, n) for k in ("xml", "wiki", "light") for n in formats.READ[k]])
 def test_runs_stand_for_their_words(spark, family, name):
     rows = [(k, "en", "web", [p]) for k, p in enumerate(ODD)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, ps array<string>")
