@@ -14,7 +14,7 @@ def test_no_node_is_shuffled(spark, sf, name):
     assert "MapInArrow" in plan and "Aggregate" not in plan
 
 
-@pytest.mark.parametrize("name", ["read_xml", "read_wiki"])
+@pytest.mark.parametrize("name", ["read_xml", "read_wiki", "round_trips"])
 def test_texts_are_dealt_out_once_for_all_formats(spark, sf, name):
     plan = formats.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Repartition") <= 1 and plan.count("MapInArrow") == 1 and plan.count("Relation [") == 1
@@ -45,6 +45,25 @@ def test_runs_stand_for_their_words(spark, family, name):
     assert some
 
 
+@pytest.mark.parametrize("name", formats.ROUND)
+def test_runs_are_written_and_read_as_their_words(name):
+    from leafmill.sinks import registry as sinks
+
+    write, read, some = sinks.writer(name), engine.reader(name), 0
+    for text in [*ODD, "# H\n\n" + LONG + "end\n\n" + LONG + "*" + LONG + "end* x `Str ` " + LONG + "\n", '`"t": "Run", "c": "x"` {"t": "Run", "c": "a b"} ' + LONG, "Zitat Größe, naïve Wörter überall hier und noch viele mehr davon"]:
+        whole = engine.reader("markdown")(text)
+        with tree.in_runs():
+            short = engine.reader("markdown")(text)
+        assert tree.unrun(short) == whole
+        out = write(whole)
+        assert write(short) == out
+        with tree.in_runs():
+            again = read(out)
+        some += again != read(out)
+        assert tree.unrun(again) == read(out)
+    assert some
+
+
 def test_prefixes_of_attributes():
     from leafmill.sources import xml
 
