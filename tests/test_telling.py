@@ -1,5 +1,6 @@
 """Queries that read formats: each document is told where it is read, and plain words take a short way to the same tree."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,63 @@ def test_headings_are_looked_up_only_for_a_link_that_needs_one(monkeypatch):
     link = lambda text: markdown.read_markdown(text)["blocks"][-1]["c"][0]["c"][2][0]
     assert link("# A b\n\n[x](http://example.com/1)\n") == "http://example.com/1" and len(seen) == 1
     assert link("# A b\n\n[A b]\n") == "#a-b" and len(seen) == 3
+
+
+FIELDS = [x.split(" ")[0] for x in formats.TOLD.split(", ")]
+
+
+def test_a_failure_is_no_document_without_text(spark):
+    rows = [(k, 1, "") for k in formats.READ["xml"]] + [("docbook", 2, "<section><para>a</section>"), ("docbook", 3, None), ("docbook", 4, "<para>a b</para>"), ("latex", 5, "a b")]
+    docs = spark.createDataFrame(rows, "format string, doc_id long, text string")
+    got = {(r.format, r.doc_id): r for r in engine.read_values(docs, list(formats.READ["xml"]), formats.told, formats.TOLD).collect()}
+    assert len(got) == len(rows)
+    for k, error in ((("docbook", 2), "ParseError: mismatched tag"), (("latex", 5), "KeyError: 'latex'")):
+        assert got[k].error.startswith(error) and all(got[k][f] is None for f in FIELDS)
+    for k in (*((k, 1) for k in formats.READ["xml"]), ("docbook", 3)):
+        assert got[k].error is None and got[k].words == "" and got[k].n_headings == 0
+    assert got["docbook", 4].error is None and got["docbook", 4].words == "a b"
+
+
+def test_what_cannot_be_told_is_a_failure(spark):
+    docs = spark.createDataFrame([("html", 1, "<p>a</p>"), ("html", 2, "")], "format string, doc_id long, text string")
+    got = sorted(engine.read_values(docs, ["html"], lambda doc: (doc["blocks"][0]["t"],), "first string").collect(), key=lambda r: r.doc_id)
+    assert [(r.first, r.error is None) for r in got] == [("Para", True), (None, False)] and got[1].error.startswith("IndexError")
+
+
+def test_a_failure_to_write_is_no_document_without_text(spark, monkeypatch):
+    from leafmill.sinks import registry as sinks
+
+    def write(doc):
+        raise ValueError("not this one") if "bad" in str(doc) else KeyError("nor that")
+
+    monkeypatch.setitem(sinks.WRITERS, "native", write)
+    docs = spark.createDataFrame([(1, "bad"), (2, "")], "doc_id long, text string")
+    got = {(r.format, r.doc_id): r for r in engine.reread_values(docs, "markdown", ["json", "native"], formats.told, formats.TOLD).collect()}
+    assert len(got) == 4 and got["json", 1].words == "bad" and got["json", 2].words == "" and got["json", 1].error is got["json", 2].error is None
+    for k, error in ((1, "ValueError: not this one"), (2, "KeyError: 'nor that'")):
+        assert got["native", k].error == error and all(got["native", k][f] is None for f in FIELDS)
+
+
+def test_read_xml_reads_signs_of_markup(spark, tmp_path):
+    odd = ["a&b", "<i>", "a<b", "x]]>y", "&lt;", "&amp", "a>b", "en"]
+    rows = [(k, x, y, "Some text\nin two lines") for k, (x, y) in enumerate((x, y) for x in odd for y in (odd[0], odd[2], "web"))]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(formats.oracle_sql()["read_xml"])
+    order = [d[0] for d in want.description]
+    got = formats.queries()["read_xml"](spark, str(tmp_path))
+    assert got.columns == order
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(key(r) for r in got.collect()) == sorted(key(r) for r in want.fetchall())
+
+
+def test_read_xml_gives_no_result_where_xml_has_no_sign(spark, tmp_path):
+    spark.createDataFrame([(1, "a\x01b", "web", "Some text"), (2, "en", "web", "")], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.format, r.doc_id): r for r in formats.queries()["read_xml"](spark, str(tmp_path)).collect()}
+    why = {(r.format, r.doc_id): r.error for r in formats.read_each(spark, str(tmp_path), "xml").collect()}
+    assert len(got) == len(why) == 2 * len(formats.READ["xml"])
+    for k, r in got.items():
+        failed = k[1] == 1 and k[0] != "html"
+        assert (r.n_headings is None) == failed == (why[k] is not None) and (not failed or all(r[f] is None for f in FIELDS))
+    assert why["fb2", 1].startswith("ParseError")
